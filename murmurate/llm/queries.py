@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from murmurate.session import table
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.quality import judge
+
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +67,8 @@ FROM s GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
     "op6_pack": op6_pack,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
