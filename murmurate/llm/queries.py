@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from murmurate.session import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmurate.llm.quality import judge
 
@@ -67,6 +79,8 @@ FROM s GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_lm_score": op2_lm_score,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_pack": op6_pack,
