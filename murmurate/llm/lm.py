@@ -43,7 +43,7 @@ BITS_PER_ENTRY = 8
 PROBES = 4
 SLICE_BYTES = 192 << 20
 #: Tokens summed up in a task before their counts go out.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
 END = np.uint64(0x1F83D9ABFB41BD6B)
 BEGIN = np.uint64(0x5BE0CD19137E2179)
 _WORD = np.uint64(0x3C6EF372FE94F82B)
@@ -299,7 +299,7 @@ def score(docs: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names = [x.split()[0] for x in SCORES.split(", ")]
             for batch in batches:
-                for i, j, buf, off in T.slices(batch.column(2), 8 << 20):
+                for i, j, buf, off in T.slices(batch.column(2), 3 << 20):
                     cols = shared.value.score(buf, off)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array(c) for c in cols)], names)
 

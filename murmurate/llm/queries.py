@@ -22,6 +22,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmurate.llm.quality import judge
 
@@ -81,6 +87,7 @@ FROM s GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_score": op2_lm_score,
+    "op3_near_dups": op3_near_dups,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_pack": op6_pack,
