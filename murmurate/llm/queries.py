@@ -49,6 +49,12 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmurate.llm.secrets import digests
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_pack": op6_pack,
+    "op7_html": op7_html,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
 }
