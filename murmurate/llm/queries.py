@@ -55,6 +55,12 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.substrings import remove
+
+    return remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmurate.llm.secrets import digests
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_pack": op6_pack,
     "op7_html": op7_html,
+    "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
 }
