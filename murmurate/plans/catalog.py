@@ -1,10 +1,210 @@
-"""Registry of the named queries and their SQL oracles."""
+"""Registry of the named queries and their SQL oracles.
+
+The stand-ins for domain tables (manifest, pairs, log, segments, trace) are
+built from the driver's tables by the same rules on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from murmurate.functions import align, quantiles, textnorm
+from murmurate.functions.der import bootstrap_groups, diarization_error, diff_blocks
+from murmurate.operators import curation, logs, ranking
+from murmurate.session import table
+from murmurate.streaming import trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- stand-ins -----------------------------------------------------------
+def pairs(spark, d) -> DataFrame:
+    """ref and hyp tokens of the first 40 words of each document, hyp with fixed deletions and substitutions."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.slice(align.tokens(F.col("text")), 1, 40).alias("ref"))
+    at = lambda i, k, m: (F.col("doc_id") * k + i + 1) % m == 0
+    hyp = F.transform(F.filter(F.transform("ref", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~at(s["i"], 7, 11)), lambda s: F.when(at(s["i"], 3, 13), F.lit("x")).otherwise(s["x"]))
+    # one file may be one partition: spread rows before the folds
+    return docs.repartition(spark.sparkContext.defaultParallelism).withColumn("hyp", hyp)
+
+
+PAIRS = r"""
+p0 AS (SELECT doc_id, lang, source, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')[1:40] AS ref FROM documents),
+p1 AS (SELECT *, list_transform(list_filter(list_zip(ref, range(1, len(ref) + 1)), lambda s: (doc_id * 7 + s[2]) % 11 <> 0), lambda s: CASE WHEN (doc_id * 3 + s[2]) % 13 = 0 THEN 'x' ELSE s[1] END) AS hyp FROM p0)
+"""
+FOLD = "list_last(list_reduce(list_prepend(range(0, len(hyp) + 1), list_transform(range(1, len(ref) + 1), lambda k: [k])), lambda prev, kk: list_reduce(list_prepend([prev[1] + 1], list_transform(range(1, len(hyp) + 1), lambda j: [j])), lambda cur, jj: list_append(cur, least(list_last(cur) + 1, prev[jj[1] + 1] + 1, prev[jj[1]] + CASE WHEN hyp[jj[1]] = ref[kk[1]] THEN 0 ELSE 1 END)))))"
+
+
+def log(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("line_no"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("elapsed_s"), (1 + F.col("event_id") % 3).alias("workers"), (1 + F.col("event_id") % 3).alias("attempts"), F.when(F.col("event_type") == "error", F.concat(F.lit("reason "), F.col("event_id") % 7)).alias("error"))
+
+
+LOG = "log AS (SELECT user_id AS id, event_id AS line_no, event_type <> 'error' AS ok, value AS elapsed_s, 1 + event_id % 3 AS workers, 1 + event_id % 3 AS attempts, CASE WHEN event_type = 'error' THEN 'reason ' || (event_id % 7) END AS error FROM events)"
+
+
+# ---- alignment metrics -----------------------------------------------------
+@query(f"WITH {PAIRS}, e AS (SELECT lang, len(ref) AS n, {FOLD} AS edits FROM p1) SELECT lang, count(*) AS n, CAST(sum(n) AS BIGINT) AS ref_len, CAST(sum(edits) AS BIGINT) AS edits, CASE WHEN sum(n) > 0 THEN sum(edits) / sum(n) ELSE 0 END AS wer, avg(CASE WHEN edits > 0 THEN 1.0 ELSE 0.0 END) AS ser FROM e GROUP BY lang")
+def edit_wer_by_lang(spark, d):
+    e = pairs(spark, d).select("lang", F.size("ref").alias("len"), align.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"))
+    return e.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("ref_len"), F.sum("edits").alias("edits"), F.coalesce(F.try_divide(F.sum("edits"), F.sum("len")), F.lit(0.0)).alias("wer"), F.avg((F.col("edits") > 0).cast("double")).alias("ser"))
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, CAST({FOLD} AS BIGINT) AS edits, CAST(len(hyp) - len(ref) AS BIGINT) AS ins_less_del FROM p1")
+def alignment_counts(spark, d):
+    a = pairs(spark, d).select("doc_id", align.alignment(F.col("ref"), F.col("hyp")).alias("a"))
+    return a.select("doc_id", (F.col("a.s") + F.col("a.d") + F.col("a.i")).cast("long").alias("edits"), (F.col("a.i") - F.col("a.d")).cast("long").alias("ins_less_del"))
+
+
+@query(f"WITH {PAIRS}, p2 AS (SELECT doc_id, list_filter(string_split(array_to_string(ref[1:6], ' '), ''), lambda c: c <> '' AND c <> ' ') AS ref, list_filter(string_split(array_to_string(hyp[1:6], ' '), ''), lambda c: c <> '' AND c <> ' ') AS hyp, length(array_to_string(ref[1:6], ' ')) AS n FROM p1) SELECT doc_id, CAST(n AS BIGINT) AS ref_len, CAST({FOLD} AS BIGINT) AS edits FROM p2 WHERE len(ref) > 0")
+def cer_pairs(spark, d):
+    p = pairs(spark, d).select("doc_id", F.array_join(F.slice("ref", 1, 6), " ").alias("r"), F.array_join(F.slice("hyp", 1, 6), " ").alias("h")).where("r <> ''")
+    # Spark's levenshtein works on code points
+    return p.select("doc_id", F.length("r").cast("long").alias("ref_len"), F.levenshtein(F.replace("r", F.lit(" "), F.lit("")), F.replace("h", F.lit(" "), F.lit(""))).cast("long").alias("edits"))
+
+
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT doc_id, unnest(ref) AS x FROM p1), h AS (SELECT doc_id, unnest(hyp) AS x FROM p1), rc AS (SELECT doc_id, x, count(*) AS n FROM r GROUP BY ALL), hc AS (SELECT doc_id, x, count(*) AS n FROM h GROUP BY ALL), o AS (SELECT doc_id, sum(least(rc.n, hc.n)) AS hit FROM rc JOIN hc USING (doc_id, x) GROUP BY doc_id) SELECT p1.doc_id, CASE WHEN len(ref) + len(hyp) > 0 THEN 2.0 * coalesce(hit, 0) / (len(ref) + len(hyp)) END AS rouge1 FROM p1 LEFT JOIN o USING (doc_id)")
+def rouge_unigram(spark, d):
+    p = pairs(spark, d)
+    return p.select("doc_id", F.try_divide(2.0 * align.overlap(F.col("ref"), F.col("hyp")), F.size("ref") + F.size("hyp")).alias("rouge1"))
+
+
+LCSF = "list_last(list_reduce(list_prepend(list_transform(range(0, len(hyp) + 1), lambda z: 0), list_transform(range(1, len(ref) + 1), lambda k: [k])), lambda prev, kk: list_reduce(list_prepend([0], list_transform(range(1, len(hyp) + 1), lambda j: [j])), lambda cur, jj: list_append(cur, CASE WHEN hyp[jj[1]] = ref[kk[1]] THEN prev[jj[1]] + 1 ELSE greatest(list_last(cur), prev[jj[1] + 1]) END))))"
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, CAST({LCSF} AS BIGINT) AS lcs FROM p1")
+def rouge_lcs(spark, d):
+    return pairs(spark, d).select("doc_id", align.lcs(F.col("ref"), F.col("hyp")).cast("long").alias("lcs"))
+
+
+def _ngram_sql(n: int, side: str) -> str:
+    return f"SELECT doc_id, {n} AS k, array_to_string({side}[i:i + {n - 1}], ' ') AS g, count(*) AS n FROM p1, unnest(range(1, greatest(len({side}) - {n - 2}, 1))) t(i) GROUP BY ALL"
+
+
+@query(f"WITH {PAIRS}, rg AS ({' UNION ALL '.join(_ngram_sql(n, 'ref') for n in range(1, 5))}), hg AS ({' UNION ALL '.join(_ngram_sql(n, 'hyp') for n in range(1, 5))}), m AS (SELECT k, sum(least(rg.n, hg.n)) AS hit FROM rg JOIN hg USING (doc_id, k, g) GROUP BY k), t AS (SELECT k, sum(n) AS total FROM hg GROUP BY k), pr AS (SELECT avg(ln(hit / total)) AS lp FROM m JOIN t USING (k)), l AS (SELECT sum(len(ref)) AS r, sum(len(hyp)) AS h FROM p1) SELECT 100 * exp(lp) * CASE WHEN h < r THEN exp(1 - r / h) ELSE 1 END AS bleu, CAST(r AS BIGINT) AS ref_len, CAST(h AS BIGINT) AS hyp_len FROM pr, l")
+def bleu_corpus(spark, d):
+    p = pairs(spark, d)
+    rows = p.select(F.size("ref").alias("r"), F.size("hyp").alias("h"), *[c for n in range(1, 5) for c in (align.overlap(align.ngrams(F.col("ref"), n), align.ngrams(F.col("hyp"), n)).alias(f"m{n}"), F.size(align.ngrams(F.col("hyp"), n)).alias(f"t{n}"))])
+    s = rows.agg(*[F.sum(c).cast("double").alias(c) for c in rows.columns])
+    lp = sum((F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in range(1, 5)), F.lit(0.0)) / 4
+    return s.select((100 * F.exp(lp) * F.when(F.col("h") < F.col("r"), F.exp(1 - F.col("r") / F.col("h"))).otherwise(1.0)).alias("bleu"), F.col("r").cast("long").alias("ref_len"), F.col("h").cast("long").alias("hyp_len"))
+
+
+def _chr_sql(n: int, side: str) -> str:
+    return f"SELECT doc_id, {n} AS k, {side}[i:i + {n - 1}] AS g, count(*) AS n FROM c, unnest(range(1, greatest(length({side}) - {n - 2}, 1))) t(i) GROUP BY ALL"
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT doc_id, array_to_string(ref[1:10], '') AS r, array_to_string(hyp[1:10], '') AS h FROM p1), rg AS ({' UNION ALL '.join(_chr_sql(n, 'r') for n in range(1, 7))}), hg AS ({' UNION ALL '.join(_chr_sql(n, 'h') for n in range(1, 7))}), m AS (SELECT k, sum(least(rg.n, hg.n)) AS hit FROM rg JOIN hg USING (doc_id, k, g) GROUP BY k), a AS (SELECT k, sum(n) AS nr FROM rg GROUP BY k), b AS (SELECT k, sum(n) AS nh FROM hg GROUP BY k), q AS (SELECT avg(hit / nh) AS p, avg(hit / nr) AS r FROM m JOIN a USING (k) JOIN b USING (k)) SELECT 100 * 5 * p * r / (4 * p + r) AS chrf FROM q")
+def chrf_corpus(spark, d):
+    p = pairs(spark, d).select(F.split(F.array_join(F.slice("ref", 1, 10), ""), "").alias("r"), F.split(F.array_join(F.slice("hyp", 1, 10), ""), "").alias("h"))
+    p = p.select(F.filter("r", lambda x: x != "").alias("r"), F.filter("h", lambda x: x != "").alias("h"))
+    g = lambda c, n: align.ngrams(F.col(c), n)
+    rows = p.select(*[c for n in range(1, 7) for c in (align.overlap(g("r", n), g("h", n)).alias(f"m{n}"), F.size(g("r", n)).alias(f"r{n}"), F.size(g("h", n)).alias(f"h{n}"))])
+    s = rows.agg(*[F.sum(c).cast("double").alias(c) for c in rows.columns])
+    prec = sum((F.col(f"m{n}") / F.col(f"h{n}") for n in range(1, 7)), F.lit(0.0)) / 6
+    rec = sum((F.col(f"m{n}") / F.col(f"r{n}") for n in range(1, 7)), F.lit(0.0)) / 6
+    return s.select((100 * 5 * prec * rec / (4 * prec + rec)).alias("chrf"))
+
+
+@query("WITH k AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) >= 9), m AS (SELECT lang, doc_id, w FROM documents, k WHERE contains(lower(text), w)) SELECT lang, count(*) AS hits, count(DISTINCT doc_id) AS docs, count(DISTINCT w) AS words FROM m GROUP BY lang")
+def keyword_recall(spark, d):
+    # vocabulary of the benchmark: the join key would be a substring, so the keyword list is an argument of one scan
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("w")).where("length(w) >= 9").distinct().agg(F.collect_set("w").alias("words"))
+    docs = table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism).crossJoin(F.broadcast(words))
+    hit = docs.select("lang", "doc_id", F.explode(F.filter("words", lambda w: F.contains(F.lower(F.col("text")), w))).alias("w"))
+    return hit.groupBy("lang").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("w").alias("words"))
+
+
+@query("WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM documents), c AS (SELECT doc_id, v, count(*) AS n FROM a GROUP BY ALL) SELECT d.lang, CAST(sum(n) AS BIGINT) AS literals, CAST(sum(least(n, 1)) AS BIGINT) AS hits, sum(least(n, 1)) / sum(n) AS recall FROM c JOIN documents d USING (doc_id) GROUP BY d.lang")
+def numeric_literal_recall(spark, d):
+    v = table(spark, d, "documents").select("doc_id", "lang", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("v"))
+    c = v.groupBy("doc_id", "lang", "v").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("lang").agg(F.sum("n").alias("literals"), F.sum(F.least("n", F.lit(1))).alias("hits"), (F.sum(F.least("n", F.lit(1))) / F.sum("n")).alias("recall"))
+
+
+@query("WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS x FROM documents) SELECT doc_id, x, CAST(x[6:7] AS INT) BETWEEN 1 AND 12 AND CAST(x[9:10] AS INT) BETWEEN 1 AND 31 AS valid FROM m")
+def date_literals(spark, d):
+    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(0))).alias("x"))
+    return m.select("doc_id", "x", (F.substring("x", 6, 2).cast("int").between(1, 12) & F.substring("x", 9, 2).cast("int").between(1, 31)).alias("valid"))
+
+
+@query("WITH e AS (SELECT a.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot, sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(CASE WHEN n > 0 THEN dot / n END, 6) AS cosine FROM e")
+def cosine_pairs(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    norm = F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))
+    return j.select("vec_id", F.round(F.when(norm > 0, dot("x", "y") / norm), 6).alias("cosine"))
+
+
+# ---- logs --------------------------------------------------------------------
+@query(f"WITH {LOG} SELECT id, line_no, ok, elapsed_s, workers, attempts, error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ok DESC, CASE WHEN ok THEN -line_no ELSE line_no END) AS k FROM log) WHERE k = 1")
+def log_dedup(spark, d):
+    return logs.latest(log(spark, d))
+
+
+@query(f"WITH {LOG} SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT id FROM log WHERE ok)")
+def resume_todo(spark, d):
+    return logs.todo(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), log(spark, d))
+
+
+@query(f"WITH {LOG}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ok DESC, CASE WHEN ok THEN -line_no ELSE line_no END) AS k FROM log) WHERE k = 1), j AS (SELECT c_mktsegment, coalesce(ok, false) AS ok FROM customer LEFT JOIN b ON id = c_custkey) SELECT c_mktsegment, count(*) AS n_total, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE ok) / count(*) AS coverage, count(*) FILTER (WHERE ok) / count(*) < 0.95 AS low_coverage FROM j GROUP BY ALL")
+def success_coverage(spark, d):
+    o = logs.outcomes(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), logs.latest(log(spark, d)))
+    g = o.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(~F.col("failed")).alias("n_ok"))
+    return g.withColumn("coverage", F.col("n_ok") / F.col("n_total")).withColumn("low_coverage", F.col("coverage") < 0.95)
+
+
+
+
+def _exclusive_sql(p: int) -> str:
+    j = f"CAST(least(greatest(floor({p} * (n + 1) / 100.0), 1), n - 1) AS BIGINT)"
+    return f"CASE WHEN n = 1 THEN x[1] ELSE (x[{j}] * (100 - ({p} * (n + 1) - {j} * 100)) + x[{j} + 1] * ({p} * (n + 1) - {j} * 100)) / 100.0 END"
+
+
+@query(f"WITH {LOG}, v AS (SELECT id, list_sort(list(elapsed_s)) AS x FROM log WHERE workers = 1 AND ok GROUP BY id), w AS (SELECT id, x, len(x) AS n FROM v) SELECT id, {_exclusive_sql(50)} AS p50, {_exclusive_sql(95)} AS p95 FROM w")
+def serial_latency_quantiles(spark, d):
+    g = log(spark, d).where("workers = 1 and ok").groupBy("id").agg(F.collect_list("elapsed_s").alias("x"))
+    return g.select("id", quantiles.exclusive(F.col("x"), 50).alias("p50"), quantiles.exclusive(F.col("x"), 95).alias("p95"))
+
+
+@query(f"WITH {LOG} SELECT workers, quantile_cont(elapsed_s::DOUBLE, 0.5) AS p50, quantile_cont(elapsed_s::DOUBLE, 0.95) AS p95, quantile_cont(elapsed_s::DOUBLE, 0.99) AS p99, count(*) AS calls, count(*) FILTER (WHERE ok) / count(*) AS success_rate FROM log GROUP BY workers")
+def inclusive_quantiles(spark, d):
+    q = lambda f, n: quantiles.inclusive(F.col("elapsed_s"), f).alias(n)
+    return log(spark, d).groupBy("workers").agg(q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"), F.count(F.lit(1)).alias("calls"), (F.count_if("ok") / F.count(F.lit(1))).alias("success_rate"))
+
+
+@query(f"WITH {LOG}, v AS (SELECT id, list_sort(list(elapsed_s)) AS x FROM log GROUP BY id) SELECT id, x[1 + CAST(round_even((len(x) - 1) * 0.95, 0) AS BIGINT)] AS p95 FROM v")
+def nearest_rank_latency(spark, d):
+    g = log(spark, d).groupBy("id").agg(F.collect_list("elapsed_s").alias("x"))
+    return g.select("id", quantiles.nearest_rank(F.col("x"), 0.95).alias("p95"))
+
+
+@query(f"WITH {LOG} SELECT id, CAST(sum(greatest(0, attempts - 1)) AS BIGINT) AS retries, avg(CASE WHEN attempts > 1 THEN 1.0 ELSE 0.0 END) AS retry_rate FROM log GROUP BY id")
+def retry_stats(spark, d):
+    return log(spark, d).groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)).alias("retries"), F.avg((F.col("attempts") > 1).cast("double")).alias("retry_rate"))
+
+
+@query(f"WITH {LOG} SELECT error AS reason, count(*) AS n, min(line_no) AS first_line FROM log WHERE NOT ok GROUP BY error ORDER BY n DESC, first_line LIMIT 5")
+def fail_reasons_top5(spark, d):
+    return log(spark, d).where("not ok").groupBy(F.col("error").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line")).orderBy(F.desc("n"), "first_line").limit(5)
+
+
+@query(f"WITH {LOG}, m AS (SELECT id, line_no, ok, sum(CAST(ok AS INT)) OVER (PARTITION BY id ORDER BY line_no) AS island FROM log) SELECT id AS by, min(line_no) AS first_line, count(*) AS length FROM m WHERE NOT ok GROUP BY id, island HAVING count(*) >= 3")
+def breaker_runs(spark, d):
+    return logs.failure_runs(log(spark, d), "id", "line_no", "ok", 3)
