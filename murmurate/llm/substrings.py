@@ -99,13 +99,13 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.nd
     return h.of(a, a + half).view(np.int64), ctx.view(np.int64), r, lo - off[r], hi - off[r]
 
 
-def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` bytes at least (Larsson and Sadakane 2007)."""
+def suffix_array(buf: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted by their first ``depth`` bytes at least, and their ranks; suffixes that are still tied share a rank (Larsson and Sadakane 2007)."""
     n = len(buf)
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key[: n - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_ = key[order]
     head = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -120,7 +120,7 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
             break
         s = order[tied]
         second = rank[np.minimum(s + h, n)]
-        sub = np.lexsort((second, rank[s]))
+        sub = np.argsort(rank[s] * (n + 1) + second)
         s, second = s[sub], second[sub]
         order[tied] = s
         own = rank[s]
@@ -129,43 +129,53 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
         begin = np.flatnonzero(split)
         rank[s] = np.repeat(tied[begin], np.diff(np.append(begin, len(s))))
         h *= 2
-    return order
+    return order, rank[:n]
 
 
-def common_prefixes(buf: np.ndarray, order: np.ndarray, cap: int, steps: int = 512) -> np.ndarray:
-    """Bytes that each suffix, by place in the text, shares with the one before it in ``order``, at most ``cap``.
+def common_prefixes(buf: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, count: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen suffixes in order, and the bytes that each shares with the chosen one before it, at most ``cap``.
 
-    Kasai's rule (a suffix shares at least one byte less than the suffix one
-    place before) runs in many stretches of the text at once.
+    Chosen are ``count`` suffixes from each ``begin``.  Kasai's rule (a suffix
+    shares at least one byte less than the suffix one place before) runs in all
+    these stretches at once; it holds while the neighbour's next suffix is chosen
+    too and the two are not tied beyond the sorted depth.
     """
     n = len(buf)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.where(place > 0, order[np.maximum(place - 1, 0)], -1)
+    chosen = np.zeros(n + 1, bool)
+    chosen[np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)] = True
+    few = order[chosen[order]]
+    before = np.full(n, -1)
+    before[few[1:]] = few[:-1]
     word = np.zeros(n + cap + 16, np.uint64)
     for k in range(8):
         word[: n - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * k)
     out = np.zeros(n, np.int32)
-    base = np.arange(0, n, steps)
+    lanes = np.argsort(-count, kind="stable")
+    base, count = begin[lanes], count[lanes]
     h = np.zeros(len(base), np.int64)
-    for step in range(min(steps, n)):
-        i = base + step
-        live = i < n
-        i, h = i[live], h[live]
-        base = base[live]
+    carry = np.zeros(len(base), bool)
+    for step in range(int(count[0]) if len(count) else 0):
+        live = int(np.searchsorted(-count, -step, "left"))
+        i = base[:live] + step
         j = before[i]
-        h = np.where(j >= 0, np.maximum(h - 1, 0), 0)
+        h = np.where((j >= 0) & carry[:live], np.maximum(h[:live] - 1, 0), 0)
         go = np.flatnonzero((j >= 0) & (h < cap))
         while len(go):
             x = word[i[go] + h[go]] ^ word[j[go] + h[go]]
-            low = x & (~x + np.uint64(1))
-            same = np.where(x == 0, 8, sum((low >= np.uint64(1 << (8 * k))).astype(np.int64) for k in range(1, 8)))
-            h[go] += same
-            go = go[(same == 8) & (h[go] < cap)]
-        room = n - np.maximum(i, j)
-        h = np.minimum(h, np.minimum(cap, room))
+            whole = x == 0
+            if not whole.all():
+                part = go[~whole]
+                low = x[~whole]
+                low &= ~low + np.uint64(1)
+                # the lowest set bit tells how many bytes are equal
+                h[part] += np.log2(low.astype(np.float64)).astype(np.int64) >> 3
+                go = go[whole]
+            h[go] += 8
+            go = go[h[go] < cap]
+        h = np.minimum(h, np.minimum(cap, n - np.maximum(i, j)))
         out[i] = h
-    return out
+        carry = (j >= 0) & chosen[j + 1] & (rank[i] != rank[j])
+    return few, out[few]
 
 
 def _shard(width: int):
@@ -178,17 +188,17 @@ def _shard(width: int):
         own = size - width + 1
         begin = np.cumsum(size) - size
         buf = np.frombuffer(b"".join(texts), np.uint8)
-        order = suffix_array(buf, width)
-        shared = common_prefixes(buf, order, width)
+        order, rank = suffix_array(buf, width)
+        few, shared = common_prefixes(buf, order, rank, begin, own, width)
         weight = np.zeros(len(buf), np.int64)
         who = np.repeat(np.arange(len(texts)), size)
         rel = np.arange(len(buf)) - begin[who]
         is_own = rel < own[who]
         weight[is_own] = np.minimum(n[who[is_own]], 2)
-        group = np.cumsum(shared[order] < width) - 1
-        total = np.bincount(group, weights=weight[order])
+        group = np.cumsum(shared < width) - 1
+        total = np.bincount(group, weights=weight[few])
         hit = np.zeros(len(buf), bool)
-        hit[order] = total[group] > 1
+        hit[few] = total[group] > 1
         hit &= is_own & (n[who] == 1)
         a, b = T.runs(hit, np.append(begin, len(buf)))
         kind, out_row, out_lo, out_hi, keys, ids = [np.zeros(len(a), np.int64)], [rows[who[a]]], [lo[who[a]] + rel[a]], [lo[who[a]] + rel[b - 1]], [None] * len(a), [None] * len(a)
