@@ -266,7 +266,10 @@ def _searcher(shared, slop: int):
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """HITS: every document with the word spans that windows of the items cover, and the items."""
+    """HITS: every document with the word spans that windows of the items cover, and the items.
+
+    ``index`` must be a written table (shards are named by the task that built them).
+    """
     spark = index.sparkSession
     found: list[DataFrame] = []
     for q in query_blocks(benchmark, window, block_words):

@@ -36,6 +36,8 @@ UNKNOWN = "und"
 DOCS = 60
 SAMPLE_BYTES = 48_000
 BLOCK = 2048
+#: Rows parsed together.
+ROWS = 1000
 #: Lanes that step together.
 LANES = 8192
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -172,7 +174,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = [reduce_text(t) for t in batch.column(text_at).to_pylist()]
             n = len(texts)
             label, score, rate = np.full(n, UNKNOWN, object), np.zeros(n), np.full(n, np.nan)

@@ -9,11 +9,12 @@
    bucket.  Pairs whose signatures agree in fewer than ``AGREE`` of the places
    are dropped; the rest are confirmed on the full shingle sets.
 3. Components come from alternating large-star and small-star rounds.
-4. Buckets that then still hold several components beside their smallest node
-   are compared completely, in blocks, on signatures; only pairs of different
+4. Buckets that still hold several components are paired with another member,
+   for a few rounds, each linear in the bucket; then what is still apart is
+   compared completely, in blocks, on signatures; only pairs of different
    components that agree go on, and are confirmed on full sets as well.  After
-   that no candidate pair is untested, so nothing hangs on the choice of the
-   smallest node.
+   that no candidate pair of different components is untested, so nothing hangs
+   on the choice of members.
 5. Components again, from all confirmed links.
 
 With 40 bands of 5 a pair at the threshold of 0.8 shares a bucket with
@@ -43,6 +44,8 @@ SHINGLE = 4
 BANDS, ROWS, HASHES = 40, 5, 256
 #: Share of equal minima from which a pair is compared exactly; at a similarity of 0.8 it lies four deviations below the mean.
 AGREE = 0.70
+#: Rounds after the first: all but the last pair each bucket's members with one more member, the last compares what is still apart.
+TURNS = 5
 #: Members of an open bucket that are compared with each other in one task.
 BLOCK = 4096
 #: Ids of documents to read again that are broadcast; beyond it they are joined.
@@ -140,11 +143,11 @@ def agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * intersection >= 80 * union."""
+def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the given nodes, read again from the documents."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = nodes.select(F.col("node").alias("doc_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         shared = spark.sparkContext.broadcast(np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64)))
     else:
@@ -159,16 +162,20 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 w, first = shingle_sets(buf, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([w[first[r] : first[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["node", "shingles"])
 
-    s = d.mapInArrow(sets, "node long, shingles binary").distinct()
-    both = pairs.join(s.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return d.mapInArrow(sets, "node long, shingles binary")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full shingle sets have 100 * intersection >= 80 * union."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= 80 * (len(p) + len(q) - both))
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(common > 0 and 100 * common >= 80 * (len(p) + len(q) - common))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
@@ -199,14 +206,22 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def open_pairs(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of different components whose signatures agree, from all buckets that hold several beside their smallest node."""
-    m = buckets.join(comps, "node", "left").select("key", "pivot", "node", F.coalesce("component", "node").alias("component"))
-    several = m.where("node <> pivot").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-    held = m.where("node <> pivot").join(several, "key")
-    # equal bucket contents are compared once
-    same = held.groupBy("key").agg(F.min("node").alias("x"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("h")).groupBy("x", "c", "h").agg(F.min("key").alias("key")).select("key")
-    held = held.join(same, "key", "left_semi")
+def grouped(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, component) of the buckets that hold more than one component, equal buckets once."""
+    m = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("x"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h")).where("lo <> hi")
+    once = mixed.groupBy("x", "n", "h").agg(F.min("key").alias("key")).select("key", "n")
+    return m.join(once, "key")
+
+
+def star_pairs(held: DataFrame, turn: int) -> DataFrame:
+    """Each member of a bucket with the bucket's member that comes first in this turn's order, if their components differ."""
+    first = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("pivot"), F.col("component").alias("pc"))).alias("f")).select("key", "f.pivot", "f.pc")
+    return held.join(first, "key").where("component <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+
+
+def open_pairs(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different components whose signatures agree, in buckets of several components."""
     # a bucket of more than BLOCK members is compared block by block
     held = held.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int"))
     dealt = held.select("key", "node", "component", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("cell"))
@@ -240,12 +255,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = band_keys(nodes)
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot")
     buckets = save(keys.join(shared, "key"), "buckets")
+    sets = save(full_sets(buckets, docs), "sets")
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = save(confirm(save(agreement(pairs, nodes), "pairs"), docs), "links")
+    links = save(confirm(agreement(pairs, nodes), sets), "links")
     comps = components(links)
-    more = save(open_pairs(buckets, nodes, comps), "open")
-    if not more.isEmpty():
-        comps = components(links.unionByName(confirm(more, docs)))
+    for turn in range(1, TURNS + 1):
+        held = save(grouped(buckets, comps), "held")
+        if held.isEmpty():
+            break
+        last = turn == TURNS
+        found = save(confirm(open_pairs(held, nodes) if last else agreement(star_pairs(held, turn), nodes), sets), "links")
+        if found.isEmpty() and not last:
+            continue
+        links = links.unionByName(found)
+        comps = components(links)
     found = sigs.select("doc_id", "n_shingles", "set1", "set2").join(rep, ["set1", "set2"], "left").join(comps, "node", "left")
     # rows that share a doc_id are one document
     joint = F.coalesce("component", "node", "doc_id")

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+#: Rows of a batch that are copied at once.
+CHUNK_ROWS = 1000
 _PERIOD = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
@@ -61,13 +63,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) with about ``limit`` bytes each; a longer text is a slice of its own."""
-    buf, off = buffers(text_array(column))
-    n, i = len(off) - 1, 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        j = min(j, n)
-        yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
+    for a in range(0, len(column), CHUNK_ROWS):
+        buf, off = buffers(text_array(column.slice(a, CHUNK_ROWS)))
+        n, i = len(off) - 1, 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+            j = min(j, n)
+            yield a + i, a + j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
+            i = j
 
 
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +140,8 @@ def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ok = np.ones(len(h) + 1, bool)
     for j in range(1, k):
-        ok[np.maximum(first[1:] - j, 0)] = False
+        late = first[1:] - j
+        ok[late[late >= 0]] = False
     # rows shorter than k words: none of their words starts a window
     counts = np.diff(first)
     for r in np.flatnonzero((counts > 0) & (counts < k)):
