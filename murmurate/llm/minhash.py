@@ -11,10 +11,11 @@
 3. Components come from alternating large-star and small-star rounds.
 4. Buckets that still hold several components are paired with another member,
    for a few rounds, each linear in the bucket; then what is still apart is
-   compared completely, in blocks, on signatures; only pairs of different
-   components that agree go on, and are confirmed on full sets as well.  After
-   that no candidate pair of different components is untested, so nothing hangs
-   on the choice of members.
+   compared completely, in blocks: pairs of different components whose
+   signatures agree are confirmed on full sets within the block, which puts out
+   a spanning forest of its links, not all of them.  After that no candidate
+   pair of different components is untested, so nothing hangs on the choice of
+   members.
 5. Components again, from all confirmed links.
 
 With 40 bands of 5 a pair at the threshold of 0.8 shares a bucket with
@@ -46,8 +47,10 @@ BANDS, ROWS, HASHES = 40, 5, 256
 AGREE = 0.70
 #: Rounds after the first: all but the last pair each bucket's members with one more member, the last compares what is still apart.
 TURNS = 5
-#: Members of an open bucket that are compared with each other in one task.
-BLOCK = 4096
+#: Members, and shingles, of an open bucket that are compared with each other in one task.
+BLOCK, BLOCK_SHINGLES = 4096, 2 << 20
+#: Sets that are compared with one set at once.
+AT_ONCE = 64
 #: Ids of documents to read again that are broadcast; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -55,6 +58,8 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 
+_LAST = np.int64(2**63 - 1)
+
 SIGNATURES = "doc_id long, n_shingles long, set1 long, set2 long, bands binary, sig binary"
 
 
@@ -220,29 +225,56 @@ def star_pairs(held: DataFrame, turn: int) -> DataFrame:
     return held.join(first, "key").where("component <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
 
 
-def open_pairs(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components whose signatures agree, in buckets of several components."""
-    # a bucket of more than BLOCK members is compared block by block
-    held = held.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int"))
-    dealt = held.select("key", "node", "component", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("cell"))
-    dealt = dealt.select("key", "cell.p", "cell.q", "own", "node", "component").join(nodes.select("node", "n", "sig"), "node")
-
-    def compare(t: pa.Table) -> pa.Table:
-        node, comp, n, own = (t.column(c).to_numpy() for c in ("node", "component", "n", "own"))
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        sig = np.frombuffer(b"".join(x.as_py() for x in t.column("sig")), np.uint16).reshape(-1, HASHES)
-        a, b = [], []
-        right = np.flatnonzero(own == q)
-        for i in np.flatnonzero(own == p):
-            j = right[right > i] if p == q else right
-            j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * 80)]
-            if len(j):
-                j = j[(sig[j] == sig[i]).mean(axis=1) >= AGREE]
-                a += [node[i]] * len(j)
-                b += node[j].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
+def linked(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of ``others`` reach the threshold with ``one``; sorted sets, none empty."""
+    size = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    at = np.searchsorted(one, every)
+    at[at == len(one)] = 0
+    common = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(size) - size)
+    return 100 * common >= 80 * (len(one) + size - common)
+
+
+def _block(t: pa.Table) -> pa.Table:
+    """Links of a cell of a bucket that join components: every pair of different components is tested once, until it is joined."""
+    key, p, q = (t.column(c)[0].as_py() for c in ("key", "p", "q"))
+    node, comp, n, own = (t.column(c).to_numpy() for c in ("node", "component", "n", "own"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+    bands = np.frombuffer(b"".join(t.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+    _, root = np.unique(comp, return_inverse=True)
+    a, b = [], []
+    right = np.flatnonzero(own == q)
+    for i in np.flatnonzero(own == p):
+        j = right[right > i] if p == q else right
+        j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * 80)]
+        # a pair is tested in the first of the buckets that it shares
+        j = j[np.where(bands[j] == bands[i], bands[i], _LAST).min(axis=1) == key]
+        j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= AGREE * HASHES]
+        while len(j):
+            some, j = j[:AT_ONCE], j[AT_ONCE:]
+            for x in some[linked(sets[i], [sets[x] for x in some])]:
+                if root[x] != root[i]:
+                    a.append(node[i])
+                    b.append(node[x])
+                    root[root == root[x]] = root[i]
+            j = j[root[j] != root[i]]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def open_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links between different components in buckets of several components.
+
+    A bucket beyond ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles is compared
+    block by block.  Sets are at hand in each cell, and a cell puts out only
+    links that join what it has not joined yet: fewer rows than it has members.
+    """
+    sized = held.select("key", "node", "component").join(nodes.select("node", "n"), "node")
+    blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("g"))
+    dealt = sized.drop("n").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int"))
+    dealt = dealt.select("key", "node", "component", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("cell"))
+    dealt = dealt.select("key", "cell.p", "cell.q", "own", "node", "component").join(nodes.select("node", "n", "bands", "sig"), "node").join(sets, "node")
+    found = dealt.groupBy("key", "p", "q").applyInArrow(_block, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -264,7 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if held.isEmpty():
             break
         last = turn == TURNS
-        found = save(confirm(open_pairs(held, nodes) if last else agreement(star_pairs(held, turn), nodes), sets), "links")
+        found = save(open_links(held, nodes, sets) if last else confirm(agreement(star_pairs(held, turn), nodes), sets), "links")
         if found.isEmpty() and not last:
             continue
         links = links.unionByName(found)
