@@ -31,6 +31,8 @@ END_ID = 1
 MAX_LEN = 2048
 #: Words that a Python worker keeps; when it is full it starts afresh, which only costs time.
 CACHE_WORDS = 2_000_000
+#: Bytes of text that are cut into words at once: the work arrays take about 40 bytes for each.
+SLICE_BYTES = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
 
@@ -193,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LEN, with_ids:
         enc = encoder(tokenizer_path)
         for batch in batches:
             docs_ = batch.column(0).to_pylist()
-            for i, j, _, _ in T.slices(batch.column(1), 4 << 20):
+            for i, j, _, _ in T.slices(batch.column(1), SLICE_BYTES):
                 cols: list[list] = [[] for _ in range(8)]
                 for doc, ids in zip(docs_[i:j], enc.encode(batch.column(1).slice(i, j - i).to_pylist()), strict=True):
                     at, n, raw = 0, len(ids), memoryview(ids.astype("<u4")).cast("B")
