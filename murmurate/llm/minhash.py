@@ -1,10 +1,13 @@
 """MinHash near-duplicate detection.
 
 1. A map hashes the distinct four-word shingles of each text with ``HASHES``
-   multiply-shift functions and keeps the minima: ``BANDS`` bands of ``ROWS``
-   minima, and a signature of 16 bits a minimum.  Texts with equal shingle sets
-   are one node (the smallest doc_id stands for it).
-2. Nodes that share a band's key are candidates.  In each bucket every node is
+   multiply-shift functions and keeps the minima as ``BANDS`` bands of ``ROWS``
+   minima.  Texts with equal shingle sets are one node (the smallest doc_id
+   stands for it).
+2. Nodes that share a band's key are candidates.  Only their texts are read
+   again, for the full shingle set and a signature of 16 bits a minimum, so the
+   wide columns of all other documents are neither kept nor shuffled.  In each
+   bucket every node is
    paired with the bucket's smallest node: one row a member, however large the
    bucket.  Pairs whose signatures agree in fewer than ``AGREE`` of the places
    are dropped; the rest are confirmed on the full shingle sets.
@@ -60,7 +63,8 @@ _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 
 _LAST = np.int64(2**63 - 1)
 
-SIGNATURES = "doc_id long, n_shingles long, set1 long, set2 long, bands binary, sig binary"
+SIGNATURES = "doc_id long, n_shingles long, set1 long, set2 long, bands binary"
+NODES = "node long, n long, bands binary, sig binary, shingles binary"
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +87,20 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np
     return w, np.searchsorted(owner, np.arange(n + 1))
 
 
+def minima(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``HASHES`` minima of each of the sets, none empty, and their band keys; a row for each set."""
+    sig = np.zeros((HASHES, len(first)), np.uint32)
+    keys = np.zeros((BANDS, len(first)), np.uint64)
+    if len(first):
+        for k in range(HASHES):
+            sig[k] = np.minimum.reduceat(w * _A[k] + _B[k], first) >> np.uint64(32)
+    for b in range(BANDS):
+        keys[b] = T.combine(np.full(len(first), b + 1, np.uint64), *(sig[b * ROWS + r].astype(np.uint64) for r in range(ROWS)))
+    return np.ascontiguousarray(sig.T), np.ascontiguousarray(keys.T)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """SIGNATURES of every row; bands and sig are null for an empty set."""
+    """SIGNATURES of every row; the last three columns are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,30 +108,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                 w, first = shingle_sets(buf, off)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
-                sig = np.zeros((HASHES, len(some)), np.uint32)
-                if len(some):
-                    for k in range(HASHES):
-                        sig[k] = np.minimum.reduceat(w * _A[k] + _B[k], first[some]) >> np.uint64(32)
-                keys = np.zeros((BANDS, len(some)), np.uint64)
-                for b in range(BANDS):
-                    keys[b] = T.combine(np.full(len(some), b + 1, np.uint64), *(sig[b * ROWS + r].astype(np.uint64) for r in range(ROWS)))
-                keys_, sig_ = np.ascontiguousarray(keys.T), np.ascontiguousarray(sig.T.astype(np.uint16))
-                at = {int(r): x for x, r in enumerate(some)}
-                set1, set2, bands, sigs = [], [], [], []
-                for r in range(j - i):
-                    if r in at:
-                        digest = hashlib.blake2b(w[first[r] : first[r + 1]].tobytes(), digest_size=16).digest()
-                        a, b = np.frombuffer(digest, np.int64)
-                        set1.append(int(a))
-                        set2.append(int(b))
-                        bands.append(keys_[at[r]].tobytes())
-                        sigs.append(sig_[at[r]].tobytes())
-                    else:
-                        for col in (set1, set2, bands, sigs):
-                            col.append(None)
+                _, keys = minima(w, first[some])
+                set1, set2, bands = ([None] * (j - i) for _ in range(3))
+                for r, key in zip(some.tolist(), keys, strict=True):
+                    digest = hashlib.blake2b(w[first[r] : first[r + 1]].tobytes(), digest_size=16).digest()
+                    set1[r], set2[r] = np.frombuffer(digest, np.int64).tolist()
+                    bands[r] = key.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(set1, pa.int64()), pa.array(set2, pa.int64()), pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())],
-                    ["doc_id", "n_shingles", "set1", "set2", "bands", "sig"],
+                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(set1, pa.int64()), pa.array(set2, pa.int64()), pa.array(bands, pa.binary())],
+                    ["doc_id", "n_shingles", "set1", "set2", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURES)
@@ -144,15 +145,16 @@ def agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in (2, 3))
                 ok = pa.array((x == y).mean(axis=1) >= AGREE)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            T.release()
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the given nodes, read again from the documents."""
+def candidates(buckets: DataFrame, docs: DataFrame) -> DataFrame:
+    """NODES of the buckets' nodes, read again from the documents; empty sets are left out."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = nodes.select(F.col("node").alias("doc_id")).distinct()
+    ids = buckets.select(F.col("node").alias("doc_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         shared = spark.sparkContext.broadcast(np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64)))
     else:
@@ -165,14 +167,21 @@ def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(np.isin(batch.column(0).fill_null(-(2**62)).to_numpy(zero_copy_only=False), shared.value)))
             for i, j, buf, off in T.slices(batch.column(1)):
                 w, first = shingle_sets(buf, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([w[first[r] : first[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["node", "shingles"])
+                n = np.diff(first)
+                some = np.flatnonzero(n)
+                sig, keys = minima(w, first[some])
+                each = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i).take(pa.array(some)), pa.array(n[some].astype(np.int64)), each(keys), each(sig.astype(np.uint16)), each(w[first[r] : first[r + 1]] for r in some)],
+                    ["node", "n", "bands", "sig", "shingles"],
+                )
 
-    return d.mapInArrow(sets, "node long, shingles binary")
+    return d.mapInArrow(sets, NODES)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose full shingle sets have 100 * intersection >= 80 * union."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,6 +192,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(common > 0 and 100 * common >= 80 * (len(p) + len(q) - common))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            T.release()
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
@@ -262,7 +272,7 @@ def _block(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def open_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def open_links(held: DataFrame, nodes: DataFrame) -> DataFrame:
     """Confirmed links between different components in buckets of several components.
 
     A bucket beyond ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles is compared
@@ -273,7 +283,7 @@ def open_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("g"))
     dealt = sized.drop("n").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int"))
     dealt = dealt.select("key", "node", "component", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("cell"))
-    dealt = dealt.select("key", "cell.p", "cell.q", "own", "node", "component").join(nodes.select("node", "n", "bands", "sig"), "node").join(sets, "node")
+    dealt = dealt.select("key", "cell.p", "cell.q", "own", "node", "component").join(nodes, "node")
     found = dealt.groupBy("key", "p", "q").applyInArrow(_block, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -281,27 +291,26 @@ def open_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     sigs = save(signatures(docs), "signatures")
-    sets = sigs.where("n_shingles > 0 and doc_id is not null")
-    rep = sets.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"))
-    nodes = save(sets.join(rep.withColumnRenamed("node", "doc_id"), ["set1", "set2", "doc_id"], "left_semi").dropDuplicates(["set1", "set2"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sig"), "nodes")
-    keys = band_keys(nodes)
+    some = sigs.where("n_shingles > 0 and doc_id is not null")
+    rep = save(some.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("set1", "set2", F.col("f.doc_id").alias("node"), "f.bands"), "representatives")
+    keys = band_keys(rep)
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot")
     buckets = save(keys.join(shared, "key"), "buckets")
-    sets = save(full_sets(buckets, docs), "sets")
+    nodes = save(candidates(buckets, docs), "nodes")
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = save(confirm(agreement(pairs, nodes), sets), "links")
+    links = save(confirm(agreement(pairs, nodes), nodes), "links")
     comps = components(links)
     for turn in range(1, TURNS + 1):
         held = save(grouped(buckets, comps), "held")
         if held.isEmpty():
             break
         last = turn == TURNS
-        found = save(open_links(held, nodes, sets) if last else confirm(agreement(star_pairs(held, turn), nodes), sets), "links")
+        found = save(open_links(held, nodes) if last else confirm(agreement(star_pairs(held, turn), nodes), nodes), "links")
         if found.isEmpty() and not last:
             continue
         links = links.unionByName(found)
         comps = components(links)
-    found = sigs.select("doc_id", "n_shingles", "set1", "set2").join(rep, ["set1", "set2"], "left").join(comps, "node", "left")
+    found = sigs.select("doc_id", "n_shingles", "set1", "set2").join(rep.drop("bands"), ["set1", "set2"], "left").join(comps, "node", "left")
     # rows that share a doc_id are one document
     joint = F.coalesce("component", "node", "doc_id")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), joint).alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
