@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmurate.llm import textops as T
+
 UNKNOWN = "und"
 DOCS = 60
 SAMPLE_BYTES = 48_000
@@ -191,6 +193,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
                 score[some] = np.clip(1 - least[some] / np.maximum(rest[some], 1), 0, 1) if counts.shape[1] > 1 else 1.0
                 rate[some] = least[some] / size[some]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score), pa.array(rate, from_pandas=True)], [*batch.schema.names, "lang_pred", "score", "phrase_rate"])
+            T.release()
 
     return docs.mapInArrow(run, schema)
 

@@ -9,6 +9,7 @@ the chance of any collision is about 3 %, and a collision merges two words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ SLICE_BYTES = 2 << 20
 #: Rows of a batch that are copied at once.
 CHUNK_ROWS = 1000
 _PERIOD = 1 << 16
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _POWER = np.multiply.accumulate(np.full(_PERIOD, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
@@ -61,6 +63,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and the allocators keep what a batch took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) with about ``limit`` bytes each; a longer text is a slice of its own."""
     for a in range(0, len(column), CHUNK_ROWS):
@@ -71,6 +80,7 @@ def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndar
             j = min(j, n)
             yield a + i, a + j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    release()
 
 
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
