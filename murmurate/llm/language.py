@@ -138,15 +138,9 @@ class Parser:
         return out
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def parser(samples: dict[str, bytes]) -> Parser:
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
+    return T.resident(("parser", key), lambda: Parser(samples))
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:

@@ -103,6 +103,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """SIGNATURES of every row; the last three columns are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.vacate()
         for batch in batches:
             for i, j, buf, off in T.slices(batch.column(1)):
                 w, first = shingle_sets(buf, off)
@@ -126,6 +127,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     """A row (key, node) for each band of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.vacate()
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], ["key", "node"])
@@ -140,6 +142,7 @@ def agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 80))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.vacate()
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in (2, 3))
@@ -162,6 +165,7 @@ def candidates(buckets: DataFrame, docs: DataFrame) -> DataFrame:
         d = d.join(ids, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.vacate()
         for batch in batches:
             if shared is not None:
                 batch = batch.filter(pa.array(np.isin(batch.column(0).fill_null(-(2**62)).to_numpy(zero_copy_only=False), shared.value)))
@@ -184,6 +188,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.vacate()
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):

@@ -168,13 +168,8 @@ class WordEncoder:
         return out  # type: ignore[return-value]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return T.resident(("words", path), lambda: WordEncoder(path))
 
 
 def binary_lengths(n: int, longest: int = MAX_LEN) -> list[int]:

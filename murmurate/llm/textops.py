@@ -70,6 +70,24 @@ def release() -> None:
         _trim(0)
 
 
+_resident: dict = {}
+
+
+def resident(key, make):
+    """The model ``key`` of this Python worker; a worker holds one model at a time, so that stages don't add up."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def vacate() -> None:
+    """Drops the model that an earlier stage left in this Python worker."""
+    if _resident:
+        _resident.clear()
+        release()
+
+
 def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) with about ``limit`` bytes each; a longer text is a slice of its own."""
     for a in range(0, len(column), CHUNK_ROWS):
