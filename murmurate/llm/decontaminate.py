@@ -35,7 +35,7 @@ from murmurate.llm import textops as T
 from murmurate.llm.scratch import save
 
 WINDOW = 10
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_WORDS = 1_000_000
 #: Places looked at together in a shard.
 CANDIDATES = 2_000_000
@@ -92,6 +92,7 @@ class _Shard:
 
     def rows(self, shard: int) -> pa.RecordBatch:
         h, places = np.concatenate(self.hashes), np.concatenate(self.places)
+        self.hashes, self.places = [], []
         order = np.argsort(h, kind="stable")
         h, places = h[order], places[order]
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -121,6 +122,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """INDEX rows: postings of every term of every shard, and the shard's directory where term is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.vacate()
         part, nth, shard = TaskContext.get().partitionId() << 32, 0, _Shard()
         for batch in batches:
             ids = batch.column(0).to_pylist()
