@@ -9,9 +9,11 @@ serial correlation); the smallest of the three p-values, corrected for three
 tests, is the battery's p-value.  Ordinary strings fail the battery.  Within
 each class of encoding and length a Benjamini-Hochberg cut at ``FDR`` separates
 the strings that are not random; what stays, if long enough for the battery to
-have power (``MIN_BITS``), is reported.  The cut is found from a histogram of
-p-values of all candidates (bounded by classes times bins), so no class is ever
-gathered in one task.
+have power (``MIN_BITS``), is reported.  There is no other threshold: a class of
+random strings has a cut near 0, a class of ordinary strings one near ``FDR``.
+The cut is found from a histogram of p-values of all candidates (bounded by
+classes times bins), so no class is ever gathered in one task; bins are
+``STEPS`` to a halving, so a p-value counts as at most 2 ** (1 / STEPS) of itself.
 
 Spans are in code points, the end is exclusive.  Defined cases: a null text is
 an empty one and has no spans; a null doc_id stays; repeated rows are reported
@@ -32,7 +34,8 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 FDR = 0.05
 #: Least length times bits per character; below it the battery can't tell a word from a draw.
 MIN_BITS = 100
-BINS = 200
+#: Bins of p-values to each halving, and halvings; smaller p-values share the last bin.
+STEPS, HALVINGS = 8, 64
 #: Name, characters allowed, alphabet in order.
 ENCODINGS = (
     ("digits", r"^[0-9]+$", "0123456789"),
@@ -85,6 +88,11 @@ def _with(e: Column, **fields: Column) -> Column:
     return e
 
 
+def bin_of(p: Column) -> Column:
+    """Bin b holds p-values over 2 ** (-(b + 1) / STEPS) up to 2 ** (-b / STEPS), the last bin all below."""
+    return F.floor(-STEPS * F.log2(F.least(F.lit(1.0), F.greatest(p, F.lit(2.0**-HALVINGS))))).cast("int")
+
+
 def battery(cands: Column) -> Column:
     """Adds encoding, length class, p-value bin and power to an array of structs with a ``value``."""
 
@@ -139,7 +147,7 @@ def battery(cands: Column) -> Column:
             e["start"].alias("start"),
             e["end"].alias("end"),
             F.concat_ws("/", e["encoding"], F.floor(F.log2(e["n"])).cast("string")).alias("class"),
-            F.ceil(F.least(F.lit(1.0), 3.0 * F.least(p_chi(e), p_runs(e), p_serial(e))) * BINS).cast("int").alias("bin"),
+            bin_of(3.0 * F.least(p_chi(e), p_runs(e), p_serial(e))).alias("bin"),
             (mixed(e["value"]) & (e["n"] * F.log2(e["k"]) >= MIN_BITS)).alias("power"),
         ),
     )
@@ -162,12 +170,12 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def cuts(found: DataFrame, fdr: float = FDR) -> dict[str, int]:
-    """The last rejected bin of each class of encoding and length (at most encodings x 32 rows reach the driver)."""
+    """The first rejected bin of each class of encoding and length that has one (at most encodings x 32 rows reach the driver)."""
     hist = found.select(F.explode("cands").alias("c")).groupBy(F.col("c.class").alias("class"), F.col("c.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     by_class = Window.partitionBy("class")
-    cum = hist.select("*", F.sum("n").over(by_class.orderBy("bin")).alias("below"), F.sum("n").over(by_class).alias("all"))
-    rejected = F.col("bin") / F.lit(float(BINS)) <= fdr * F.col("below") / F.col("all")
-    rows = cum.groupBy("class").agg(F.coalesce(F.max(F.when(rejected, F.col("bin"))), F.lit(0)).alias("cut")).collect()
+    cum = hist.select("*", F.sum("n").over(by_class.orderBy(F.desc("bin"))).alias("below"), F.sum("n").over(by_class).alias("all"))
+    rejected = F.pow(F.lit(2.0), -F.col("bin") / STEPS) <= fdr * F.col("below") / F.col("all")
+    rows = cum.where(rejected).groupBy("class").agg(F.min("bin").alias("cut")).collect()
     return {r["class"]: r["cut"] for r in rows}
 
 
@@ -175,12 +183,11 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, text and spans (sorted array of start, kind number, end) of every document."""
     found = find(docs)
     by_class = cuts(found, fdr)
-    floor = int(fdr * BINS)
     if by_class:
         cut = F.create_map(*[F.lit(x) for pair in sorted(by_class.items()) for x in pair])
-        keep = lambda c: c["power"] & (c["bin"] > F.greatest(cut[c["class"]], F.lit(floor)))
+        keep = lambda c: c["power"] & (c["bin"] < F.coalesce(cut[c["class"]], F.lit(STEPS * HALVINGS + 1)))
     else:
-        keep = lambda c: F.lit(False)
+        keep = lambda c: c["power"]
     random = F.transform(F.filter("cands", keep), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return found.select("doc_id", "text", F.array_sort(F.concat("base", random)).alias("spans"))
 

@@ -91,6 +91,21 @@ def test_secrets(spark):
     assert secrets.digests(d.limit(0)).count() == 0
 
 
+def test_secrets_cut(spark):
+    """The cut of a class alone decides: one string goes with the company it is in."""
+    rng = random.Random(8)
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    drawn = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(1500)]
+    plain = [f"{a}{b}{a}{b}{k % 10}A" for k in range(1500) for a, b in [rng.sample(["xxxxxx", "yyyyyy", "zzzzzz"], 2)]]
+    scan = lambda texts: {r["doc_id"]: r["spans"] for r in secrets.scan(docs(spark, list(enumerate(texts)))).collect()}
+    alone = scan(drawn)
+    assert sum(len(s) == 1 for s in alone.values()) > 0.99 * len(drawn)
+    both = scan(drawn + plain)
+    assert not any(both[k] for k in range(len(drawn), len(both)))
+    lost = [k for k in alone if alone[k] and not both[k]]
+    assert lost and len(lost) < 0.1 * len(drawn)
+
+
 def test_quality(spark, rows):
     d = docs(spark, rows)
     labels = spark.createDataFrame([(1000 + i, i % 2, 0) for i in range(40)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
