@@ -41,10 +41,37 @@ def diarization_error(ref: list[tuple[float, float, str]], hyp: list[tuple[float
     return (wrong - max(best.values())) / total
 
 
+class Matcher(difflib.SequenceMatcher):
+    """Finds the same blocks of two strings as its base without junk, by hashed slices; the base takes the square of a text's length."""
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> difflib.Match:
+        a, b = self.a[alo:ahi], self.b[blo:bhi]
+
+        def first(n: int) -> tuple[int, int] | None:
+            seen = {hash(b[j : j + n]) for j in range(len(b) - n + 1)}
+            for i in range(len(a) - n + 1):
+                if hash(a[i : i + n]) in seen and (j := b.find(a[i : i + n])) >= 0:
+                    return i, j
+            return None
+
+        # blocks of ``size`` exist, the earliest is ``at``; none has ``none``
+        size, at, none, known = 0, (0, 0), min(len(a), len(b)) + 1, False
+        while none - size > 1:
+            n = (size + none) // 2 if known else min(max(2 * size, 1), none - 1)
+            if found := first(n):
+                i, j = at = found
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                size = n
+            else:
+                none, known = n, True
+        return difflib.Match(alo + at[0], blo + at[1], size)
+
+
 def diff_blocks(ref: str, hyp: str, gap: int = 1, large: int = 8) -> list[tuple[int, int, int, int, bool]]:
     """Changed stretches of two texts; stretches at most ``gap`` apart are one, ``large`` flags long ones."""
     out: list[list[int]] = []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, ref, hyp, autojunk=False).get_opcodes():
+    for op, a, b, c, d in Matcher(None, ref, hyp, autojunk=False).get_opcodes():
         if op == "equal":
             continue
         if out and a - out[-1][1] <= gap:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmurate.functions import align, quantiles, textnorm
+from murmurate.functions import align, quantiles, textnorm, whole
 from murmurate.functions.der import bootstrap_groups, diarization_error, diff_blocks
 from murmurate.operators import curation, logs, ranking
 from murmurate.session import table
@@ -33,8 +33,18 @@ def query(sql: str | None = None):
 
 # ---- stand-ins -----------------------------------------------------------
 def pairs(spark, d) -> DataFrame:
-    """ref and hyp tokens of the first 40 words of each document, hyp with fixed deletions and substitutions."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.slice(align.tokens(F.col("text")), 1, 40).alias("ref"))
+    """The first 40 words of each document, as ``PAIRS`` has it; only for queries that an SQL oracle holds to that."""
+    return _pairs(spark, d, F.slice(align.tokens(F.col("text")), 1, 40))
+
+
+def whole_pairs(spark, d) -> DataFrame:
+    """All words of each document."""
+    return _pairs(spark, d, align.tokens(F.col("text")))
+
+
+def _pairs(spark, d, ref) -> DataFrame:
+    """ref and hyp tokens, hyp with fixed deletions and substitutions."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", ref.alias("ref"))
     at = lambda i, k, m: (F.col("doc_id") * k + i + 1) % m == 0
     hyp = F.transform(F.filter(F.transform("ref", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~at(s["i"], 7, 11)), lambda s: F.when(at(s["i"], 3, 13), F.lit("x")).otherwise(s["x"]))
     # one file may be one partition: spread rows before the folds
@@ -121,6 +131,53 @@ def chrf_corpus(spark, d):
     return s.select((100 * 5 * prec * rec / (4 * prec + rec)).alias("chrf"))
 
 
+# ---- the same on whole texts; no oracle, as SQL folds take the square of a text's length
+@query()
+def edit_wer_by_lang_whole(spark, d):
+    e = whole_pairs(spark, d).select("lang", F.size("ref").alias("len"), whole.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"))
+    return e.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("ref_len"), F.sum("edits").alias("edits"), F.coalesce(F.try_divide(F.sum("edits"), F.sum("len")), F.lit(0.0)).alias("wer"), F.avg((F.col("edits") > 0).cast("double")).alias("ser"))
+
+
+@query()
+def alignment_counts_whole(spark, d):
+    # insertions less deletions are the difference of the lengths in every alignment
+    return whole_pairs(spark, d).select("doc_id", whole.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"), (F.size("hyp") - F.size("ref")).cast("long").alias("ins_less_del"))
+
+
+@query()
+def cer_pairs_whole(spark, d):
+    p = whole_pairs(spark, d).select("doc_id", F.array_join("ref", " ").alias("r"), F.array_join("hyp", " ").alias("h")).where("r <> ''")
+    return p.select("doc_id", F.length("r").cast("long").alias("ref_len"), whole.edit_distance(F.replace("r", F.lit(" "), F.lit("")), F.replace("h", F.lit(" "), F.lit(""))).alias("edits"))
+
+
+@query()
+def rouge_unigram_whole(spark, d):
+    p = whole_pairs(spark, d).select("doc_id", whole.ngram_counts(F.col("ref"), F.col("hyp"), 1).alias("c"))
+    return p.select("doc_id", F.try_divide(2.0 * F.col("c")[0], F.col("c")[1] + F.col("c")[2]).alias("rouge1"))
+
+
+@query()
+def rouge_lcs_whole(spark, d):
+    return whole_pairs(spark, d).select("doc_id", whole.lcs(F.col("ref"), F.col("hyp")).alias("lcs"))
+
+
+@query()
+def bleu_corpus_whole(spark, d):
+    rows = whole_pairs(spark, d).select(whole.ngram_counts(F.col("ref"), F.col("hyp"), 4).alias("c"))
+    s = rows.agg(*[F.sum(F.col("c")[k]).cast("double").alias(f"c{k}") for k in range(12)])
+    lp = sum((F.log(F.col(f"c{3 * n}") / F.col(f"c{3 * n + 2}")) for n in range(4)), F.lit(0.0)) / 4
+    return s.select((100 * F.exp(lp) * F.when(F.col("c2") < F.col("c1"), F.exp(1 - F.col("c1") / F.col("c2"))).otherwise(1.0)).alias("bleu"), F.col("c1").cast("long").alias("ref_len"), F.col("c2").cast("long").alias("hyp_len"))
+
+
+@query()
+def chrf_corpus_whole(spark, d):
+    rows = whole_pairs(spark, d).select(whole.ngram_counts(F.array_join("ref", ""), F.array_join("hyp", ""), 6).alias("c"))
+    s = rows.agg(*[F.sum(F.col("c")[k]).cast("double").alias(f"c{k}") for k in range(18)])
+    prec = sum((F.col(f"c{3 * n}") / F.col(f"c{3 * n + 2}") for n in range(6)), F.lit(0.0)) / 6
+    rec = sum((F.col(f"c{3 * n}") / F.col(f"c{3 * n + 1}") for n in range(6)), F.lit(0.0)) / 6
+    return s.select((100 * 5 * prec * rec / (4 * prec + rec)).alias("chrf"))
+
+
 @query("WITH k AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) >= 9), m AS (SELECT lang, doc_id, w FROM documents, k WHERE contains(lower(text), w)) SELECT lang, count(*) AS hits, count(DISTINCT doc_id) AS docs, count(DISTINCT w) AS words FROM m GROUP BY lang")
 def keyword_recall(spark, d):
     # vocabulary of the benchmark: the join key would be a substring, so the keyword list is an argument of one scan

@@ -2,7 +2,7 @@
 
 
 import pandas as pd
-from murmurate.plans.catalog import F, Window, bootstrap_groups, curation, diarization_error, diff_blocks, pairs, query, ranking, table, textnorm, trace
+from murmurate.plans.catalog import F, Window, bootstrap_groups, curation, diarization_error, diff_blocks, query, ranking, table, textnorm, trace, whole, whole_pairs
 
 SEG = "seg AS (SELECT conv_id AS id, turn AS segment_id, role, text, length(text) / 10.0 AS dur, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) / 10.0 AS end_s FROM conversations)"
 
@@ -248,7 +248,7 @@ def event_windows(spark, d):
 # ---- Python where the semantics are sequential ------------------------------
 @query()
 def bootstrap_ci(spark, d):
-    p = pairs(spark, d).select("lang", "doc_id", F.levenshtein(F.array_join("ref", ""), F.array_join("hyp", "")).cast("double").alias("edits"), F.length(F.array_join("ref", "")).cast("double").alias("n"))
+    p = whole_pairs(spark, d).select("lang", "doc_id", whole.edit_distance(F.array_join("ref", ""), F.array_join("hyp", "")).cast("double").alias("edits"), F.length(F.array_join("ref", "")).cast("double").alias("n"))
     return bootstrap_groups(p, "lang", "doc_id", "edits", "n", rounds=200)
 
 
@@ -277,7 +277,7 @@ def der(spark, d):
 
 @query()
 def changed_blocks(spark, d):
-    p = pairs(spark, d).select("doc_id", F.array_join("ref", " ").alias("r"), F.array_join("hyp", " ").alias("h"))
+    p = whole_pairs(spark, d).select("doc_id", F.array_join("ref", " ").alias("r"), F.array_join("hyp", " ").alias("h"))
 
     @F.pandas_udf("struct<blocks:long,large:long>")
     def count(r: pd.Series, h: pd.Series) -> pd.DataFrame:
