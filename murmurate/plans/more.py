@@ -254,7 +254,7 @@ def bootstrap_ci(spark, d):
 
 @query()
 def zh_norm(spark, d):
-    return table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism).select("doc_id", textnorm.chinese_udf(F.substring("text", 1, 400)).alias("norm"))
+    return table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism).select("doc_id", textnorm.chinese_udf(F.col("text")).alias("norm"))
 
 
 @query()

@@ -141,3 +141,11 @@ def test_whole_texts(spark, tmp_path):
     base = {i: [o for o in difflib.SequenceMatcher(None, " ".join(a), " ".join(b), autojunk=False).get_opcodes() if o[0] != "equal"] for i, (a, b) in pair.items()}
     merged = lambda ops: sum(k == 0 or o[1] - ops[k - 1][2] > 1 for k, o in enumerate(ops))
     assert {x["doc_id"]: x["blocks"] for x in run("changed_blocks")} == {i: merged(o) for i, o in base.items()}
+
+
+def test_zh_norm_reads_whole_texts(spark, tmp_path):
+    from murmurate.plans import catalog, more  # noqa: F401
+
+    text = "很" * 500 + "2023年"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["norm"] for r in catalog.QUERIES["zh_norm"](spark, str(tmp_path)).collect()} == {1: "很" * 500 + "二零二三年", 2: None}
