@@ -6,6 +6,7 @@ import difflib
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 
 
@@ -86,12 +87,16 @@ def bootstrap_ci(num: list[float], den: list[float], rounds: int = 1000, seed: i
     n = len(num)
     if n < 2:
         return None
-    rng = random.Random(seed)
+    # the numbers of random.Random(seed).choices, drawn by numpy
+    *words, at = random.Random(seed).getstate()[1]
+    rng = np.random.RandomState()
+    rng.set_state(("MT19937", words, at))
+    top, bottom = np.asarray(num, float), np.asarray(den, float)
     stats = []
     for _ in range(rounds):
-        pick = rng.choices(range(n), k=n)
-        d = sum(den[i] for i in pick)
-        stats.append(sum(num[i] for i in pick) / d if d else 0.0)
+        pick = (rng.random_sample(n) * n).astype(np.int64)
+        d = bottom[pick].sum()
+        stats.append(float(top[pick].sum() / d) if d else 0.0)
     stats.sort()
     return stats[int(rounds * 0.025)], stats[int(rounds * 0.975)]
 

@@ -249,7 +249,7 @@ def event_windows(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     p = whole_pairs(spark, d).select("lang", "doc_id", whole.edit_distance(F.array_join("ref", ""), F.array_join("hyp", "")).cast("double").alias("edits"), F.length(F.array_join("ref", "")).cast("double").alias("n"))
-    return bootstrap_groups(p, "lang", "doc_id", "edits", "n", rounds=200)
+    return bootstrap_groups(p, "lang", "doc_id", "edits", "n")
 
 
 @query()

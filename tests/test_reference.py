@@ -149,3 +149,23 @@ def test_zh_norm_reads_whole_texts(spark, tmp_path):
     text = "很" * 500 + "2023年"
     spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["norm"] for r in catalog.QUERIES["zh_norm"](spark, str(tmp_path)).collect()} == {1: "很" * 500 + "二零二三年", 2: None}
+
+
+def test_bootstrap_rounds(spark, tmp_path):
+    """Order statistics 25 and 975 of 1000 rounds over whole texts."""
+    import random
+
+    from murmurate.functions import whole
+    from murmurate.plans import catalog, more  # noqa: F401
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 120))), "en", "s") for i in range(25)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    p = [("".join(r["ref"]), "".join(r["hyp"])) for r in catalog.whole_pairs(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    e, draw, stats = [whole.edits(*x) for x in p], random.Random(42), []
+    for _ in range(1000):
+        pick = draw.choices(range(25), k=25)
+        stats.append(sum(e[i] for i in pick) / sum(len(p[i][0]) for i in pick))
+    stats.sort()
+    got = catalog.QUERIES["bootstrap_ci"](spark, str(tmp_path)).first()
+    assert (got["lo"], got["hi"]) == (pytest.approx(stats[25], abs=1e-12), pytest.approx(stats[975], abs=1e-12))
