@@ -36,7 +36,9 @@ ARTICLE, OTHER = 1, 0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|head|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # a head ends at its end tag or the body's start, else after its last element
+    r"|<(?P<head>head)(?=[\s/>])[^>]*>(?:(?:(?!<body\b).)*?</head\s*>|(?:\s|<!--.*?-->|<(?:meta|link|base)\b[^>]*>|<(?P<inner>title|script|style|noscript|template)\b[^>]*>.*?</(?P=inner)\s*>)*+)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
@@ -45,6 +47,10 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del input acronym".split())
+#: Their text is never a block; without an end tag they end with their parent.
+_HIDDEN = frozenset("noscript template svg iframe".split())
+#: Start tags that end an open svg.
+_BREAKS = frozenset("article aside blockquote body center dd div dl dt embed footer h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key ends an open element of these.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -64,6 +70,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, in_link = 0, 0
+    hidden: int | None = None  # place of an open hidden element in the stack
 
     def flush() -> None:
         nonlocal linked
@@ -77,15 +84,37 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
+            if hidden is not None:
+                continue
             parts.append(text)
             if in_link:
                 linked += len(text.strip())
             continue
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"]:
+            if m["raw"] and hidden is None:
                 parts.append(" ")
             continue
+        if hidden is not None:
+            if m["close"]:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+                if k is None or k >= hidden:
+                    if k is not None:
+                        del stack[k:]
+                        hidden = None if k == hidden else hidden
+                    continue
+            elif stack[hidden][0] != "svg" or tag not in _BREAKS:
+                if tag not in _VOID and tag not in _INLINE and not m["attrs"].endswith("/"):
+                    stack.append((tag, ()))
+                continue
+            del stack[hidden:]
+            hidden = None
+        if tag in _HIDDEN:
+            if not m["close"] and not (tag == "svg" and m["attrs"].endswith("/")):
+                hidden = len(stack)
+                stack.append((tag, ()))
+            parts.append(" ")
+            continue
         if tag in _INLINE:
             if tag == "a":
                 in_link = 0 if m["close"] else 1
@@ -103,6 +132,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in _VOID:
             names = tuple(w.lower() for v in _NAME.findall(m["attrs"]) for w in _WORD.findall("".join(v)))
             stack.append((tag, names))
+    if hidden is not None:
+        del stack[hidden:]
     flush()
     return out
 

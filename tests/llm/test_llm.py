@@ -279,6 +279,26 @@ def test_html(spark):
     assert html.extract(pages.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<html><head><title>t</title><body><article><p>One.</p></article>", ["One."]),
+        ("<html><head><title>t</title><meta charset=x><p>One.</p>", ["One."]),
+        ("<head><title>t</title>x</head><body><p>One.</p>", ["One."]),
+        ("<p>One <svg width=1/> two.</p><p>Three.</p><svg><text>no</text></svg>", ["One two.", "Three."]),
+        ("<p>One <svg><g><text>no</text></g></svg> two.</p>", ["One two."]),
+        ("<div><p>One <svg> no</p><p>Two.</p></div><svg></svg>", ["One", "Two."]),
+        ("<p>One <svg><path> <p>Two.</p>", ["One", "Two."]),
+        ("<div>One<template><p>no</div><p>Two.</p>", ["One", "Two."]),
+        ("<div><iframe src=a></div><p>Two.</p>", ["Two."]),
+        ("<div><noscript><p>no</p></noscript>One</div>", ["One"]),
+        ("<p>One<script>no <p>no", ["One"]),
+    ],
+)
+def test_html_unclosed(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 
