@@ -9,8 +9,13 @@ serial correlation); the smallest of the three p-values, corrected for three
 tests, is the battery's p-value.  Ordinary strings fail the battery.  Within
 each class of encoding and length a Benjamini-Hochberg cut at ``FDR`` separates
 the strings that are not random; what stays, if long enough for the battery to
-have power (``MIN_BITS``), is reported.  There is no other threshold: a class of
-random strings has a cut near 0, a class of ordinary strings one near ``FDR``.
+have power (``MIN_BITS``) and mixed, is reported.  Mixed means a digit and a
+letter, or two changes from lower to upper case.  So random strings of lower-case
+letters only, of upper-case letters only or of digits only are never reported
+by it, at any length, nor letters of both cases with fewer than two such
+changes; digit runs of 16 or more are found by the hex rule.  There is no other
+threshold: a class of random strings has a cut near 0, a class of ordinary
+strings one near ``FDR``.
 The cut is found from a histogram of p-values of all candidates (bounded by
 classes times bins), so no class is ever gathered in one task; bins are
 ``STEPS`` to a halving, so a p-value counts as at most 2 ** (1 / STEPS) of itself.
