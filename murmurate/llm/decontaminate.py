@@ -134,6 +134,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if shard.ids:
             yield shard.rows(part + nth)
 
+    T.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
 
 
@@ -262,6 +263,7 @@ def _search_shard(q: Queries, table: pa.Table, slop: int) -> pa.Table:
 
 def _searcher(shared, slop: int):
     def run(shard: pa.Table) -> pa.Table:
+        T.vacate()
         return _search_shard(shared.value, shard, slop)
 
     return run

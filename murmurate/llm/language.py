@@ -7,8 +7,9 @@ cross-parsing estimate of relative entropy, Ziv and Merhav 1993).
 
 Texts are lower-cased and reduced to letters and single spaces, as UTF-8 bytes.
 A whole batch is parsed at once: each text is cut into blocks of ``BLOCK``
-bytes, a phrase ends at a block's end, and all blocks step through a dense
-transition table together.  Every byte of every text is parsed.
+bytes, which step through a dense transition table together, and a block's parse
+is then mended from where the one before it ended, so phrases run across blocks
+and the counts are those of one parse from the text's start to its end.
 
 The labelled text is a bounded sample, fixed by ``DOCS`` and ``SAMPLE_BYTES``
 per language: the documents with the smallest hash of their id.  Only this
@@ -84,17 +85,17 @@ class Automaton:
                     link[q] = link[new] = copy
             last = new
         n = len(steps)
-        root = np.zeros(width, np.int64)
+        root = np.zeros(width, np.int32)
         for c, t in steps[0].items():
             root[c] = t
-        table = np.tile(root * width * 2 + 1, (n, 1))
+        table = np.tile((root * width * 2 + 1).astype(np.int32), (n, 1))
         counts = np.fromiter((len(s) for s in steps), np.int64, n)
         rows = np.repeat(np.arange(n), counts)
         cols = np.fromiter((c for s in steps for c in s), np.int64, len(rows))
         to = np.fromiter((t for s in steps for t in s.values()), np.int64, len(rows))
         inner = rows > 0  # from the root every step begins a phrase
-        table[rows[inner], cols[inner]] = to[inner] * width * 2
-        self.table = table.ravel().astype(np.int32)
+        table[rows[inner], cols[inner]] = (to[inner] * width * 2).astype(np.int32)
+        self.table = table.ravel()
 
 
 class Parser:
@@ -110,7 +111,6 @@ class Parser:
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
-        out = np.zeros((len(texts), len(self.labels)), np.int64)
         size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         blocks = -(-size // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
@@ -119,25 +119,65 @@ class Parser:
         begin = off[owner] + nth * BLOCK
         length = np.minimum(BLOCK, off[owner + 1] - begin)
         buf = self.classes[np.frombuffer(b"".join(texts), np.uint8)]
-        order = np.argsort(-length, kind="stable")
-        for a in range(0, len(order), LANES):
-            lanes = order[a : a + LANES]
-            lb, ll = begin[lanes], length[lanes]
-            active = np.searchsorted(-ll, -np.arange(ll[0]), "left")  # lanes longer than each step
-            state = [np.zeros(len(lanes), np.int32) for _ in self.automata]
-            phrases = [np.zeros(len(lanes), np.int32) for _ in self.automata]
-            for step in range(int(ll[0])):
-                k = active[step]
-                c = buf[lb[:k] + step]
-                for m, auto in enumerate(self.automata):
-                    to = auto.table[state[m][:k] + c]
-                    phrases[m][:k] += to & 1
-                    state[m][:k] = to >> 1
-            for m, n in enumerate(phrases):
-                out[:, m] += np.bincount(owner[lanes], weights=n, minlength=len(texts)).astype(np.int64)
+        out = np.zeros((len(texts), len(self.labels)), np.int64)
+        for m, auto in enumerate(self.automata):
+            out[:, m] = np.bincount(owner, weights=_phrases(auto.table, buf, begin, length, nth > 0), minlength=len(texts))
         return out
 
 
+def _phrases(table: np.ndarray, buf: np.ndarray, begin: np.ndarray, length: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each block; a phrase goes on from a block into the one that follows it.
+
+    All blocks are first parsed from the root.  Then each block that follows
+    another is parsed again from where that one ended, until a phrase begins
+    where the first parse began one too: from there both are the same.  Blocks
+    that never fall into step hand a new end to the next one, in rounds.
+    """
+    starts = np.zeros(len(buf), bool)
+    count = np.zeros(len(begin), np.int64)
+    ends = np.zeros(len(begin), np.int32)
+    order = np.argsort(-length, kind="stable")
+    for a in range(0, len(order), LANES):
+        lanes = order[a : a + LANES]
+        lb, ll = begin[lanes], length[lanes]
+        active = np.searchsorted(-ll, -np.arange(ll[0]), "left")  # lanes longer than each step
+        state = np.zeros(len(lanes), np.int32)
+        for step in range(int(ll[0])):
+            k = active[step]
+            at = lb[:k] + step
+            to = table[state[:k] + buf[at]]
+            starts[at] = to & 1
+            state[:k] = to >> 1
+        ends[lanes] = state
+    if len(begin):
+        count += np.add.reduceat(starts.astype(np.int64), begin)
+    open_ = np.flatnonzero(follows)
+    while len(open_):
+        lanes, state = open_, ends[open_ - 1]
+        changed = []
+        step = 0
+        while len(lanes):
+            over = length[lanes] <= step
+            if over.any():
+                differs = over.copy()
+                differs[over] = ends[lanes[over]] != state[over]
+                ends[lanes[differs]] = state[differs]
+                changed.append(lanes[differs])
+                lanes, state = lanes[~over], state[~over]
+            at = begin[lanes] + step
+            to = table[state + buf[at]]
+            new, old = (to & 1).astype(bool), starts[at]
+            count[lanes] += new.astype(np.int64) - old
+            starts[at] = new
+            on = ~(new & old)
+            lanes, state = lanes[on], to[on] >> 1
+            step += 1
+        after = np.unique(np.concatenate(changed)) + 1 if changed else np.zeros(0, np.int64)
+        after = after[after < len(begin)]
+        open_ = after[follows[after]]
+    return count
+
+
 def parser(samples: dict[str, bytes]) -> Parser:
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
     return T.resident(("parser", key), lambda: Parser(samples))
@@ -165,6 +205,7 @@ def learn(docs: DataFrame, docs_per_label: int = DOCS, limit: int = SAMPLE_BYTES
 
 def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score and phrases per byte in the winning language; other columns of ``docs`` stay."""
+    T.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string, score double, phrase_rate double"])
     text_at = docs.columns.index("text")

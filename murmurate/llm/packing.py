@@ -30,7 +30,7 @@ from murmurate.llm import textops as T
 END_ID = 1
 MAX_LEN = 2048
 #: Words that a Python worker keeps; when it is full it starts afresh, which only costs time.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 400_000
 #: Bytes of text that are cut into words at once: the work arrays take about 40 bytes for each.
 SLICE_BYTES = 1 << 20
 
@@ -207,6 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LEN, with_ids:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
+    T.small_batches(docs.sparkSession)
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     return cut.withColumn("sequence_id", F.monotonically_increasing_id())
 

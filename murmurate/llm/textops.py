@@ -14,8 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 2 << 20
+#: Rows of whole texts that Spark sends to a Python worker at once.
+BATCH_ROWS = 1000
 #: Rows of a batch that are copied at once.
 CHUNK_ROWS = 1000
 _PERIOD = 1 << 16
@@ -76,8 +79,9 @@ _resident: dict = {}
 def resident(key, make):
     """The model ``key`` of this Python worker; a worker holds one model at a time, so that stages don't add up."""
     if key not in _resident:
-        _resident.clear()
+        vacate()
         _resident[key] = make()
+        release()
     return _resident[key]
 
 
@@ -88,6 +92,14 @@ def vacate() -> None:
         release()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of this session at ``BATCH_ROWS`` rows or less: a batch lies in the JVM and in a worker at the same time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) with about ``limit`` bytes each; a longer text is a slice of its own."""
     for a in range(0, len(column), CHUNK_ROWS):

@@ -146,6 +146,25 @@ def test_language(spark):
     assert p.count([t])[0, 0] == n
 
 
+@pytest.mark.parametrize("block", [3, 50, 2048])
+def test_phrases_run_across_blocks(monkeypatch, block):
+    def phrases(text, learnt):
+        n = k = 0
+        while k < len(text):
+            m = 1
+            while k + m < len(text) and text[k : k + m + 1] in learnt:
+                m += 1
+            n, k = n + 1, k + m
+        return n
+
+    monkeypatch.setattr(language, "BLOCK", block)
+    rng = random.Random(2)
+    samples = {k: " ".join(rng.choice(w) for _ in range(300)).encode() for k, w in {"a": ["the", "cat", "sat"], "b": ["der", "hund", "matte"]}.items()}
+    p = language.Parser(samples)
+    texts = [" ".join(rng.choice(["the", "hund", "zz", "cat sat the"]) for _ in range(rng.randint(0, 700))).encode() for _ in range(12)] + [samples["a"] * 4, b""]
+    assert p.count(texts).tolist() == [[phrases(t, samples[k]) for k in p.labels] for t in texts]
+
+
 def brute_hits(text, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
     w, hit, found = cut(text), set(), set()
