@@ -3,10 +3,13 @@
 Each stage works on all rows that the stage before kept and returns the columns
 of ``documents``; the last returns packed pieces.
 
-Defined cases: a document is named by its doc_id, or by a hash of its text where
-that is null; rows that share a name are one document, of which one row stays.
-Null texts have no letters and are rejected by the first stage.  Empty tables
-pass through all stages.
+Defined cases: rows that agree in doc_id and text are one document, of which one
+row stays; rows that share a doc_id with different texts are documents of their
+own until decontamination, which drops all rows of a doc_id that has a passage;
+a null doc_id counts as one of its own.  Null texts have no letters and are
+rejected by the first stage.  Very long texts are read whole by every stage.
+Empty tables pass through all stages; columns beyond those of documents are
+dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +36,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    dropped = minhash.near_duplicates(_named(docs)).where("not kept").select(F.col("doc_id").alias("name")).distinct()
-    d = docs.select(*COLUMNS).withColumn("name", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    one = Window.partitionBy("name").orderBy("text", "lang", "source")
-    return d.join(dropped, "name", "left_anti").withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*COLUMNS)
+    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    d = docs.select(*COLUMNS).withColumn("name", F.xxhash64("doc_id", "text"))
+    groups = minhash.near_duplicates(d.select(F.col("name").alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), F.col("component_id").alias("group"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name"))
+    stays = groups.join(d.select("name", "doc_id"), "name").groupBy("group").agg(first.alias("f")).select("f.name")
+    one = Window.partitionBy("name").orderBy("lang", "source")
+    return d.join(stays, "name", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
