@@ -1,31 +1,39 @@
 """Exact-substring deduplication with suffix arrays.
 
 A byte goes if a string of ``WIDTH`` bytes that covers it also starts anywhere
-else.  Every such string has an anchor, the first smallest seed hash among its
-first ``WIDTH``/2 places, which depends on the string alone; each start belongs
-to one anchor.  So:
+else.  Beside that, passages are counted: a word lies in one if a string of
+``PASSAGE`` whole words (or of ``WIDTH`` bytes, where the words take more) that
+holds the word also stands at a word's start of another document.
 
-1. A map cuts every text into anchors and emits, for each, a hash of the
-   ``WIDTH``/2 bytes at the anchor, and a hash of the whole context of the starts
-   that it owns.
+Every such string has an anchor, the first smallest seed hash among its first
+``WIDTH``/2 bytes and half of its words, which depends on the string alone; each
+start belongs to one anchor.  So:
+
+1. A map cuts every text into anchors and emits, for each, a hash of the bytes
+   at the anchor that all its strings hold, and a hash of the whole context of
+   the starts that it owns.
 2. Anchors seen once have no repeats.  Anchors whose whole context is seen
    twice are repeats throughout.  What is left (an anchor seen again in another
    context: the edges of repeated passages) goes on, one context of each kind.
 3. Such contexts are dealt to shards by anchor.  Each shard builds a suffix
-   array by Larsson-Sadakane refinement (prefix doubling that sorts only what is
-   still tied), takes Kasai's common prefixes, and marks the owned starts whose
-   neighbours share ``WIDTH`` bytes.
+   array by Larsson-Sadakane refinement (sorting only what is still tied and
+   still asked for), takes Kasai's common prefixes, and marks the owned starts
+   whose neighbours share ``WIDTH`` bytes, or ``PASSAGE`` words.
 4. An anchor with very many contexts is split over several shards; these also
    put out their starts as sorted lists of string hashes, which are cut at fixed
-   keys, and the pieces of one key range are merged by binary search.
+   keys by binary search, and the lists of one key range are merged.
 5. Marks are joined to the texts, united, and the rest is hashed.
 
 The filter in 1 and 2 loses nothing: two equal strings have equal anchors.
-Hashes of strings are 64 bits, and contexts agree in two of them.
+A text is named by a 64-bit hash of itself, so it keeps its name in every job,
+whatever executors come or go, and exact copies are one text.  Strings are
+compared by 64-bit hashes where they don't meet in a suffix array, and contexts
+agree in two of them.
 
 Defined cases: a null text is an empty one; texts shorter than WIDTH lose
-nothing; repeated rows are each other's repeats; a null doc_id stays null; an
-empty table gives an empty result; other columns are ignored.
+nothing; repeated rows are each other's repeats; a null doc_id stays null; very
+long texts are cut as a whole, by a work array of some 100 bytes for each of
+their bytes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,17 +50,30 @@ from murmurate.llm import textops as T
 from murmurate.llm.scratch import save
 
 WIDTH = 400
+#: Words of a passage.
+PASSAGE = 51
 #: Contexts of one anchor in a shard before it is split.
-SPLIT = 4000
-#: Key ranges of the merge across shards.
-RANGES = 256
-#: Bytes of contexts that a shard should have.
-SHARD = 4 << 20
+SPLIT = 2000
+#: Bytes of starts that one task merges across shards.
+MERGE = 8 << 20
+#: Bytes of contexts that a shard should have, and of texts cut at once.
+SHARD = SLICE = 1 << 20
+
+#: What a span of starts says: strings of bytes that are repeated, passages of words.
+BYTES, WORDS = 1, 2
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(pow(int(_P), -1, 1 << 64))
+#: Order of the bytes in a suffix array: 0 parts contexts, white space comes next, so that texts which end a word in the same place lie together.
+_SPACES = np.flatnonzero(~T.SPACED)
+_RANKED = np.zeros(256, np.uint8)
+_RANKED[_SPACES] = np.arange(1, len(_SPACES) + 1)
+_RANKED[T.SPACED] = len(_SPACES) + 1 + np.minimum(np.arange(250), 248)
+_FIRST_LETTER = len(_SPACES) + 1
 
 ANCHORS = "fp long, ctx long, row long, lo int, hi int"
+CONTEXTS = "fp long, ctx long, row long, lo long, n long, parts long, opens boolean, context binary"
+MARKS = "kind int, row long, lo long, hi long, keys binary, starts binary"
 
 
 class Prefix:
@@ -69,86 +90,136 @@ class Prefix:
         return T.mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
 
 
-def anchors(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+def _word_starts(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places where a word starts, within its row."""
+    new = mask.copy()
+    new[1:] &= ~mask[:-1]
+    first = off[:-1][off[:-1] < len(mask)]
+    new[first] = mask[first]
+    return np.flatnonzero(new)
+
+
+def anchors(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, words: int = PASSAGE) -> tuple[np.ndarray, ...]:
     """Anchor hash, context hash, row, first and last owned start (within the row)."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    half, n = width // 2, len(buf)
+    half, some, n = width // 2, (words - 1) // 2, len(buf)
     size = np.diff(off)
+    ws = _word_starts(T.SPACED[buf], off)
+    row_ws = np.searchsorted(ws, off)
+    full = np.flatnonzero(np.diff(row_ws) >= words)
     starts = np.maximum(size - width + 1, 0)
+    starts[full] = np.maximum(starts[full], ws[row_ws[full + 1] - words] - off[full] + 1)
     if not starts.sum():
         return none
-    row = np.repeat(np.arange(len(size)), starts)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), starts)
     p = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts) + off[row]
+    # the word start that comes ``some`` after each place, or the row's end
+    later = np.zeros(n + 1, np.int32)
+    later[ws + 1] = 1
+    later = np.cumsum(later, dtype=np.int32)  # starts before each place
+    far = np.append(ws, np.full(some + 1, n))
+
+    def reach(at: np.ndarray, r: np.ndarray) -> np.ndarray:
+        k = later[np.minimum(at + 1, n)] + some - 1
+        inside = k < row_ws[r + 1]
+        return np.minimum(np.where(inside, far[np.minimum(k, len(far) - 1)], off[r + 1]), np.minimum(at + half, off[r + 1]))
+
+    end = np.minimum(reach(p, row), off[row + 1] - 1)
     seed = np.zeros(n, np.uint64)
     for k in range(8):
         seed[: n - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * k)
     low = (T.mix(seed) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    del seed
+    level = (np.log2(end - p + 1) + 1e-9).astype(np.int8)
+    at = np.empty(len(p), np.int64)
     span = 1
-    while span * 2 <= half + 1:
+    for k in range(int(level.max()) + 1):
+        own = np.flatnonzero(level == k)
+        if len(own):
+            at[own] = (np.minimum(low[p[own]], low[end[own] - span + 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         low[:-span] = np.minimum(low[:-span], low[span:])
         span *= 2
-    rest = half + 1 - span
-    least = np.minimum(low[p], low[p + rest]) if rest else low[p]
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1
     lo, hi, a, r = p[first], p[last], at[first], row[first]
     h = Prefix(buf)
-    ctx = T.combine(h.of(lo, hi + width), (a - lo).astype(np.uint64), (hi - lo).astype(np.uint64))
-    return h.of(a, a + half).view(np.int64), ctx.view(np.int64), r, lo - off[r], hi - off[r]
+    stop = np.minimum(hi + width, off[r + 1])
+    ctx = T.combine(h.of(lo, stop), (a - lo).astype(np.uint64), (hi - lo).astype(np.uint64), (stop - lo).astype(np.uint64))
+    return h.of(a, reach(a, r)).view(np.int64), ctx.view(np.int64), r.astype(np.int64), lo - off[r], hi - off[r]
 
 
-def suffix_array(buf: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first ``depth`` bytes at least, and their ranks; suffixes that are still tied share a rank (Larsson and Sadakane 2007)."""
-    n = len(buf)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key[: n - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
-    order = np.argsort(key)
-    sorted_ = key[order]
-    head = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    group = np.flatnonzero(head)
-    rank[order] = np.repeat(group, np.diff(np.append(group, n)))
-    h = 8
-    while h < depth:
-        alone = head & np.append(head[1:], True)
-        tied = np.flatnonzero(~alone)  # places in groups that are not yet sorted
-        if not len(tied):
-            break
+def suffix_array(word: np.ndarray, owned: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``owned`` suffixes sorted by their first ``depth`` bytes, and the ranks of all; those that agree in them share a rank.
+
+    ``word`` has eight bytes from each place on.  Refinement as of Larsson and
+    Sadakane (2007): suffixes sorted to a depth are sorted deeper by the ranks of
+    suffixes further on, in groups that are still tied.  As many ranks as fit
+    into 64 bits make a key, and only suffixes whose rank the rest needs go on.
+    """
+    n = len(word)
+    each = 63 // max(n.bit_length(), 1)
+    # depths from the last to the first: places that are read at each
+    plan: list[tuple[int, list[int]]] = []
+    goal = depth
+    while goal > 8:
+        before = max(8, -(-goal // max(each, 2)))
+        hops = sorted({min(k * before, goal - before) for k in range(1, max(each, 2))} - {0})
+        plan.append((goal, hops))
+        goal = before
+    need = [owned]
+    for _, hops in plan:
+        more = need[-1].copy()
+        for hop in hops:
+            more[hop:] |= need[-1][:-hop]
+        need.append(more)
+    order = np.flatnonzero(need.pop())
+    key = word[order].byteswap()
+    by = np.argsort(key)
+    order, key = order[by], key[by]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.zeros(n + 1, np.int64)
+    begin = np.flatnonzero(head)
+    rank[order] = np.repeat(begin, np.diff(np.append(begin, len(order))))
+    for _, hops in reversed(plan):
+        order = order[need.pop()[order]]
+        own = rank[order]
+        head = np.concatenate([[True], own[1:] != own[:-1]])
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
         s = order[tied]
-        second = rank[np.minimum(s + h, n)]
-        sub = np.argsort(rank[s] * (n + 1) + second)
-        s, second = s[sub], second[sub]
-        order[tied] = s
-        own = rank[s]
-        split = np.concatenate([[True], (own[1:] != own[:-1]) | (second[1:] != second[:-1])])
-        head[tied] = split
-        begin = np.flatnonzero(split)
-        rank[s] = np.repeat(tied[begin], np.diff(np.append(begin, len(s))))
-        h *= 2
+        if each > len(hops):
+            key = own[tied]
+            for hop in hops:
+                key = (key << np.int64(n.bit_length())) | rank[np.minimum(s + hop, n)]
+            by = np.argsort(key)
+            key = key[by]
+            differ = key[1:] != key[:-1]
+        else:  # a shard of more than 2 ** 31 bytes
+            by = np.lexsort([rank[np.minimum(s + hop, n)] for hop in reversed(hops)] + [own[tied]])
+            cols = [own[tied][by], *(rank[np.minimum(s + hop, n)][by] for hop in hops)]
+            differ = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        order[tied] = s[by]
+        if len(tied):
+            head[tied] = np.concatenate([[True], differ])
+        begin = np.flatnonzero(head)
+        rank[order] = np.repeat(begin, np.diff(np.append(begin, len(order))))
     return order, rank[:n]
 
 
-def common_prefixes(buf: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, count: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen suffixes in order, and the bytes that each shares with the chosen one before it, at most ``cap``.
+def common_prefixes(word: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, count: np.ndarray, cap: int) -> np.ndarray:
+    """Bytes that each suffix of ``order`` shares with the one before it, at most ``cap``.
 
-    Chosen are ``count`` suffixes from each ``begin``.  Kasai's rule (a suffix
+    ``order`` holds ``count`` suffixes from each ``begin``.  Kasai's rule (a suffix
     shares at least one byte less than the suffix one place before) runs in all
-    these stretches at once; it holds while the neighbour's next suffix is chosen
-    too and the two are not tied beyond the sorted depth.
+    these stretches at once; it holds while the neighbour's next suffix is in the
+    order too and the two are not tied; tied ones share ``cap`` bytes.
     """
-    n = len(buf)
+    n = len(word)
     chosen = np.zeros(n + 1, bool)
-    chosen[np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)] = True
-    few = order[chosen[order]]
+    chosen[order] = True
     before = np.full(n, -1)
-    before[few[1:]] = few[:-1]
-    word = np.zeros(n + cap + 16, np.uint64)
-    for k in range(8):
-        word[: n - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * k)
+    before[order[1:]] = order[:-1]
+    word = np.append(word, np.zeros(cap + 16, np.uint64))
     out = np.zeros(n, np.int32)
     lanes = np.argsort(-count, kind="stable")
     base, count = begin[lanes], count[lanes]
@@ -159,6 +230,8 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, rank: np.ndarray, begin:
         i = base[:live] + step
         j = before[i]
         h = np.where((j >= 0) & carry[:live], np.maximum(h[:live] - 1, 0), 0)
+        tied = (j >= 0) & (rank[i] == rank[j])
+        h[tied] = cap
         go = np.flatnonzero((j >= 0) & (h < cap))
         while len(go):
             x = word[i[go] + h[go]] ^ word[j[go] + h[go]]
@@ -174,134 +247,247 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, rank: np.ndarray, begin:
             go = go[h[go] < cap]
         h = np.minimum(h, np.minimum(cap, n - np.maximum(i, j)))
         out[i] = h
-        carry = (j >= 0) & chosen[j + 1] & (rank[i] != rank[j])
-    return few, out[few]
-
-
-def _shard(width: int):
-    """Marks of a shard: spans of repeated starts (kind 0), sorted hashes of starts of split anchors (kind 1)."""
+        carry = (j >= 0) & chosen[j + 1] & ~tied
+    return out[order]
+
+
+def _passages(buf: np.ndarray, opens: np.ndarray, begin: np.ndarray, size: np.ndarray, own: np.ndarray, width: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owned places where a string of ``words`` words starts, the bytes of each (at most ``width``), and its context."""
+    inner = buf >= _FIRST_LETTER
+    first = inner.copy()
+    first[1:] &= ~inner[:-1]
+    first[begin[~opens]] = False
+    ws = np.flatnonzero(first)
+    who = np.searchsorted(begin, ws, "right") - 1
+    stop = np.flatnonzero(~inner)
+    k = np.flatnonzero(ws - begin[who] < own[who])
+    last = np.minimum(k + words - 1, len(ws) - 1)
+    here = (k + words - 1 < len(ws)) & (who[last] == who[k])
+    length = np.where(here, stop[np.minimum(np.searchsorted(stop, ws[last]), len(stop) - 1)] - ws[k], width + 1)
+    rest = begin[who[k]] + size[who[k]] - ws[k]
+    ok = here | (rest >= width)  # more than width bytes: its first ones stand for it
+    return ws[k][ok], np.minimum(length, width)[ok], who[k][ok]
+
+
+def _shard(width: int, words: int, ranges: int):
+    """Spans of marked starts (kind BYTES or WORDS, a context's worth), and sorted hashes of the strings of split anchors (kind 0, by range)."""
 
     def run(t: pa.Table) -> pa.Table:
+        T.vacate()
         texts = [x.as_py() for x in t.column("context")]
         rows, lo, n, parts = (t.column(c).to_numpy() for c in ("row", "lo", "n", "parts"))
+        opens = t.column("opens").to_numpy()
         size = np.array([len(x) for x in texts])
-        own = size - width + 1
-        begin = np.cumsum(size) - size
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        order, rank = suffix_array(buf, width)
-        few, shared = common_prefixes(buf, order, rank, begin, own, width)
-        weight = np.zeros(len(buf), np.int64)
-        who = np.repeat(np.arange(len(texts)), size)
+        # owned starts are told by the context's length unless the text ends in it
+        own = t.column("own").to_numpy()
+        begin = np.cumsum(size + 1) - (size + 1)
+        buf = _RANKED[np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)]
+        buf[begin + size] = 0
+        word = np.zeros(len(buf), np.uint64)
+        for k in range(8):
+            word[: len(buf) - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * k)
+        who = np.repeat(np.arange(len(texts)), size + 1)
         rel = np.arange(len(buf)) - begin[who]
         is_own = rel < own[who]
-        weight[is_own] = np.minimum(n[who[is_own]], 2)
-        group = np.cumsum(shared < width) - 1
-        total = np.bincount(group, weights=weight[few])
+        order, rank = suffix_array(word, is_own, width)
+        shared = common_prefixes(word, order, rank, begin, own, width)
+        # bytes: a neighbour shares them all; contexts seen twice are marked already
+        like = shared >= width
         hit = np.zeros(len(buf), bool)
-        hit[few] = total[group] > 1
-        hit &= is_own & (n[who] == 1)
+        hit[order] = like | np.append(like[1:], False)
+        hit &= (n == 1)[who] & (size[who] - rel >= width)
+        out: list[tuple] = []
+
+        def put(kind: int, a: np.ndarray, b: np.ndarray) -> None:
+            c = who[a]
+            out.append((np.full(len(a), kind), rows[c], lo[c] + rel[a], lo[c] + rel[b], [None] * len(a), [None] * len(a)))
+
         a, b = T.runs(hit, np.append(begin, len(buf)))
-        kind, out_row, out_lo, out_hi, keys, ids = [np.zeros(len(a), np.int64)], [rows[who[a]]], [lo[who[a]] + rel[a]], [lo[who[a]] + rel[b - 1]], [None] * len(a), [None] * len(a)
-        apart = np.flatnonzero(is_own & (parts[who] > 1))
-        if len(apart):
-            h = Prefix(buf).of(apart, apart + width)
-            by = np.argsort(h)
-            h, apart = h[by], apart[by]
-            cut = np.searchsorted(h, np.arange(RANGES, dtype=np.uint64) * np.uint64(2**64 // RANGES))  # the list is cut by binary search
-            cut = np.append(cut, len(h))
+        put(BYTES, a, b - 1)
+        # words: the same string starts a word in another text
+        at, length, c = _passages(buf, opens, begin, size, own, width, words)
+        if len(at):
+            place = np.empty(len(buf), np.int64)
+            place[order] = np.arange(len(order))
+            by = np.argsort(place[at])
+            at, length, c = at[by], length[by], c[by]
+            same = np.zeros(len(at), bool)
+            if len(at) > 1:
+                spots = place[at]
+                least = np.minimum.reduceat(shared[: spots[-1] + 1], spots[:-1] + 1)
+                same[1:] = (least >= length[1:]) & (length[1:] == length[:-1])
+            group = np.cumsum(~same) - 1
+            own_row = np.where(n[c] > 1, -1 - c, rows[c])  # a context of several texts differs from any one
+            cut = np.flatnonzero(~same)
+            several = (np.minimum.reduceat(own_row, cut) != np.maximum.reduceat(own_row, cut))[group] & (n[c] == 1)
+            # neighbouring words of a context are one span
+            by = np.argsort(at)
+            at, length, c, several = at[by], length[by], c[by], several[by]
+            edge = np.concatenate([[True], (several[1:] != several[:-1]) | (c[1:] != c[:-1])])
+            a = np.flatnonzero(edge)
+            b = np.append(a[1:], len(at)) - 1
+            put(WORDS, at[a[several[a]]], at[b[several[a]]])
+        apart = parts[who] > 1
+        if apart.any():
+            h = Prefix(buf)
+            s = np.flatnonzero(is_own & apart & (size[who] - rel >= width))
+            w = np.flatnonzero(apart[at]) if len(at) else np.zeros(0, np.int64)
+            keys = np.concatenate([h.of(s, s + width), T.mix(h.of(at[w], at[w] + length[w]) + np.uint64(WORDS))])
+            place, kind = np.concatenate([s, at[w]]), np.repeat([BYTES, WORDS], [len(s), len(w)])
+            by = np.argsort(keys)
+            keys, place, kind = keys[by], place[by], kind[by]
+            cut = np.searchsorted(keys >> np.uint64(32), (np.arange(ranges + 1) * 2**32 // ranges).astype(np.uint64))  # the list is cut by binary search
+            cut[-1] = len(keys)
             for r in np.flatnonzero(np.diff(cut)):
-                s = apart[cut[r] : cut[r + 1]]
-                kind.append(np.array([1]))
-                out_row.append(np.array([r]))
-                out_lo.append(np.array([0]))
-                out_hi.append(np.array([0]))
-                keys.append(h[cut[r] : cut[r + 1]].tobytes())
-                ids.append(np.stack([rows[who[s]], lo[who[s]] + rel[s], weight[s]]).astype(np.int64).tobytes())
-        return pa.table({"kind": np.concatenate(kind), "row": np.concatenate(out_row), "lo": np.concatenate(out_lo), "hi": np.concatenate(out_hi), "keys": pa.array(keys, pa.binary()), "starts": pa.array(ids, pa.binary())})
+                q = place[cut[r] : cut[r + 1]]
+                ids = np.stack([rows[who[q]], lo[who[q]] + rel[q], n[who[q]], kind[cut[r] : cut[r + 1]]]).astype(np.int64)
+                out.append(([0], [r], [0], [0], [keys[cut[r] : cut[r + 1]].tobytes()], [ids.tobytes()]))
+        cols = [np.concatenate([x[k] for x in out]) for k in range(4)] + [sum((x[k] for x in out), []) for k in (4, 5)]
+        T.release()
+        return pa.table({"kind": pa.array(cols[0], pa.int32()), "row": pa.array(cols[1], pa.int64()), "lo": pa.array(cols[2], pa.int64()), "hi": pa.array(cols[3], pa.int64()), "keys": pa.array(cols[4], pa.binary()), "starts": pa.array(cols[5], pa.binary())})
 
     return run
 
 
 def _merge(t: pa.Table) -> pa.Table:
-    """Starts of one key range that another shard's sorted list has as well, found by binary search."""
-    lists = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
-    starts = [np.frombuffer(x.as_py(), np.int64).reshape(3, -1) for x in t.column("starts")]
-    row, at = [], []
-    whole = np.sort(np.concatenate(lists))
-    for keys, s in zip(lists, starts, strict=True):
-        n = np.searchsorted(whole, keys, "right") - np.searchsorted(whole, keys, "left")
-        hit = (n > 1) & (s[2] == 1)
-        row.append(s[0][hit])
-        at.append(s[1][hit])
-    row_, at_ = np.concatenate(row), np.concatenate(at)
-    return pa.table({"row": row_, "lo": at_, "hi": at_})
-
-
-def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(row, lo, hi): spans of starts of repeated strings; ``docs`` has row and text."""
+    """Starts of one key range that have an equal in another place, found by binary search in the merged lists."""
+    keys = np.frombuffer(b"".join(x.as_py() for x in t.column("keys")), np.uint64)
+    row, lo, n, kind = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(4, -1) for x in t.column("starts")], axis=1)
+    by = np.argsort(keys, kind="stable")  # the lists are sorted runs
+    row, lo, n, kind = row[by], lo[by], n[by], kind[by]
+    whole = keys[by]
+    left, right = np.searchsorted(whole, whole, "left"), np.searchsorted(whole, whole, "right")
+    mark = np.where(n > 1, -1 - np.arange(len(row)), row)
+    begin = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, np.int64)
+    nth = np.searchsorted(begin, np.arange(len(whole)), "right") - 1
+    several = (np.minimum.reduceat(mark, begin) != np.maximum.reduceat(mark, begin))[nth] if len(whole) else np.zeros(0, bool)
+    hit = (n == 1) & np.where(kind == BYTES, right - left > 1, several)
+    return pa.table({"row": row[hit], "lo": lo[hit], "hi": lo[hit], "kind": pa.array(kind[hit], pa.int32())})
+
+
+def _contexts(width: int):
+    """The contexts of the wanted anchors of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.vacate()
+        names = [c.split()[0] for c in CONTEXTS.split(", ")] + ["own"]
+        for batch in batches:
+            e = batch.column(2)
+            each = np.diff(e.offsets.to_numpy())
+            if not each.sum():
+                continue
+            flat = e.flatten()
+            fp, ctx, n, parts, lo, hi = (flat.field(k) for k in range(6))
+            text = np.repeat(np.arange(batch.num_rows), each)
+            data = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(1)]
+            a, b = lo.to_numpy(), hi.to_numpy()
+            opens = [x == 0 or data[k][x - 1] in _BLANK for k, x in zip(text.tolist(), a.tolist(), strict=True)]
+            cut = [data[k][x : y + width] for k, x, y in zip(text.tolist(), a.tolist(), b.tolist(), strict=True)]
+            rows = batch.column(0).to_numpy()[text]
+            yield pa.RecordBatch.from_arrays([fp, ctx, pa.array(rows), pa.array(a.astype(np.int64)), n, parts, pa.array(opens), pa.array(cut, pa.binary()), pa.array((b - a + 1).astype(np.int64))], names)
+            T.release()
+
+    return run
+
+
+_BLANK = frozenset(_SPACES.tolist())
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, words: int = PASSAGE) -> DataFrame:
+    """(row, lo, hi, kind): spans of starts of repeated strings; ``docs`` has row (a hash of the text) and text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.vacate()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for i, j, buf, off in T.slices(batch.column(1)):
-                fp, ctx, r, lo, hi = anchors(buf, off, width)
+            for i, j, buf, off in T.slices(batch.column(1), SLICE):
+                fp, ctx, r, lo, hi = anchors(buf, off, width, words)
                 yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ctx), pa.array(ids[i:j][r].astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["fp", "ctx", "row", "lo", "hi"])
+                T.release()
 
+    T.small_batches(docs.sparkSession)
     found = save(docs.mapInArrow(cut, ANCHORS), "anchors")
-    classes = found.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one"))
-    seen = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("times"), F.min("n").alias("least"))
+    classes = found.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one"), F.max("row").alias("most"))
+    classes = classes.select("fp", "ctx", "n", "one", (F.col("one.row") != F.col("most")).alias("across"))
+    seen = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("times"), F.bool_and("across").alias("settled"))
     again = save(classes.join(seen.where("times > 1"), "fp"), "classes")
-    whole = found.join(again.where("n > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi").select("row", "lo", "hi")
-
-    edges = again.where("kinds > 1 and least = 1").select("fp", "n", F.ceil(F.col("kinds") / SPLIT).alias("parts"), "ctx", "one.*")
+    # repeats throughout; all of their places
+    twice = save(found.join(again.where("n > 1").select("fp", "ctx", "kinds", "across"), ["fp", "ctx"]), "twice")
+    whole = twice.select("row", "lo", "hi", F.when(F.col("across"), F.lit(BYTES | WORDS)).otherwise(F.lit(BYTES)).alias("kind"))
+
+    parts = F.ceil(F.col("kinds") / SPLIT).alias("parts")
+    ones = again.where("kinds > 1 and not settled and (n = 1 or across)").select("fp", "ctx", F.least("n", F.lit(2)).cast("long").alias("n"), parts, "one.*")
+    # places of a context that one text alone repeats: any of them may be in a passage that other texts have
+    alone = twice.where("kinds > 1 and not across").groupBy("fp", "ctx", "row", "lo", "hi").agg(F.first(parts).alias("parts")).select("fp", "ctx", F.lit(1).cast("long").alias("n"), "parts", "row", "lo", "hi")
+    edges = ones.unionByName(alone)
     wanted = edges.groupBy("row").agg(F.collect_list(F.struct("fp", "ctx", "n", "parts", "lo", "hi")).alias("e"))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass")
-                e = batch.column(2)[k].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["fp"] for x in e]), pa.array([x["ctx"] for x in e]), pa.array([batch.column(0)[k].as_py()] * len(e)), pa.array([x["lo"] for x in e], pa.int64()), pa.array([x["n"] for x in e]), pa.array([x["parts"] for x in e]), pa.array([text[x["lo"] : x["hi"] + width] for x in e], pa.binary())],
-                    ["fp", "ctx", "row", "lo", "n", "parts", "context"],
-                )
-
-    held = save(docs.join(wanted, "row").select("row", "text", "e").mapInArrow(contexts, "fp long, ctx long, row long, lo long, n long, parts long, context binary"), "contexts")
-    size = held.agg(F.sum(F.length("context"))).first()[0] or 0
-    shards = max(1, size // SHARD)
+    # exact copies are cut once
+    once = docs.groupBy("row").agg(F.first("text").alias("text"))
+    held = save(once.join(wanted, "row").select("row", "text", "e").mapInArrow(_contexts(width), CONTEXTS + ", own long"), "contexts")
+    size = held.agg(F.sum(F.length("context")), F.sum(F.when(F.col("parts") > 1, F.col("own")))).first()
+    shards, ranges = max(1, (size[0] or 0) // SHARD), max(1, (size[1] or 0) * 40 // MERGE)
     shard = F.pmod(F.xxhash64("fp", F.when(F.col("parts") > 1, F.pmod("ctx", "parts"))), F.lit(shards))
-    marks = save(held.withColumn("shard", shard).groupBy("shard").applyInArrow(_shard(width), "kind long, row long, lo long, hi long, keys binary, starts binary"), "marks")
-    across = marks.where("kind = 1").groupBy("row").applyInArrow(_merge, "row long, lo long, hi long")
-    inner = marks.where("kind = 0").select("row", "lo", "hi").unionByName(across)
-    return whole.select("row", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).unionByName(inner)
-
-
-def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, kept (bytes), n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeats(d.select("row", "text"), width).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    marks = save(held.withColumn("shard", shard).drop("fp", "ctx").groupBy("shard").applyInArrow(_shard(width, words, ranges), MARKS), "marks")
+    across = marks.where("kind = 0").groupBy("row").applyInArrow(_merge, "row long, lo long, hi long, kind int")
+    inner = marks.where("kind > 0").select("row", "lo", "hi", "kind")
+    # a text that stands in several rows is a passage of all of them
+    copies = docs.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1").select("row", F.lit(0).cast("long").alias("lo"), F.col("size").cast("long").alias("hi"), F.lit(BYTES | WORDS).alias("kind"))
+    return whole.select("row", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "kind").unionByName(inner).unionByName(across).unionByName(copies)
+
+
+def _joined(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans with those that overlap or touch made one."""
+    by = np.argsort(lo, kind="stable")
+    lo, hi = lo[by], np.maximum.accumulate(hi[by])
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    return lo[new], hi[np.append(new[1:], len(hi)) - 1]
+
+
+def _passage_words(data: bytes, lo: np.ndarray, hi: np.ndarray, width: int, words: int) -> int:
+    """Words in strings of ``words`` words (or ``width`` bytes) that start in the spans."""
+    buf = np.frombuffer(data, np.uint8)
+    starts, ends = T.runs(T.SPACED[buf], np.array([0, len(buf)]))
+    k = np.flatnonzero((np.arange(len(starts)) + words <= len(starts)) | (starts + width <= len(data)))
+    nth = np.searchsorted(lo, starts[k], "right") - 1
+    k = k[(nth >= 0) & (starts[k] <= hi[nth])]
+    until = np.minimum(np.minimum(k + words, len(starts)), np.searchsorted(ends, starts[k] + width, "right"))
+    until = np.maximum(until, k + 1)
+    mark = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(mark, k, 1)
+    np.add.at(mark, until, -1)
+    return int((np.cumsum(mark[:-1]) > 0).sum())
+
+
+def remove(docs: DataFrame, width: int = WIDTH, words: int = PASSAGE) -> DataFrame:
+    """doc_id, kept (bytes), n_bytes, n_removed, n_spans, kept_sha256 and n_passage_words of every document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.xxhash64(text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    spans = repeats(d.select("row", "text"), width, words).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        T.vacate()
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_passage_words"]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64())
         for batch in (b.slice(i, T.CHUNK_ROWS) for b in batches for i in range(0, b.num_rows, T.CHUNK_ROWS)):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in types]
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                removed = n_spans = 0
+                removed = n_spans = passage = 0
+                kept = data
                 if own.is_valid and len(own):
                     s = own.values
-                    lo, hi = s.field(0).to_numpy(), s.field(1).to_numpy() + width
-                    by = np.argsort(lo, kind="stable")
-                    lo, hi = lo[by], np.maximum.accumulate(hi[by])
-                    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
-                    lo, hi = lo[new], hi[np.append(new[1:], len(hi)) - 1]
-                    removed, n_spans = int((hi - lo).sum()), len(lo)
-                    kept = b"".join(data[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True))
-                else:
-                    kept = data
-                for col, v in zip(out, (len(data), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    lo, hi, kind = (s.field(k).to_numpy() for k in range(3))
+                    strings = (kind & BYTES > 0) & (lo + width <= len(data))
+                    if strings.any():
+                        a, b = _joined(lo[strings], np.minimum(hi[strings] + width, len(data)))
+                        removed, n_spans = int((b - a).sum()), len(a)
+                        kept = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
+                    if (kind & WORDS).any():
+                        passage = _passage_words(data, *_joined(lo[kind & WORDS > 0], hi[kind & WORDS > 0]), width, words)
+                for col, v in zip(out, (len(data), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept, passage), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names)
+            T.release()
 
     whole = d.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_passage_words long")

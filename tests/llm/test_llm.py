@@ -259,25 +259,69 @@ def test_near_duplicates(spark, rows, monkeypatch):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_substrings(spark, rows, monkeypatch):
-    width = 40
-    rng = random.Random(9)
-    passage = "".join(rng.choice("abcdef ") for _ in range(130))
-    data = rows + [(300 + k, "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(0, 200))) + passage[k % 5 : 90 + k] + "".join(rng.choice("abcdefgh") for _ in range(50))) for k in range(12)] + [(400, "a" * 100), (401, "ab" * 60)]
-    seen = collections.Counter(b[p : p + width] for _, t in data for b in [(t or "").encode()] for p in range(len(b) - width + 1))
+def brute_repeats(data, width, words):
+    texts = [(t or "").encode() for _, t in data]
+    seen = collections.Counter(b[p : p + width] for b in texts for p in range(len(b) - width + 1))
+    strings = collections.defaultdict(set)
+    spans = []
+    for n, b in enumerate(texts):
+        w = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        own = []
+        for k, (a, _) in enumerate(w):
+            if k + words <= len(w) and w[k + words - 1][1] - a <= width:
+                own.append((k, k + words, b[a : w[k + words - 1][1]]))
+            elif a + width <= len(b):
+                own.append((k, max([k + 1, *(j + 1 for j in range(k, min(k + words, len(w))) if w[j][1] <= a + width)]), b[a : a + width]))
+        for _, _, x in own:
+            strings[x].add(n)
+        spans.append(own)
     want = collections.Counter()
-    for i, t in data:
-        b = (t or "").encode()
+    for n, (i, b) in enumerate(zip([i for i, _ in data], texts, strict=True)):
         cov = bytearray(len(b))
         for p in range(len(b) - width + 1):
             if seen[b[p : p + width]] > 1:
                 cov[p : p + width] = b"\1" * width
         kept = bytes(c for c, m in zip(b, cov, strict=True) if not m)
-        want[i, len(b), sum(cov), sum(1 for k in range(len(b)) if cov[k] and (not k or not cov[k - 1])), hashlib.sha256(kept).hexdigest()] += 1
-    for split in (4000, 2):
-        monkeypatch.setattr(substrings, "SPLIT", split)
-        got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove(docs(spark, data), width).collect())
-        assert got == want
+        passage = {j for a, e, x in spans[n] if len(strings[x]) > 1 for j in range(a, e)}
+        want[i, len(b), sum(cov), sum(1 for k in range(len(b)) if cov[k] and (not k or not cov[k - 1])), hashlib.sha256(kept).hexdigest(), len(passage)] += 1
+    return want
+
+
+def substring_rows(rows, seed=9):
+    rng = random.Random(seed)
+    passage = "".join(rng.choice("abcdef ") for _ in range(130))
+    data = rows + [(300 + k, "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(0, 200))) + passage[k % 5 : 90 + k] + "".join(rng.choice("abcdefgh") for _ in range(50))) for k in range(12)] + [(400, "a" * 100), (401, "ab" * 60)]
+    short = "to be or not to be that is it"
+    return data + [(500 + k, f"{'x' * k} u{k} {short[: 20 + k]}{' ' if k % 2 else '\n'}end {k} {'y z ' * (k % 3)}") for k in range(10)] + [(520, short), (521, short + " " + short)]
+
+
+@pytest.mark.parametrize("split", [4000, 2])
+def test_substrings(spark, rows, monkeypatch, split):
+    width, words = 40, 6
+    monkeypatch.setattr(substrings, "SPLIT", split)
+    monkeypatch.setattr(substrings, "MERGE", 4000)
+    data = substring_rows(rows)
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage_words"]) for r in substrings.remove(docs(spark, data), width, words).collect())
+    assert got == brute_repeats(data, width, words)
+
+
+def test_substrings_when_partitions_change(spark, rows, monkeypatch, tmp_path):
+    """A text keeps its name when a later job reads it in other partitions."""
+    data = substring_rows(rows)
+    spark.createDataFrame(data, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/d")
+    saved, old = substrings.save, spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def save_and_change(df, name):
+        out = saved(df, name)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1" if name == "anchors" else str(64 << 20))
+        return out
+
+    monkeypatch.setattr(substrings, "save", save_and_change)
+    try:
+        got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage_words"]) for r in substrings.remove(spark.read.parquet(f"{tmp_path}/d"), 40, 6).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert got == brute_repeats(data, 40, 6)
     assert substrings.remove(docs(spark, [])).count() == 0
 
 
