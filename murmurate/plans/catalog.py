@@ -32,11 +32,6 @@ def query(sql: str | None = None):
 
 
 # ---- stand-ins -----------------------------------------------------------
-def pairs(spark, d) -> DataFrame:
-    """The first 40 words of each document, as ``PAIRS`` has it; only for queries that an SQL oracle holds to that."""
-    return _pairs(spark, d, F.slice(align.tokens(F.col("text")), 1, 40))
-
-
 def whole_pairs(spark, d) -> DataFrame:
     """All words of each document."""
     return _pairs(spark, d, align.tokens(F.col("text")))
@@ -52,10 +47,9 @@ def _pairs(spark, d, ref) -> DataFrame:
 
 
 PAIRS = r"""
-p0 AS (SELECT doc_id, lang, source, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')[1:40] AS ref FROM documents),
+p0 AS (SELECT doc_id, lang, source, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '') AS ref FROM documents),
 p1 AS (SELECT *, list_transform(list_filter(list_zip(ref, range(1, len(ref) + 1)), lambda s: (doc_id * 7 + s[2]) % 11 <> 0), lambda s: CASE WHEN (doc_id * 3 + s[2]) % 13 = 0 THEN 'x' ELSE s[1] END) AS hyp FROM p0)
 """
-FOLD = "list_last(list_reduce(list_prepend(range(0, len(hyp) + 1), list_transform(range(1, len(ref) + 1), lambda k: [k])), lambda prev, kk: list_reduce(list_prepend([prev[1] + 1], list_transform(range(1, len(hyp) + 1), lambda j: [j])), lambda cur, jj: list_append(cur, least(list_last(cur) + 1, prev[jj[1] + 1] + 1, prev[jj[1]] + CASE WHEN hyp[jj[1]] = ref[kk[1]] THEN 0 ELSE 1 END)))))"
 
 
 def log(spark, d) -> DataFrame:
@@ -66,111 +60,52 @@ def log(spark, d) -> DataFrame:
 LOG = "log AS (SELECT user_id AS id, event_id AS line_no, event_type <> 'error' AS ok, value AS elapsed_s, 1 + event_id % 3 AS workers, 1 + event_id % 3 AS attempts, CASE WHEN event_type = 'error' THEN 'reason ' || (event_id % 7) END AS error FROM events)"
 
 
-# ---- alignment metrics -----------------------------------------------------
-@query(f"WITH {PAIRS}, e AS (SELECT lang, len(ref) AS n, {FOLD} AS edits FROM p1) SELECT lang, count(*) AS n, CAST(sum(n) AS BIGINT) AS ref_len, CAST(sum(edits) AS BIGINT) AS edits, CASE WHEN sum(n) > 0 THEN sum(edits) / sum(n) ELSE 0 END AS wer, avg(CASE WHEN edits > 0 THEN 1.0 ELSE 0.0 END) AS ser FROM e GROUP BY lang")
-def edit_wer_by_lang(spark, d):
-    e = pairs(spark, d).select("lang", F.size("ref").alias("len"), align.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"))
-    return e.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("ref_len"), F.sum("edits").alias("edits"), F.coalesce(F.try_divide(F.sum("edits"), F.sum("len")), F.lit(0.0)).alias("wer"), F.avg((F.col("edits") > 0).cast("double")).alias("ser"))
-
-
-@query(f"WITH {PAIRS} SELECT doc_id, CAST({FOLD} AS BIGINT) AS edits, CAST(len(hyp) - len(ref) AS BIGINT) AS ins_less_del FROM p1")
-def alignment_counts(spark, d):
-    a = pairs(spark, d).select("doc_id", align.alignment(F.col("ref"), F.col("hyp")).alias("a"))
-    return a.select("doc_id", (F.col("a.s") + F.col("a.d") + F.col("a.i")).cast("long").alias("edits"), (F.col("a.i") - F.col("a.d")).cast("long").alias("ins_less_del"))
-
-
-@query(f"WITH {PAIRS}, p2 AS (SELECT doc_id, list_filter(string_split(array_to_string(ref[1:6], ' '), ''), lambda c: c <> '' AND c <> ' ') AS ref, list_filter(string_split(array_to_string(hyp[1:6], ' '), ''), lambda c: c <> '' AND c <> ' ') AS hyp, length(array_to_string(ref[1:6], ' ')) AS n FROM p1) SELECT doc_id, CAST(n AS BIGINT) AS ref_len, CAST({FOLD} AS BIGINT) AS edits FROM p2 WHERE len(ref) > 0")
-def cer_pairs(spark, d):
-    p = pairs(spark, d).select("doc_id", F.array_join(F.slice("ref", 1, 6), " ").alias("r"), F.array_join(F.slice("hyp", 1, 6), " ").alias("h")).where("r <> ''")
-    # Spark's levenshtein works on code points
-    return p.select("doc_id", F.length("r").cast("long").alias("ref_len"), F.levenshtein(F.replace("r", F.lit(" "), F.lit("")), F.replace("h", F.lit(" "), F.lit(""))).cast("long").alias("edits"))
-
-
-
-
-@query(f"WITH {PAIRS}, r AS (SELECT doc_id, unnest(ref) AS x FROM p1), h AS (SELECT doc_id, unnest(hyp) AS x FROM p1), rc AS (SELECT doc_id, x, count(*) AS n FROM r GROUP BY ALL), hc AS (SELECT doc_id, x, count(*) AS n FROM h GROUP BY ALL), o AS (SELECT doc_id, sum(least(rc.n, hc.n)) AS hit FROM rc JOIN hc USING (doc_id, x) GROUP BY doc_id) SELECT p1.doc_id, CASE WHEN len(ref) + len(hyp) > 0 THEN 2.0 * coalesce(hit, 0) / (len(ref) + len(hyp)) END AS rouge1 FROM p1 LEFT JOIN o USING (doc_id)")
-def rouge_unigram(spark, d):
-    p = pairs(spark, d)
-    return p.select("doc_id", F.try_divide(2.0 * align.overlap(F.col("ref"), F.col("hyp")), F.size("ref") + F.size("hyp")).alias("rouge1"))
-
-
-LCSF = "list_last(list_reduce(list_prepend(list_transform(range(0, len(hyp) + 1), lambda z: 0), list_transform(range(1, len(ref) + 1), lambda k: [k])), lambda prev, kk: list_reduce(list_prepend([0], list_transform(range(1, len(hyp) + 1), lambda j: [j])), lambda cur, jj: list_append(cur, CASE WHEN hyp[jj[1]] = ref[kk[1]] THEN prev[jj[1]] + 1 ELSE greatest(list_last(cur), prev[jj[1] + 1]) END))))"
-
-
-@query(f"WITH {PAIRS} SELECT doc_id, CAST({LCSF} AS BIGINT) AS lcs FROM p1")
-def rouge_lcs(spark, d):
-    return pairs(spark, d).select("doc_id", align.lcs(F.col("ref"), F.col("hyp")).cast("long").alias("lcs"))
-
-
 def _ngram_sql(n: int, side: str) -> str:
     return f"SELECT doc_id, {n} AS k, array_to_string({side}[i:i + {n - 1}], ' ') AS g, count(*) AS n FROM p1, unnest(range(1, greatest(len({side}) - {n - 2}, 1))) t(i) GROUP BY ALL"
 
 
-@query(f"WITH {PAIRS}, rg AS ({' UNION ALL '.join(_ngram_sql(n, 'ref') for n in range(1, 5))}), hg AS ({' UNION ALL '.join(_ngram_sql(n, 'hyp') for n in range(1, 5))}), m AS (SELECT k, sum(least(rg.n, hg.n)) AS hit FROM rg JOIN hg USING (doc_id, k, g) GROUP BY k), t AS (SELECT k, sum(n) AS total FROM hg GROUP BY k), pr AS (SELECT avg(ln(hit / total)) AS lp FROM m JOIN t USING (k)), l AS (SELECT sum(len(ref)) AS r, sum(len(hyp)) AS h FROM p1) SELECT 100 * exp(lp) * CASE WHEN h < r THEN exp(1 - r / h) ELSE 1 END AS bleu, CAST(r AS BIGINT) AS ref_len, CAST(h AS BIGINT) AS hyp_len FROM pr, l")
-def bleu_corpus(spark, d):
-    p = pairs(spark, d)
-    rows = p.select(F.size("ref").alias("r"), F.size("hyp").alias("h"), *[c for n in range(1, 5) for c in (align.overlap(align.ngrams(F.col("ref"), n), align.ngrams(F.col("hyp"), n)).alias(f"m{n}"), F.size(align.ngrams(F.col("hyp"), n)).alias(f"t{n}"))])
-    s = rows.agg(*[F.sum(c).cast("double").alias(c) for c in rows.columns])
-    lp = sum((F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in range(1, 5)), F.lit(0.0)) / 4
-    return s.select((100 * F.exp(lp) * F.when(F.col("h") < F.col("r"), F.exp(1 - F.col("r") / F.col("h"))).otherwise(1.0)).alias("bleu"), F.col("r").cast("long").alias("ref_len"), F.col("h").cast("long").alias("hyp_len"))
-
-
-def _chr_sql(n: int, side: str) -> str:
-    return f"SELECT doc_id, {n} AS k, {side}[i:i + {n - 1}] AS g, count(*) AS n FROM c, unnest(range(1, greatest(length({side}) - {n - 2}, 1))) t(i) GROUP BY ALL"
-
-
-@query(f"WITH {PAIRS}, c AS (SELECT doc_id, array_to_string(ref[1:10], '') AS r, array_to_string(hyp[1:10], '') AS h FROM p1), rg AS ({' UNION ALL '.join(_chr_sql(n, 'r') for n in range(1, 7))}), hg AS ({' UNION ALL '.join(_chr_sql(n, 'h') for n in range(1, 7))}), m AS (SELECT k, sum(least(rg.n, hg.n)) AS hit FROM rg JOIN hg USING (doc_id, k, g) GROUP BY k), a AS (SELECT k, sum(n) AS nr FROM rg GROUP BY k), b AS (SELECT k, sum(n) AS nh FROM hg GROUP BY k), q AS (SELECT avg(hit / nh) AS p, avg(hit / nr) AS r FROM m JOIN a USING (k) JOIN b USING (k)) SELECT 100 * 5 * p * r / (4 * p + r) AS chrf FROM q")
-def chrf_corpus(spark, d):
-    p = pairs(spark, d).select(F.split(F.array_join(F.slice("ref", 1, 10), ""), "").alias("r"), F.split(F.array_join(F.slice("hyp", 1, 10), ""), "").alias("h"))
-    p = p.select(F.filter("r", lambda x: x != "").alias("r"), F.filter("h", lambda x: x != "").alias("h"))
-    g = lambda c, n: align.ngrams(F.col(c), n)
-    rows = p.select(*[c for n in range(1, 7) for c in (align.overlap(g("r", n), g("h", n)).alias(f"m{n}"), F.size(g("r", n)).alias(f"r{n}"), F.size(g("h", n)).alias(f"h{n}"))])
-    s = rows.agg(*[F.sum(c).cast("double").alias(c) for c in rows.columns])
-    prec = sum((F.col(f"m{n}") / F.col(f"h{n}") for n in range(1, 7)), F.lit(0.0)) / 6
-    rec = sum((F.col(f"m{n}") / F.col(f"r{n}") for n in range(1, 7)), F.lit(0.0)) / 6
-    return s.select((100 * 5 * prec * rec / (4 * prec + rec)).alias("chrf"))
-
-
-# ---- the same on whole texts; no oracle, as SQL folds take the square of a text's length
+# ---- alignment metrics on whole texts; edits of words have no oracle, as SQL folds take the square of a text's length
 @query()
-def edit_wer_by_lang_whole(spark, d):
+def edit_wer_by_lang(spark, d):
     e = whole_pairs(spark, d).select("lang", F.size("ref").alias("len"), whole.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"))
     return e.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("ref_len"), F.sum("edits").alias("edits"), F.coalesce(F.try_divide(F.sum("edits"), F.sum("len")), F.lit(0.0)).alias("wer"), F.avg((F.col("edits") > 0).cast("double")).alias("ser"))
 
 
 @query()
-def alignment_counts_whole(spark, d):
+def alignment_counts(spark, d):
     # insertions less deletions are the difference of the lengths in every alignment
     return whole_pairs(spark, d).select("doc_id", whole.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"), (F.size("hyp") - F.size("ref")).cast("long").alias("ins_less_del"))
 
 
-@query()
-def cer_pairs_whole(spark, d):
+# the engine's own distance is of bytes; these texts are ASCII
+@query(f"WITH {PAIRS} SELECT doc_id, CAST(length(array_to_string(ref, ' ')) AS BIGINT) AS ref_len, CAST(levenshtein(array_to_string(ref, ''), array_to_string(hyp, '')) AS BIGINT) AS edits FROM p1 WHERE len(ref) > 0")
+def cer_pairs(spark, d):
     p = whole_pairs(spark, d).select("doc_id", F.array_join("ref", " ").alias("r"), F.array_join("hyp", " ").alias("h")).where("r <> ''")
     return p.select("doc_id", F.length("r").cast("long").alias("ref_len"), whole.edit_distance(F.replace("r", F.lit(" "), F.lit("")), F.replace("h", F.lit(" "), F.lit(""))).alias("edits"))
 
 
-@query()
-def rouge_unigram_whole(spark, d):
+@query(f"WITH {PAIRS}, r AS (SELECT doc_id, unnest(ref) AS x FROM p1), h AS (SELECT doc_id, unnest(hyp) AS x FROM p1), rc AS (SELECT doc_id, x, count(*) AS n FROM r GROUP BY ALL), hc AS (SELECT doc_id, x, count(*) AS n FROM h GROUP BY ALL), o AS (SELECT doc_id, sum(least(rc.n, hc.n)) AS hit FROM rc JOIN hc USING (doc_id, x) GROUP BY doc_id) SELECT p1.doc_id, CASE WHEN len(ref) + len(hyp) > 0 THEN 2.0 * coalesce(hit, 0) / (len(ref) + len(hyp)) END AS rouge1 FROM p1 LEFT JOIN o USING (doc_id)")
+def rouge_unigram(spark, d):
     p = whole_pairs(spark, d).select("doc_id", whole.ngram_counts(F.col("ref"), F.col("hyp"), 1).alias("c"))
     return p.select("doc_id", F.try_divide(2.0 * F.col("c")[0], F.col("c")[1] + F.col("c")[2]).alias("rouge1"))
 
 
 @query()
-def rouge_lcs_whole(spark, d):
+def rouge_lcs(spark, d):
     return whole_pairs(spark, d).select("doc_id", whole.lcs(F.col("ref"), F.col("hyp")).alias("lcs"))
 
 
-@query()
-def bleu_corpus_whole(spark, d):
+@query(f"WITH {PAIRS}, rg AS ({' UNION ALL '.join(_ngram_sql(n, 'ref') for n in range(1, 5))}), hg AS ({' UNION ALL '.join(_ngram_sql(n, 'hyp') for n in range(1, 5))}), m AS (SELECT k, sum(least(rg.n, hg.n)) AS hit FROM rg JOIN hg USING (doc_id, k, g) GROUP BY k), t AS (SELECT k, sum(n) AS total FROM hg GROUP BY k), pr AS (SELECT avg(ln(hit / total)) AS lp FROM m JOIN t USING (k)), l AS (SELECT sum(len(ref)) AS r, sum(len(hyp)) AS h FROM p1) SELECT 100 * exp(lp) * CASE WHEN h < r THEN exp(1 - r / h) ELSE 1 END AS bleu, CAST(r AS BIGINT) AS ref_len, CAST(h AS BIGINT) AS hyp_len FROM pr, l")
+def bleu_corpus(spark, d):
     rows = whole_pairs(spark, d).select(whole.ngram_counts(F.col("ref"), F.col("hyp"), 4).alias("c"))
     s = rows.agg(*[F.sum(F.col("c")[k]).cast("double").alias(f"c{k}") for k in range(12)])
     lp = sum((F.log(F.col(f"c{3 * n}") / F.col(f"c{3 * n + 2}")) for n in range(4)), F.lit(0.0)) / 4
     return s.select((100 * F.exp(lp) * F.when(F.col("c2") < F.col("c1"), F.exp(1 - F.col("c1") / F.col("c2"))).otherwise(1.0)).alias("bleu"), F.col("c1").cast("long").alias("ref_len"), F.col("c2").cast("long").alias("hyp_len"))
 
 
+# no oracle: its character n-grams are too many rows
 @query()
-def chrf_corpus_whole(spark, d):
+def chrf_corpus(spark, d):
     rows = whole_pairs(spark, d).select(whole.ngram_counts(F.array_join("ref", ""), F.array_join("hyp", ""), 6).alias("c"))
     s = rows.agg(*[F.sum(F.col("c")[k]).cast("double").alias(f"c{k}") for k in range(18)])
     prec = sum((F.col(f"c{3 * n}") / F.col(f"c{3 * n + 2}") for n in range(6)), F.lit(0.0)) / 6
@@ -187,19 +122,6 @@ def keyword_recall(spark, d):
     return hit.groupBy("lang").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("w").alias("words"))
 
 
-@query("WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM documents), c AS (SELECT doc_id, v, count(*) AS n FROM a GROUP BY ALL) SELECT d.lang, CAST(sum(n) AS BIGINT) AS literals, CAST(sum(least(n, 1)) AS BIGINT) AS hits, sum(least(n, 1)) / sum(n) AS recall FROM c JOIN documents d USING (doc_id) GROUP BY d.lang")
-def numeric_literal_recall(spark, d):
-    v = table(spark, d, "documents").select("doc_id", "lang", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("v"))
-    c = v.groupBy("doc_id", "lang", "v").agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("lang").agg(F.sum("n").alias("literals"), F.sum(F.least("n", F.lit(1))).alias("hits"), (F.sum(F.least("n", F.lit(1))) / F.sum("n")).alias("recall"))
-
-
-@query("WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS x FROM documents) SELECT doc_id, x, CAST(x[6:7] AS INT) BETWEEN 1 AND 12 AND CAST(x[9:10] AS INT) BETWEEN 1 AND 31 AS valid FROM m")
-def date_literals(spark, d):
-    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(0))).alias("x"))
-    return m.select("doc_id", "x", (F.substring("x", 6, 2).cast("int").between(1, 12) & F.substring("x", 9, 2).cast("int").between(1, 31)).alias("valid"))
-
-
 @query("WITH e AS (SELECT a.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot, sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(CASE WHEN n > 0 THEN dot / n END, 6) AS cosine FROM e")
 def cosine_pairs(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))

@@ -20,13 +20,6 @@ def segment_vad_block(spark, d):
     return s.groupBy("role").agg(F.count(F.lit(1)).alias("n"), rate(F.col("dur") < 2).alias("lt2"), rate(F.col("dur") > 15).alias("gt15"), F.percentile("dur", 0.5).alias("p50"), F.max("dur").alias("longest"), (60.0 * F.count(F.lit(1)) / F.sum("dur")).alias("per_minute"), F.count_if((F.col("dur") < 2) & (F.length("text") <= 12)).alias("islands"), F.count_if(F.col("dur") > 20.5).alias("hard_max"))
 
 
-@query("WITH n AS (SELECT conv_id, turn, nullif(trim(lower(role)), '') AS t FROM conversations), p AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM n) SELECT conv_id, turn FROM p WHERE t = before")
-def adjacent_dups(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    n = table(spark, d, "conversations").select("conv_id", "turn", F.nullif(F.trim(F.lower("role")), F.lit("")).alias("t"))
-    return n.withColumn("before", F.last("t", ignorenulls=True).over(w)).where("t = before").select("conv_id", "turn")
-
-
 @query(f"WITH {SEG}, e AS (SELECT id, segment_id AS event, end_s - dur / 2 + 7 AS at FROM seg), c AS (SELECT e.id, e.event, min(s.segment_id) AS hit FROM e JOIN seg s ON s.id = e.id AND s.end_s - s.dur <= e.at AND e.at < s.end_s GROUP BY ALL), l AS (SELECT id, max(segment_id) AS last FROM seg GROUP BY id) SELECT e.id, e.event, coalesce(hit, last) AS segment FROM e LEFT JOIN c USING (id, event) JOIN l USING (id)")
 def interval_join_longform(spark, d):
     """First segment that holds the event's time, else the last one: one sorted pass per recording, no range join."""
@@ -53,16 +46,6 @@ def trace_events(spark, d):
     return e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), op.alias("op"), F.concat("event_type", F.get_json_object("props", "$.k")).alias("text"), F.col("value").alias("wall_s"))
 
 
-@query("WITH e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'append' WHEN 'click' THEN 'replace' WHEN 'purchase' THEN 'commit' WHEN 'signup' THEN 'final' END AS op, value FROM events) SELECT user_id, min(CASE WHEN op IN ('append', 'replace') THEN value END) AS ttfb_visible, min(CASE WHEN op IN ('commit', 'final') THEN value END) AS ttfb_stable, count(*) FILTER (WHERE op IN ('append', 'replace')) AS updates FROM e GROUP BY user_id")
-def trace_summary(spark, d):
-    return trace.summarize(trace_events(spark, d), "user_id").select("user_id", "ttfb_visible", "ttfb_stable", "updates")
-
-
-@query()
-def trace_stability(spark, d):
-    return trace.summarize(trace_events(spark, d), "user_id")
-
-
 @query("SELECT user_id, count(DISTINCT event_type) AS labels, count(DISTINCT event_type) > 1 AS revised, coalesce(min(CASE WHEN event_type = 'view' THEN event_id END) <= min(CASE WHEN event_type = 'click' THEN event_id END) AND min(CASE WHEN event_type = 'click' THEN event_id END) <= min(CASE WHEN event_type = 'purchase' THEN event_id END), false) AS in_order FROM events GROUP BY user_id")
 def speaker_timeline(spark, d):
     first = lambda t: F.min(F.when(F.col("event_type") == t, F.col("event_id")))

@@ -121,21 +121,21 @@ def test_whole_texts(spark, tmp_path):
     pair = {r["doc_id"]: (r["ref"], r["hyp"]) for r in catalog.whole_pairs(spark, str(tmp_path)).collect()}
     assert [len(pair[i][0]) for i in (0, 1)] == [0, 1] and len(pair[4][0]) >= 400
     want = {i: cells(*p) for i, p in pair.items()}
-    assert {r["doc_id"]: r["edits"] for r in run("alignment_counts_whole")} == {i: w[0] for i, w in want.items()}
-    assert {r["doc_id"]: r["lcs"] for r in run("rouge_lcs_whole")} == {i: w[1] for i, w in want.items()}
-    wer = run("edit_wer_by_lang_whole")[0]
+    assert {r["doc_id"]: r["edits"] for r in run("alignment_counts")} == {i: w[0] for i, w in want.items()}
+    assert {r["doc_id"]: r["lcs"] for r in run("rouge_lcs")} == {i: w[1] for i, w in want.items()}
+    wer = run("edit_wer_by_lang")[0]
     assert (wer["ref_len"], wer["edits"]) == (sum(len(r) for r, _ in pair.values()), sum(w[0] for w in want.values()))
     chars = {i: ("".join(r), "".join(h)) for i, (r, h) in pair.items()}
-    assert {r["doc_id"]: r["edits"] for r in run("cer_pairs_whole")} == {i: cells(*c)[0] for i, c in chars.items() if c[0]}
+    assert {r["doc_id"]: r["edits"] for r in run("cer_pairs")} == {i: cells(*c)[0] for i, c in chars.items() if c[0]}
     hit = lambda a, b, n: ((x := Counter(tuple(a[i : i + n]) for i in range(len(a) - n + 1))) & (y := Counter(tuple(b[i : i + n]) for i in range(len(b) - n + 1)))).total() * 1j + y.total()
     p = [sum(hit(r, h, n) for r, h in pair.values()) for n in range(1, 5)]
     r, h = (sum(len(x[k]) for x in pair.values()) for k in (0, 1))
-    assert run("bleu_corpus_whole")[0]["bleu"] == pytest.approx(100 * math.exp(sum(math.log(x.imag / x.real) for x in p) / 4 + min(0, 1 - r / h)))
+    assert run("bleu_corpus")[0]["bleu"] == pytest.approx(100 * math.exp(sum(math.log(x.imag / x.real) for x in p) / 4 + min(0, 1 - r / h)))
     p = [sum(hit(a, b, n) for a, b in chars.values()) for n in range(1, 7)]
     q = [sum(hit(b, a, n) for a, b in chars.values()) for n in range(1, 7)]
     p, q = (sum(x.imag / x.real for x in v) / 6 for v in (p, q))
-    assert run("chrf_corpus_whole")[0]["chrf"] == pytest.approx(500 * p * q / (4 * p + q))
-    for x in run("rouge_unigram_whole"):
+    assert run("chrf_corpus")[0]["chrf"] == pytest.approx(500 * p * q / (4 * p + q))
+    for x in run("rouge_unigram"):
         a, b = pair[x["doc_id"]]
         assert x["rouge1"] == (pytest.approx(2 * hit(a, b, 1).imag / (len(a) + len(b))) if a or b else None)
     base = {i: [o for o in difflib.SequenceMatcher(None, " ".join(a), " ".join(b), autojunk=False).get_opcodes() if o[0] != "equal"] for i, (a, b) in pair.items()}
