@@ -43,6 +43,8 @@ BLOCK = 2048
 ROWS = 1000
 #: Lanes that step together.
 LANES = 8192
+#: Blocks from which on they are mended one by one.
+FEW = 48
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -156,7 +158,7 @@ def _phrases(table: np.ndarray, buf: np.ndarray, begin: np.ndarray, length: np.n
         lanes, state = open_, ends[open_ - 1]
         changed = []
         step = 0
-        while len(lanes):
+        while len(lanes) > FEW:
             over = length[lanes] <= step
             if over.any():
                 differs = over.copy()
@@ -172,12 +174,37 @@ def _phrases(table: np.ndarray, buf: np.ndarray, begin: np.ndarray, length: np.n
             on = ~(new & old)
             lanes, state = lanes[on], to[on] >> 1
             step += 1
-        after = np.unique(np.concatenate(changed)) + 1 if changed else np.zeros(0, np.int64)
+        late = [lane for lane, now in zip(lanes.tolist(), state.tolist(), strict=True) if _one(table, buf, starts, count, ends, int(begin[lane]), int(length[lane]), step, lane, now)]
+        changed.append(np.array(late, np.int64))
+        after = np.unique(np.concatenate(changed)) + 1
         after = after[after < len(begin)]
         open_ = after[follows[after]]
     return count
 
 
+def _one(table: np.ndarray, buf: np.ndarray, starts: np.ndarray, count: np.ndarray, ends: np.ndarray, begin: int, length: int, step: int, lane: int, state: int) -> bool:
+    """The rest of one block, byte by byte; True if its end changes."""
+    steps, text, old = memoryview(table), memoryview(buf[begin + step : begin + length]), memoryview(starts.view(np.uint8)[begin + step : begin + length])
+    more = 0
+    for k, c in enumerate(text):
+        to = steps[state + c]
+        new, state = to & 1, to >> 1
+        if new:
+            if old[k]:
+                count[lane] += more
+                return False
+            more += 1
+            old[k] = 1
+        elif old[k]:
+            more -= 1
+            old[k] = 0
+    count[lane] += more
+    if ends[lane] == state:
+        return False
+    ends[lane] = state
+    return True
+
+
 def parser(samples: dict[str, bytes]) -> Parser:
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
     return T.resident(("parser", key), lambda: Parser(samples))

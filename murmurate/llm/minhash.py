@@ -203,6 +203,11 @@ def confirm(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Confirmed pairs; written in between, so that a task needs one Python worker, not one for each step."""
+    return confirm(save(agreement(pairs, nodes), "agreed"), nodes)
+
+
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
     """(node, component) of every linked node, the smallest node being the component.
 
@@ -304,14 +309,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = save(keys.join(shared, "key"), "buckets")
     nodes = save(candidates(buckets, docs), "nodes")
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = save(confirm(agreement(pairs, nodes), nodes), "links")
+    links = save(linked_pairs(pairs, nodes), "links")
     comps = components(links)
     for turn in range(1, TURNS + 1):
         held = save(grouped(buckets, comps), "held")
         if held.isEmpty():
             break
         last = turn == TURNS
-        found = save(open_links(held, nodes) if last else confirm(agreement(star_pairs(held, turn), nodes), nodes), "links")
+        found = save(open_links(held, nodes) if last else linked_pairs(star_pairs(held, turn), nodes), "links")
         if found.isEmpty() and not last:
             continue
         links = links.unionByName(found)

@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +31,9 @@ from murmurate.llm import textops as T
 END_ID = 1
 MAX_LEN = 2048
 #: Words that a Python worker keeps; when it is full it starts afresh, which only costs time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Bytes of text that are cut into words at once: the work arrays take about 40 bytes for each.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
 
@@ -64,10 +65,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # a task has one core; more threads only hold more memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.word = Tokenizer.from_file(path)
+        self.word = Tokenizer(self.full.model)  # the same vocabulary in memory
         self.word.normalizer = normalizers.Sequence([])
         self.word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.full.get_vocab()

@@ -22,7 +22,8 @@ BATCH_ROWS = 1000
 #: Rows of a batch that are copied at once.
 CHUNK_ROWS = 1000
 _PERIOD = 1 << 16
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_libc = ctypes.CDLL(None)
+_trim = getattr(_libc, "malloc_trim", None)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _POWER = np.multiply.accumulate(np.full(_PERIOD, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
@@ -73,6 +74,13 @@ def release() -> None:
         _trim(0)
 
 
+def lean() -> None:
+    """Lets a Python worker take its Arrow buffers from the C heap, of one arena, so that ``release`` can give them back."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(_libc, "mallopt"):
+        _libc.mallopt(-8, 1)  # M_ARENA_MAX
+
+
 _resident: dict = {}
 
 
@@ -87,6 +95,7 @@ def resident(key, make):
 
 def vacate() -> None:
     """Drops the model that an earlier stage left in this Python worker."""
+    lean()
     if _resident:
         _resident.clear()
         release()
