@@ -46,13 +46,6 @@ def trace_events(spark, d):
     return e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), op.alias("op"), F.concat("event_type", F.get_json_object("props", "$.k")).alias("text"), F.col("value").alias("wall_s"))
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS labels, count(DISTINCT event_type) > 1 AS revised, coalesce(min(CASE WHEN event_type = 'view' THEN event_id END) <= min(CASE WHEN event_type = 'click' THEN event_id END) AND min(CASE WHEN event_type = 'click' THEN event_id END) <= min(CASE WHEN event_type = 'purchase' THEN event_id END), false) AS in_order FROM events GROUP BY user_id")
-def speaker_timeline(spark, d):
-    first = lambda t: F.min(F.when(F.col("event_type") == t, F.col("event_id")))
-    g = table(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("labels"), first("view").alias("a"), first("click").alias("b"), first("purchase").alias("c"))
-    return g.select("user_id", "labels", (F.col("labels") > 1).alias("revised"), F.coalesce((F.col("a") <= F.col("b")) & (F.col("b") <= F.col("c")), F.lit(False)).alias("in_order"))
-
-
 RUNS = "runs AS (SELECT l_returnflag AS arm, l_linestatus AS dataset, avg(l_discount) AS quality, avg(l_tax) AS err, count(*) AS n FROM lineitem GROUP BY ALL)"
 
 
@@ -65,12 +58,6 @@ def arm_rank_score(spark, d):
     return ranking.rank_score(runs(spark, d), "n", "dataset").select("arm", "dataset", F.col("score").cast("double").alias("score"))
 
 
-@query(f"WITH {RUNS}, g AS (SELECT arm, dataset, max(n) OVER (PARTITION BY dataset) - n AS gap FROM runs) SELECT arm, count(*) AS datasets, CAST(sum(gap) AS BIGINT) AS gap, max(gap) > 100 AS failed FROM g GROUP BY arm")
-def guardrails(spark, d):
-    g = runs(spark, d).withColumn("gap", F.max("n").over(Window.partitionBy("dataset")) - F.col("n"))
-    return g.groupBy("arm").agg(F.count(F.lit(1)).alias("datasets"), F.sum("gap").alias("gap"), (F.max("gap") > 100).alias("failed"))
-
-
 @query("WITH o AS (SELECT o_orderpriority AS grp, o_totalprice AS a, o_custkey AS b FROM orders), r AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY a) + (count(*) OVER (PARTITION BY grp, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY grp ORDER BY b) + (count(*) OVER (PARTITION BY grp, b) - 1) / 2.0 AS rb FROM o) SELECT grp, round(corr(ra, rb), 6) AS rho, count(*) AS n FROM r GROUP BY grp")
 def spearman_rank(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
