@@ -61,18 +61,18 @@ def tab_separated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """line and its number in the file from 0, blank lines counted; splits are numbered by their own counts and then shifted."""
-    read = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block")).withColumn("nth", F.monotonically_increasing_id())
+    """file, line and its number in the file from 0, blank lines counted; splits are numbered by their own counts and then shifted."""
+    read = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("nth", F.monotonically_increasing_id())
     # lines of a split are consecutive, and a split is one row here: the window below holds splits, not lines
-    splits = read.groupBy("block").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return read.join(splits.select("block", "first", before.alias("before")), "block").select((F.col("before") + F.col("nth") - F.col("first")).alias("line_no"), "line")
+    splits = read.groupBy("file", "block").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return read.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("nth") - F.col("first")).alias("line_no"), "line")
 
 
 def parallel_text(spark: SparkSession, source_path: str, target_path: str) -> DataFrame:
     """Pairs of lines with the same number; pairs with a blank side are dropped."""
-    s = numbered(spark, source_path).withColumnRenamed("line", "source_text")
-    t = numbered(spark, target_path).withColumnRenamed("line", "ref_text")
+    s = numbered(spark, source_path).select("line_no", F.col("line").alias("source_text"))
+    t = numbered(spark, target_path).select("line_no", F.col("line").alias("ref_text"))
     return s.join(t, "line_no").where("trim(source_text) <> '' and trim(ref_text) <> ''")
 
 
