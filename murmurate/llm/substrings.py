@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmurate.llm import textops as T
-from murmurate.llm.scratch import save
+from murmurate.llm.scratch import discard, save
 
 WIDTH = 400
 #: Words of a passage.
@@ -56,6 +56,8 @@ PASSAGE = 51
 SPLIT = 2000
 #: Bytes of starts that one task merges across shards.
 MERGE = 8 << 20
+#: Bytes to which contexts are rounded when they look for partners.
+GRID = 32
 #: Bytes of contexts that a shard should have, and of texts cut at once.
 SHARD = SLICE = 1 << 20
 
@@ -71,8 +73,9 @@ _RANKED[_SPACES] = np.arange(1, len(_SPACES) + 1)
 _RANKED[T.SPACED] = len(_SPACES) + 1 + np.minimum(np.arange(250), 248)
 _FIRST_LETTER = len(_SPACES) + 1
 
-ANCHORS = "fp long, ctx long, row long, lo int, hi int"
-CONTEXTS = "fp long, ctx long, row long, lo long, n long, parts long, opens boolean, context binary"
+#: ``span`` is the number of owned starts beyond the first, and the anchor's place after it, in 16 bits each.
+ANCHORS = "fp long, ctx long, row long, lo int, span int"
+CONTEXTS = "fp long, ctx long, row long, lo long, n long, parts long, opens boolean, context binary, own long, at long"
 MARKS = "kind int, row long, lo long, hi long, keys binary, starts binary"
 
 
@@ -100,7 +103,7 @@ def _word_starts(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, words: int = PASSAGE) -> tuple[np.ndarray, ...]:
-    """Anchor hash, context hash, row, first and last owned start (within the row)."""
+    """Anchor hash, context hash, row, first owned start (within the row) and span, as in ANCHORS."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     half, some, n = width // 2, (words - 1) // 2, len(buf)
     size = np.diff(off)
@@ -146,7 +149,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, words: int = P
     h = Prefix(buf)
     stop = np.minimum(hi + width, off[r + 1])
     ctx = T.combine(h.of(lo, stop), (a - lo).astype(np.uint64), (hi - lo).astype(np.uint64), (stop - lo).astype(np.uint64))
-    return h.of(a, reach(a, r)).view(np.int64), ctx.view(np.int64), r.astype(np.int64), lo - off[r], hi - off[r]
+    return h.of(a, reach(a, r)).view(np.int64), ctx.view(np.int64), r.astype(np.int64), lo - off[r], (hi - lo) | (a - lo) << 16
 
 
 def suffix_array(word: np.ndarray, owned: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,20 +272,62 @@ def _passages(buf: np.ndarray, opens: np.ndarray, begin: np.ndarray, size: np.nd
     return ws[k][ok], np.minimum(length, width)[ok], who[k][ok]
 
 
+def _ranked(texts: list[bytes], stops: np.ndarray) -> np.ndarray:
+    """All contexts, each with a 0 behind it, as ranks of bytes."""
+    buf = _RANKED[np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)]
+    buf[stops] = 0
+    return buf
+
+
+def _partners(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, own: np.ndarray, at: np.ndarray, fp: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Contexts that can share a string with another one of their anchor.
+
+    All strings of a context hold what lies between its last start and the
+    nearest of their ``ends``; rounded to steps of ``GRID`` about the anchor, that
+    must stand in the partner too.
+    """
+    h = Prefix(buf)
+    anchor = begin + at
+    left = np.maximum(at - (own - 1), 0) // GRID * GRID
+    right = (ends - anchor) // GRID * GRID
+    keep = np.zeros(len(begin), bool)
+    for q in np.unique(left * (1 << 20) + np.maximum(right, 0)):
+        x, y = int(q >> 20), int(q & ((1 << 20) - 1))
+        some = np.flatnonzero((right >= 0) & (at >= x) & (size - at >= y))
+        key = T.combine(fp[some].view(np.uint64), h.of(anchor[some] - x, anchor[some] + y))
+        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
+        asks = np.zeros(len(n), bool)
+        asks[group[(left[some] == x) & (right[some] == y)]] = True
+        keep[some[((n > 1) & asks)[group]]] = True
+    return keep
+
+
 def _shard(width: int, words: int, ranges: int):
     """Spans of marked starts (kind BYTES or WORDS, a context's worth), and sorted hashes of the strings of split anchors (kind 0, by range)."""
 
     def run(t: pa.Table) -> pa.Table:
         T.vacate()
-        texts = [x.as_py() for x in t.column("context")]
-        rows, lo, n, parts = (t.column(c).to_numpy() for c in ("row", "lo", "n", "parts"))
-        opens = t.column("opens").to_numpy()
+        texts = t.column("context").to_pylist()
         size = np.array([len(x) for x in texts])
+        begin = np.cumsum(size + 1) - (size + 1)
+        buf = _ranked(texts, begin + size)
+        own, opens = t.column("own").to_numpy(), t.column("opens").to_numpy()
+        at, length, c = _passages(buf, opens, begin, size, own, width, words)
+        ends = np.where(size >= width, begin + width, begin - 1)
+        ends[ends < begin] = np.iinfo(np.int64).max
+        np.minimum.at(ends, c, at + length)
+        none = ends == np.iinfo(np.int64).max
+        ends[none] = begin[none] - 1
+        keep = _partners(buf, begin, size, own, t.column("at").to_numpy(), t.column("fp").to_numpy(), ends) | (t.column("parts").to_numpy() > 1)
+        t = t.filter(pa.array(keep))
+        if not t.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in zip((x.split()[0] for x in MARKS.split(", ")), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
         # owned starts are told by the context's length unless the text ends in it
-        own = t.column("own").to_numpy()
+        texts = [x for x, k in zip(texts, keep, strict=True) if k]
+        size, own, opens = size[keep], own[keep], opens[keep]
+        rows, lo, n, parts = (t.column(x).to_numpy() for x in ("row", "lo", "n", "parts"))
         begin = np.cumsum(size + 1) - (size + 1)
-        buf = _RANKED[np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)]
-        buf[begin + size] = 0
+        buf = _ranked(texts, begin + size)
         word = np.zeros(len(buf), np.uint64)
         for k in range(8):
             word[: len(buf) - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * k)
@@ -370,21 +415,21 @@ def _contexts(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.vacate()
-        names = [c.split()[0] for c in CONTEXTS.split(", ")] + ["own"]
+        names = [c.split()[0] for c in CONTEXTS.split(", ")]
         for batch in batches:
             e = batch.column(2)
             each = np.diff(e.offsets.to_numpy())
             if not each.sum():
                 continue
             flat = e.flatten()
-            fp, ctx, n, parts, lo, hi = (flat.field(k) for k in range(6))
+            fp, ctx, n, parts, lo, span = (flat.field(k) for k in range(6))
             text = np.repeat(np.arange(batch.num_rows), each)
             data = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(1)]
-            a, b = lo.to_numpy(), hi.to_numpy()
+            a, own = lo.to_numpy(), (span.to_numpy() & 0xFFFF) + 1
             opens = [x == 0 or data[k][x - 1] in _BLANK for k, x in zip(text.tolist(), a.tolist(), strict=True)]
-            cut = [data[k][x : y + width] for k, x, y in zip(text.tolist(), a.tolist(), b.tolist(), strict=True)]
+            cut = [data[k][x : x + y + width - 1] for k, x, y in zip(text.tolist(), a.tolist(), own.tolist(), strict=True)]
             rows = batch.column(0).to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([fp, ctx, pa.array(rows), pa.array(a.astype(np.int64)), n, parts, pa.array(opens), pa.array(cut, pa.binary()), pa.array((b - a + 1).astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([fp, ctx, pa.array(rows), pa.array(a.astype(np.int64)), n, parts, pa.array(opens), pa.array(cut, pa.binary()), pa.array(own.astype(np.int64)), pa.array((span.to_numpy() >> 16).astype(np.int64))], names)
             T.release()
 
     return run
@@ -401,33 +446,36 @@ def repeats(docs: DataFrame, width: int = WIDTH, words: int = PASSAGE) -> DataFr
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, j, buf, off in T.slices(batch.column(1), SLICE):
-                fp, ctx, r, lo, hi = anchors(buf, off, width, words)
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ctx), pa.array(ids[i:j][r].astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["fp", "ctx", "row", "lo", "hi"])
+                fp, ctx, r, lo, span = anchors(buf, off, width, words)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ctx), pa.array(ids[i:j][r].astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(span.astype(np.int32))], ["fp", "ctx", "row", "lo", "span"])
                 T.release()
 
     T.small_batches(docs.sparkSession)
     found = save(docs.mapInArrow(cut, ANCHORS), "anchors")
-    classes = found.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one"), F.max("row").alias("most"))
+    classes = found.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "span")).alias("one"), F.max("row").alias("most"))
     classes = classes.select("fp", "ctx", "n", "one", (F.col("one.row") != F.col("most")).alias("across"))
     seen = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("times"), F.bool_and("across").alias("settled"))
     again = save(classes.join(seen.where("times > 1"), "fp"), "classes")
     # repeats throughout; all of their places
     twice = save(found.join(again.where("n > 1").select("fp", "ctx", "kinds", "across"), ["fp", "ctx"]), "twice")
-    whole = twice.select("row", "lo", "hi", F.when(F.col("across"), F.lit(BYTES | WORDS)).otherwise(F.lit(BYTES)).alias("kind"))
+    discard(found)
+    whole = twice.select("row", "lo", (F.col("lo") + F.col("span").bitwiseAND(0xFFFF)).alias("hi"), F.when(F.col("across"), F.lit(BYTES | WORDS)).otherwise(F.lit(BYTES)).alias("kind"))
 
     parts = F.ceil(F.col("kinds") / SPLIT).alias("parts")
     ones = again.where("kinds > 1 and not settled and (n = 1 or across)").select("fp", "ctx", F.least("n", F.lit(2)).cast("long").alias("n"), parts, "one.*")
     # places of a context that one text alone repeats: any of them may be in a passage that other texts have
-    alone = twice.where("kinds > 1 and not across").groupBy("fp", "ctx", "row", "lo", "hi").agg(F.first(parts).alias("parts")).select("fp", "ctx", F.lit(1).cast("long").alias("n"), "parts", "row", "lo", "hi")
+    alone = twice.where("kinds > 1 and not across").groupBy("fp", "ctx", "row", "lo", "span").agg(F.first(parts).alias("parts")).select("fp", "ctx", F.lit(1).cast("long").alias("n"), "parts", "row", "lo", "span")
     edges = ones.unionByName(alone)
-    wanted = edges.groupBy("row").agg(F.collect_list(F.struct("fp", "ctx", "n", "parts", "lo", "hi")).alias("e"))
+    wanted = edges.groupBy("row").agg(F.collect_list(F.struct("fp", "ctx", "n", "parts", "lo", "span")).alias("e"))
     # exact copies are cut once
     once = docs.groupBy("row").agg(F.first("text").alias("text"))
-    held = save(once.join(wanted, "row").select("row", "text", "e").mapInArrow(_contexts(width), CONTEXTS + ", own long"), "contexts")
+    held = save(once.join(wanted, "row").select("row", "text", "e").mapInArrow(_contexts(width), CONTEXTS), "contexts")
+    discard(again)
     size = held.agg(F.sum(F.length("context")), F.sum(F.when(F.col("parts") > 1, F.col("own")))).first()
     shards, ranges = max(1, (size[0] or 0) // SHARD), max(1, (size[1] or 0) * 40 // MERGE)
     shard = F.pmod(F.xxhash64("fp", F.when(F.col("parts") > 1, F.pmod("ctx", "parts"))), F.lit(shards))
-    marks = save(held.withColumn("shard", shard).drop("fp", "ctx").groupBy("shard").applyInArrow(_shard(width, words, ranges), MARKS), "marks")
+    marks = save(held.withColumn("shard", shard).drop("ctx").groupBy("shard").applyInArrow(_shard(width, words, ranges), MARKS), "marks")
+    discard(held)
     across = marks.where("kind = 0").groupBy("row").applyInArrow(_merge, "row long, lo long, hi long, kind int")
     inner = marks.where("kind > 0").select("row", "lo", "hi", "kind")
     # a text that stands in several rows is a passage of all of them
