@@ -6,17 +6,19 @@ candidate's encoding is inferred from the characters that it uses; three tests
 ask whether it could be a uniform draw from that encoding (chi-squared over the
 alphabet, Wald-Wolfowitz runs about the middle of the alphabet, and lag-one
 serial correlation); the smallest of the three p-values, corrected for three
-tests, is the battery's p-value.  Ordinary strings fail the battery.  Within
-each class of encoding and length a Benjamini-Hochberg cut at ``FDR`` separates
-the strings that are not random; what stays, if long enough for the battery to
-have power (``MIN_BITS``) and mixed, is reported.  Mixed means a digit and a
+tests, is the battery's p-value.  Ordinary strings fail the battery: their
+p-values crowd at 0, those of random strings have a known distribution.  So the
+upper part of a class's p-values (by encoding and length) tells how many random
+strings it has, and its cut is the lowest at which at most a share ``FDR`` of
+the reported strings is ordinary (the false-discovery estimate of Storey 2002,
+with ordinary strings as the false ones).  Only strings long enough for the
+battery to have power (``MIN_BITS``) and mixed take part.  Mixed means a digit and a
 letter, or two changes from lower to upper case.  So random strings of lower-case
 letters only, of upper-case letters only or of digits only are never reported
 by it, at any length, nor letters of both cases with fewer than two such
 changes; digit runs of 16 or more are found by the hex rule.  There is no other
-threshold: a class of random strings has a cut near 0, a class of ordinary
-strings one near ``FDR``.
-The cut is found from a histogram of p-values of all candidates (bounded by
+threshold: a class without random strings reports none, one of random strings
+all.  The cut is found from a histogram of p-values of all candidates (bounded by
 classes times bins), so no class is ever gathered in one task; bins are
 ``STEPS`` to a halving, so a p-value counts as at most 2 ** (1 / STEPS) of itself.
 
@@ -28,6 +30,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,10 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # the greedy run of 18 or more characters
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 FDR = 0.05
+#: P-values above it count the random strings of a class.
+MIDDLE = 0.5
+#: Strings above the middle with which a class speaks for itself.
+FEW = 5
 #: Least length times bits per character; below it the battery can't tell a word from a draw.
 MIN_BITS = 100
 #: Bins of p-values to each halving, and halvings; smaller p-values share the last bin.
@@ -174,13 +182,30 @@ def find(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "text", "base", battery(free).alias("cands"))
 
 
+def uniform_tail(p: Column) -> Column:
+    """Share of random strings whose corrected smallest p-value is above ``p``."""
+    return F.pow(1.0 - F.least(p, F.lit(1.0)) / 3.0, F.lit(3.0))
+
+
 def cuts(found: DataFrame, fdr: float = FDR) -> dict[str, int]:
-    """The first rejected bin of each class of encoding and length that has one (at most encodings x 32 rows reach the driver)."""
-    hist = found.select(F.explode("cands").alias("c")).groupBy(F.col("c.class").alias("class"), F.col("c.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """The last reported bin of each class of encoding and length that reports any (at most encodings x 32 rows reach the driver).
+
+    Strings with p-values above ``MIDDLE`` tell how many random ones a class has;
+    what a cut lets in beyond the share of them that lies above it is ordinary.
+    The cut is the lowest at which ordinary strings are no more than ``fdr`` of
+    what is reported; the number of random ones is taken two standard errors up,
+    which is little in a large class.  A class with fewer than ``FEW`` above the middle is given
+    one more, so that a single string can be found, and no cut below ``fdr``.
+    """
+    hist = found.select(F.explode("cands").alias("c")).where("c.power").groupBy(F.col("c.class").alias("class"), F.col("c.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    middle = int(-STEPS * math.log2(MIDDLE)) - 1
     by_class = Window.partitionBy("class")
-    cum = hist.select("*", F.sum("n").over(by_class.orderBy(F.desc("bin"))).alias("below"), F.sum("n").over(by_class).alias("all"))
-    rejected = F.pow(F.lit(2.0), -F.col("bin") / STEPS) <= fdr * F.col("below") / F.col("all")
-    rows = cum.where(rejected).groupBy("class").agg(F.min("bin").alias("cut")).collect()
+    top = F.coalesce(F.sum(F.when(F.col("bin") <= middle, F.col("n"))).over(by_class), F.lit(0))
+    few = top < FEW
+    cum = hist.select("*", F.sum("n").over(by_class.orderBy("bin")).alias("above"), ((top + F.greatest(few.cast("double"), 2 * F.sqrt(top.cast("double")))) / uniform_tail(F.lit(MIDDLE))).alias("random"), few.alias("few"))
+    allowed = ~F.col("few") | (F.col("bin") < int(-STEPS * math.log2(fdr)))
+    ordinary = F.col("above") - F.col("random") * uniform_tail(F.pow(F.lit(2.0), -(F.col("bin") + 1) / STEPS))
+    rows = cum.where(allowed & (ordinary <= fdr * F.col("above"))).groupBy("class").agg(F.max("bin").alias("cut")).collect()
     return {r["class"]: r["cut"] for r in rows}
 
 
@@ -188,11 +213,8 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, text and spans (sorted array of start, kind number, end) of every document."""
     found = find(docs)
     by_class = cuts(found, fdr)
-    if by_class:
-        cut = F.create_map(*[F.lit(x) for pair in sorted(by_class.items()) for x in pair])
-        keep = lambda c: c["power"] & (c["bin"] < F.coalesce(cut[c["class"]], F.lit(STEPS * HALVINGS + 1)))
-    else:
-        keep = lambda c: c["power"]
+    cut = F.create_map(*[F.lit(x) for pair in sorted(by_class.items()) for x in pair]) if by_class else F.create_map().cast("map<string,int>")
+    keep = lambda c: c["power"] & (c["bin"] <= F.coalesce(F.try_element_at(cut, c["class"]), F.lit(-1)))
     random = F.transform(F.filter("cands", keep), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return found.select("doc_id", "text", F.array_sort(F.concat("base", random)).alias("spans"))
 
