@@ -5,8 +5,9 @@ stores, for each shard and term, the term's positions as delta-coded bytes, and
 a directory of the shard's documents.  It is a map; no posting is shuffled.
 ``search`` takes the postings of the terms that the queries use to one task per
 shard, starts every window from its rarest term in the shard, and intersects
-the offset-adjusted lists from the rarest to the most common.  With ``slop`` a
-term may stand so many words away from its place (proximity); 0 is a phrase.
+the offset-adjusted lists from the rarest to the most common.  A phrase has
+every term in its place; for a proximity match each may stand up to ``slop``
+words away from it, in the same document.
 
 Shards have a bounded size (a single longer document is a shard of its own),
 so no term or source can make a task large.  Queries are broadcast in blocks of
@@ -36,12 +37,14 @@ from murmurate.llm.scratch import save
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
+#: Words that a term may stand away from its place in a proximity match, and free places between documents.
+SLOP, HOLE = 1, 4
 #: Places looked at together in a shard.
 CANDIDATES = 2_000_000
 
 INDEX = "shard long, term long, n long, postings binary"
-HITS = "shard long, row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+HITS = "shard long, row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, near array<struct<start:long,end:long>>, items array<long>"
 
 
 def varint(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +87,11 @@ class _Shard:
     def add(self, ids: list, buf: np.ndarray, off: np.ndarray) -> None:
         h, rows, _, _ = T.words(buf, off, T.ALNUM, True)
         self.hashes.append(h)
-        self.places.append(np.arange(len(h)) + rows + self.next)
+        self.places.append(np.arange(len(h)) + rows * HOLE + self.next)
         self.counts.append(np.diff(T.row_starts(rows, len(ids))))
         self.ids += ids
         self.bytes += len(buf)
-        self.next += len(h) + len(ids)
+        self.next += len(h) + len(ids) * HOLE
 
     def rows(self, shard: int) -> pa.RecordBatch:
         h, places = np.concatenate(self.hashes), np.concatenate(self.places)
@@ -195,6 +198,10 @@ def _intersect(q: Queries, counts: np.ndarray, keys: np.ndarray, span: int, slop
             win = np.repeat(own, reps)
             nth = np.arange(len(win)) - np.repeat(np.cumsum(reps) - reps, reps)
             first = keys[at[rare[win]] + nth] - rare[win].astype(np.int64) * span - order[win, 0]
+            if slop:
+                first = np.concatenate([first + d for d in range(-slop, slop + 1)])
+                win = np.tile(win, 2 * slop + 1)
+                win, first = win[first >= 0], first[first >= 0]
             for k in range(1, size):
                 col = order[win, k]
                 want = terms[alive[win], col].astype(np.int64) * span + first + col
@@ -219,8 +226,8 @@ def _search_shard(q: Queries, table: pa.Table, slop: int) -> pa.Table:
     raw = np.frombuffer(blobs[int(np.flatnonzero(is_dir)[0])].as_py(), np.int64)
     docs = len(raw) // 3
     ids, known, n_words = raw[:docs], raw[docs : 2 * docs], raw[2 * docs :]
-    start = np.cumsum(n_words + 1) - (n_words + 1)  # place of each document's first word
-    span = int(start[-1] + n_words[-1] + 2)
+    start = np.cumsum(n_words + HOLE) - (n_words + HOLE)  # place of each document's first word
+    span = int(start[-1] + n_words[-1] + HOLE)
     own = np.flatnonzero(~is_dir)
     number = np.searchsorted(q.vocabulary, term.fill_null(0).to_numpy().view(np.uint64)[own])
     own, number = own[np.argsort(number)], np.sort(number)
@@ -229,25 +236,30 @@ def _search_shard(q: Queries, table: pa.Table, slop: int) -> pa.Table:
     counts[number] = size
     items: list[list[int]] = [[] for _ in range(docs)]
     spans: list[list[dict]] = [[] for _ in range(docs)]
+    near: list[list[dict]] = [[] for _ in range(docs)]
     if len(own):
         delta = unvarint(np.frombuffer(b"".join(blobs[int(k)].as_py() for k in own), np.uint8))
         total = np.cumsum(delta)
         begin = np.cumsum(size) - size
         places = total - np.repeat(total[begin] - delta[begin], size)
         keys = np.repeat(number.astype(np.int64) * span, size) + places
-        mark = np.zeros(span + WINDOW + 1, np.int64)
-        for win, g, length, first in _intersect(q, counts, keys, span, slop):
-            doc = np.searchsorted(start, first, "right") - 1
-            ok = (doc >= 0) & (first >= start[doc]) & (first + length <= start[doc] + n_words[doc])
-            win, first, doc = win[ok], first[ok], doc[ok]
-            np.add.at(mark, first, 1)
-            np.add.at(mark, first + length, -1)
-            for d, w in set(zip(doc.tolist(), win.tolist(), strict=True)):
-                items[d] += q.groups[g][1][w]
-        lo, hi = T.runs(np.cumsum(mark)[:span] > 0, np.array([0, span]))
-        doc = np.searchsorted(start, lo, "right") - 1
-        for d, a, b in zip(doc.tolist(), (lo - start[doc]).tolist(), (hi - start[doc]).tolist(), strict=True):
-            spans[d].append({"start": a, "end": b})
+        for width, out in ((0, spans), (slop, near)):
+            if width == 0 and out is near:
+                break
+            mark = np.zeros(span + WINDOW + 1, np.int64)
+            for win, g, length, first in _intersect(q, counts, keys, span, width):
+                doc = np.searchsorted(start, first, "right") - 1
+                ok = (doc >= 0) & (first >= start[doc]) & (first + length <= start[doc] + n_words[doc])
+                win, first, doc = win[ok], first[ok], doc[ok]
+                np.add.at(mark, first, 1)
+                np.add.at(mark, first + length, -1)
+                if out is spans:
+                    for d, w in set(zip(doc.tolist(), win.tolist(), strict=True)):
+                        items[d] += q.groups[g][1][w]
+            lo, hi = T.runs(np.cumsum(mark)[:span] > 0, np.array([0, span]))
+            doc = np.searchsorted(start, lo, "right") - 1
+            for d, a, b in zip(doc.tolist(), (lo - start[doc]).tolist(), (hi - start[doc]).tolist(), strict=True):
+                out[d].append({"start": a, "end": b})
     shard = table.column("shard")[0].as_py()
     return pa.table(
         {
@@ -256,6 +268,7 @@ def _search_shard(q: Queries, table: pa.Table, slop: int) -> pa.Table:
             "doc_id": pa.array(ids, mask=known == 0),
             "n_words": pa.array(n_words),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            "near": pa.array(near, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64())),
         }
     )
@@ -270,10 +283,12 @@ def _searcher(shared, slop: int):
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """HITS: every document with the word spans that windows of the items cover, and the items.
+    """HITS: every document with the word spans that windows of the items cover, those of proximity matches where ``slop`` asks for them, and the items of phrases.
 
     ``index`` must be a written table (shards are named by the task that built them).
     """
+    if not 0 <= slop < HOLE:
+        raise ValueError(f"slop is 0 to {HOLE - 1}")
     spark = index.sparkSession
     found: list[DataFrame] = []
     for q in query_blocks(benchmark, window, block_words):
@@ -287,8 +302,8 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     whole = found[0]
     for df in found[1:]:
         whole = whole.unionByName(df)
-    merged = whole.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.withColumn("spans", _union("spans"))
+    merged = whole.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.withColumn("spans", _union("spans")).withColumn("near", _union("near"))
 
 
 def _union(spans: str) -> Column:
@@ -301,9 +316,10 @@ def _union(spans: str) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The contract's columns."""
-    hits = search(save(build_index(docs), "postings"), benchmark, window)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """The contract's columns, and ``n_near``: words in windows whose terms stand in their places or up to ``slop`` words away."""
+    index = save(build_index(docs), "postings")
+    hits = search(index, benchmark, window, slop)
     listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    words = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return hits.select("doc_id", "n_words", words("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (words("spans") > 0).alias("contaminated"), words("near").alias("n_near"))
