@@ -24,6 +24,10 @@
 With 40 bands of 5 a pair at the threshold of 0.8 shares a bucket with
 probability 1 - 1e-7.
 
+What is gathered by a bucket's key or a hub is written before it is joined, so
+that both sides of the join are plain shuffles, whose heavy partitions Spark's
+adaptive execution splits; no member list is ever one row.
+
 Defined cases: a text with fewer than four words is one shingle of all its
 words; a null text or one without words has no shingles, is linked with nothing
 and is its own component; a null doc_id is never linked, its component_id is
@@ -42,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmurate.llm import textops as T
-from murmurate.llm.scratch import save
+from murmurate.llm.scratch import discard, save
 
 SHINGLE = 4
 BANDS, ROWS, HASHES = 40, 5, 256
@@ -54,8 +58,6 @@ TURNS = 5
 BLOCK, BLOCK_SHINGLES = 4096, 2 << 20
 #: Sets that are compared with one set at once.
 AT_ONCE = 64
-#: Ids of documents to read again that are broadcast; beyond it they are joined.
-BROADCAST_IDS = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,20 +158,12 @@ def agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def candidates(buckets: DataFrame, docs: DataFrame) -> DataFrame:
     """NODES of the buckets' nodes, read again from the documents; empty sets are left out."""
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = buckets.select(F.col("node").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        shared = spark.sparkContext.broadcast(np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64)))
-    else:
-        shared = None
-        d = d.join(ids, "doc_id", "left_semi")
+    d = d.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.vacate()
         for batch in batches:
-            if shared is not None:
-                batch = batch.filter(pa.array(np.isin(batch.column(0).fill_null(-(2**62)).to_numpy(zero_copy_only=False), shared.value)))
             for i, j, buf, off in T.slices(batch.column(1)):
                 w, first = shingle_sets(buf, off)
                 n = np.diff(first)
@@ -220,11 +214,12 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
     mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
+        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = save(small, name)
+        old, edges = edges, save(small, name)
+        discard(old, near)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
@@ -236,13 +231,14 @@ def grouped(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, node, component) of the buckets that hold more than one component, equal buckets once."""
     m = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("x"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h")).where("lo <> hi")
-    once = mixed.groupBy("x", "n", "h").agg(F.min("key").alias("key")).select("key", "n")
+    once = save(mixed.groupBy("x", "n", "h").agg(F.min("key").alias("key")).select("key", "n"), "once")
     return m.join(once, "key")
 
 
 def star_pairs(held: DataFrame, turn: int) -> DataFrame:
     """Each member of a bucket with the bucket's member that comes first in this turn's order, if their components differ."""
     first = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("pivot"), F.col("component").alias("pc"))).alias("f")).select("key", "f.pivot", "f.pc")
+    first = save(first, "pivots")
     return held.join(first, "key").where("component <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
 
 
@@ -292,7 +288,7 @@ def open_links(held: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     sized = held.select("key", "node", "component").join(nodes.select("node", "n"), "node")
     blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("g"))
-    dealt = sized.drop("n").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int"))
+    dealt = sized.drop("n").join(save(blocks, "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int"))
     dealt = dealt.select("key", "node", "component", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("cell"))
     dealt = dealt.select("key", "cell.p", "cell.q", "own", "node", "component").join(nodes, "node")
     found = dealt.groupBy("key", "p", "q").applyInArrow(_block, "a long, b long")
@@ -306,6 +302,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rep = save(some.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("set1", "set2", F.col("f.doc_id").alias("node"), "f.bands"), "representatives")
     keys = band_keys(rep)
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot")
+    shared = save(shared, "pivots")
     buckets = save(keys.join(shared, "key"), "buckets")
     nodes = save(candidates(buckets, docs), "nodes")
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
