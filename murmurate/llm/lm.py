@@ -6,14 +6,19 @@ level after level until one is missing (Talbot and Osborne 2007).  A token's
 probability interpolates the pair's relative frequency with an add-one word
 probability, both from quantised counts:
 
-    p(w|h) = LAMBDA * min(1, f(hw) / f(h)) + (1 - LAMBDA) * (f(w) + 1) / (N + V + 1)
+    p(w|h) = LAMBDA * f(hw) / F(h) + (1 - LAMBDA) * (f(w) + 1) / (N + V + 1)
+
+where f is the smallest count of a level and F the largest, so that over the
+vocabulary and the unseen word the probabilities add up to at most one, but for
+the filter's false positives (a pair that was never seen passes at 2.4 %).
 
 Counting is a map with local sums, then one task per block of hashes merges its
 counts and fills its part of the filter, sized by what it holds, so the filter
 grows with the corpus.  Blocks are hashes of n-grams, so no frequent word loads
 one task.  The blocks are written to the shared folder and broadcast in slices
 of at most ``SLICE_BYTES``; a pass scores the tokens whose pair falls in its
-slice, and sums over passes are exact, so memory is bounded at any size (small
+slice, and sums over passes (by a hash of the text, the same in every job) are
+exact, so memory is bounded at any size (small
 models need one pass).  The same blocks carry the exact word counts for the
 base score.
 
@@ -22,7 +27,8 @@ per text; n-grams are 64-bit hashes.
 
 Defined cases: a null text is an empty one, one end token; a null doc_id is
 trained on; repeated rows count each; an empty corpus gives an empty result;
-without training tokens every token is unknown; other columns are ignored.
+without training tokens every token is unknown; very long texts are scored
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,10 +87,14 @@ def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def expected(q: np.ndarray) -> np.ndarray:
-    """Middle of the counts of a level; level 0 is unseen."""
-    lo, hi = np.ceil(BASE ** (q - 1.0) - 1e-9), np.ceil(BASE ** (q * 1.0) - 1e-9) - 1
-    return np.where(q > 0, (lo + np.maximum(hi, lo)) / 2, 0.0)
+def least(q: np.ndarray) -> np.ndarray:
+    """Smallest count of a level; level 0 is unseen."""
+    return np.where(q > 0, np.ceil(BASE ** (q - 1.0) - 1e-9), 0.0)
+
+
+def most(q: np.ndarray) -> np.ndarray:
+    """Largest count of a level."""
+    return np.where(q > 0, np.maximum(np.ceil(BASE ** (q * 1.0) - 1e-9) - 1, least(q)), 0.0)
 
 
 def _places(keys: np.ndarray, levels: np.ndarray | int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
@@ -244,11 +254,12 @@ class Slice:
         base = np.where(own, np.log10((c + 1) / floor), 0.0)[inverse]
         known = (own & (c > 0))[inverse]
         # the model, for the pairs in this slice
-        f1 = expected(self.words.levels(key))[inverse]
+        q1 = self.words.levels(key)
+        f1 = least(q1)[inverse]
         pk, pinv = np.unique(pair, return_inverse=True)
-        f2 = expected(self.pairs.levels(pk))[pinv]
+        f2 = least(self.pairs.levels(pk))[pinv]
         first = np.concatenate([[True], owner[1:] != owner[:-1]])
-        context = np.concatenate([[0.0], f1[:-1]])
+        context = np.concatenate([[0.0], most(q1)[inverse][:-1]])
         context[first] = max(self.documents, 1)
         ratio = np.where(context > 0, np.minimum(1.0, f2 / np.maximum(context, 1)), 0.0)
         p = LAMBDA * ratio + (1 - LAMBDA) * (f1 + 1) / floor
@@ -285,8 +296,9 @@ def score(docs: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
     train = d.where(~held_out(F.col("doc_id")))
     block_bits = int(np.clip(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")) * 8)), 8, 16))
     model = save(build(count(train, block_bits)), "bloom")
-    with_row = d.withColumn("row", F.monotonically_increasing_id())
+    with_row = d.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     passes: list[DataFrame] = []
+    T.small_batches(spark)
     n = 0
     texts = None
     for part in _slices(model, block_bits, limit):
@@ -308,5 +320,9 @@ def score(docs: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
     if len(passes) > 1:
         for df in passes[1:]:
             whole = whole.unionByName(df)
-        whole = whole.groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+        # rows of one text and doc_id are alike: their sums are parted among them again
+        copies = F.col("copies")
+        sums = whole.groupBy("row", "doc_id").agg((F.count(F.lit(1)) / len(passes)).cast("int").alias("copies"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+        one = sums.select("doc_id", *((F.col(c) / copies).cast("long").alias(c) for c in ("n_tokens", "n_known")), *((F.col(c) / copies).alias(c) for c in ("base_score", "score")), F.array_repeat(F.lit(0), copies).alias("r"))
+        whole = one.withColumn("r", F.explode("r"))
     return whole.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -207,7 +207,7 @@ def test_decontamination(spark, rows):
             length = lambda spans: sum(s["end"] - s["start"] for s in spans)
             assert (r["n_words"], length(r["spans"]), tuple(r["items"]), length(r["near"])) in want
     near = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.contamination(d, spark.createDataFrame([(1, "v0b v1b v3b")], "item_id long, text string")).collect()}
-    assert near[1] == (0, 12) and near[8] == (0, 0)
+    assert near[1] == (0, 16) and near[8] == (0, 0)
     assert decontaminate.contamination(d.limit(0), bench).count() == 0
 
 
@@ -228,6 +228,29 @@ def test_lm(spark, rows):
     assert lm.score(d.limit(0)).count() == 0
 
 
+def test_lm_probabilities(spark, rows, monkeypatch):
+    """Scores by exact counts, and histories whose probabilities add up to at most one; the filter is so large that it never errs."""
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 96)
+    cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), "</s>"]
+    training = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    one = collections.Counter(w for t in training for w in cut(t))
+    two = collections.Counter(p for t in training for w in [cut(t)] for p in zip(["<s>", *w[:-1]], w, strict=True))
+    n, v = sum(one.values()), len(one)
+    low = lambda c: float(lm.least(lm.level(np.array([c]))[0])) if c else 0.0
+    high = lambda c: float(lm.most(lm.level(np.array([c]))[0])) if c else 0.0
+
+    def p(h, w):
+        whole = max(len(training), 1) if h == "<s>" else high(one[h])
+        return lm.LAMBDA * (min(1.0, low(two[h, w]) / whole) if whole else 0.0) + (1 - lm.LAMBDA) * (low(one[w]) + 1) / (n + v + 1)
+
+    for h in ["<s>", *list(one)[:40]]:
+        assert sum(p(h, w) for w in [*one, "never seen"]) <= 1 + 1e-9
+    got = sorted(((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in lm.score(docs(spark, rows)).collect()), key=str)
+    want = sorted(((i or -1, len(cut(t)), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *cut(t)[:-1]], cut(t), strict=True))) for i, t in rows), key=str)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+
+
 def test_bloom_levels():
     keys = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 3000)
