@@ -7,14 +7,16 @@ of its text (length, share of linked text, punctuation).  A two-label chain
 labelled pages and decoded by Viterbi.
 
 The labelled pages are made here by ``labelled_pages`` from layout parameters,
-as no labelled pages come with the data; training takes seconds on the driver,
-and the model is a fixed-size array (``FEATURES`` hashed features).
+as no labelled pages come with the data, in layouts that a test holds out one by
+one; training takes seconds on the driver, and the model is a fixed-size array
+(``FEATURES`` hashed features).  Blocks end at block-level tags; ``<br>`` is white
+space inside one.
 
 The whole page is parsed; text in scripts, styles, templates and the head is
 never a block.  Defined cases: null or empty html gives the empty text; a null
 page_id or url stays; broken markup never fails (unclosed tags end with their
-parent, a lone ``<`` is text); repeated rows give equal results; an empty table
-gives an empty result; other columns are ignored.
+parent, a lone ``<`` is text); repeated rows give equal results; very long pages
+are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = 1 << 14
+FEATURES = 1 << 16
 ARTICLE, OTHER = 1, 0
 
 _TOKEN = re.compile(
@@ -54,6 +56,9 @@ _BREAKS = frozenset("article aside blockquote body center dd div dl dt embed foo
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key ends an open element of these.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What sites say around their articles.
+_AROUND = ("All rights reserved.", "Home", "Contact us", "About", "Subscribe", "Log in", "Sign up for our newsletter.", "Privacy policy", "Terms of use", "Read more", "Share this", "Advertisement", "We use cookies.", "Search", "Related stories", "Most read", "Skip to content", "Menu", "Next page", "Follow us")
+_TELLING = frozenset(w.lower() for text in _AROUND for w in _WORD.findall(text) if len(w) > 5)
 
 
 @dataclass
@@ -115,6 +120,9 @@ def blocks(page: str) -> list[Block]:
                 stack.append((tag, ()))
             parts.append(" ")
             continue
+        if tag == "br":  # white space inside a block
+            parts.append(" ")
+            continue
         if tag in _INLINE:
             if tag == "a":
                 in_link = 0 if m["close"] else 1
@@ -141,11 +149,15 @@ def blocks(page: str) -> list[Block]:
 def features(page: list[Block]) -> list[np.ndarray]:
     """Hashed feature numbers of each block."""
     out = []
+    has = {t for b in page for t in b.tags} & {"article", "main"}
     for b in page:
         n = len(b.text)
         words = b.text.count(" ") + 1
         names = ["bias", f"parent={b.tags[-1] if b.tags else ''}"]
         names += [f"anc={t}" for t in set(b.tags)]
+        names.append(f"main={len(has)}:{len(has & set(b.tags))}")
+        if words <= 8:  # short blocks say what they are
+            names += [f"word={w}" for w in {w.lower() for w in _WORD.findall(b.text)} & _TELLING]
         names += [f"name={w}" for w in set(b.names)]
         names.append(f"len={min(7, n.bit_length() // 2)}")
         names.append(f"words={min(6, words.bit_length())}")
@@ -222,8 +234,12 @@ class Chain:
         return self
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """Pages in many layouts, with the label of each of their blocks."""
+#: Ways to lay out a page; each can be held out.
+LAYOUTS = ("semantic", "divs", "table", "blog", "portal")
+
+
+def labelled_pages(n: int = 400, seed: int = 11, layouts: tuple[str, ...] = LAYOUTS) -> list[tuple[str, list[int]]]:
+    """Pages in several layouts, with the label of each of their blocks."""
     rng = random.Random(seed)
     syllables = "ba ke lo mi nu ra te so ven dor al is qu en tion er".split()
 
@@ -239,76 +255,177 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
     def link(text: str) -> str:
         return f'<a href="/{word()}">{text}</a>'
 
+    def around() -> str:
+        return rng.choice(_AROUND) if rng.random() < 0.5 else phrase(1, 4).capitalize()
+
+    def attr(*names: str) -> str:
+        """A telling name, a name that says nothing, or none."""
+        k = rng.random()
+        return f' {rng.choice(["class", "id"])}="{rng.choice(names)}"' if names and k < 0.55 else f' class="{word()}"' if k < 0.75 else ""
+
     pages = []
     for _ in range(n):
+        layout = rng.choice(layouts)
         body: list[str] = []
         labels: list[int] = []
 
-        def emit(markup: str, count: int, label: int, body: list[str] = body, labels: list[int] = labels) -> None:
+        def emit(markup: str, count: int = 0, label: int = OTHER, body: list[str] = body, labels: list[int] = labels) -> None:
             body.append(markup)
             labels.extend([label] * count)
 
-        def boxed(tag: str, name: str, short: bool = False) -> None:
-            attr = f' class="{name}"' if name else ""
+        def links(tag: str, *names: str) -> None:
+            k = rng.randint(2, 7)
+            form = rng.randint(0, 3)
+            if form == 0:
+                emit(f"<{tag}{attr(*names)}>" + rng.choice([" ", " | ", "<br>"]).join(link(around()) for _ in range(k)) + f"</{tag}>", 1)
+            elif form == 1:
+                emit(f"<{tag}{attr(*names)}>" + "".join(f"<div>{link(around())}</div>" for _ in range(k)) + f"</{tag}>", k)
+            else:
+                emit(f"<{tag}{attr(*names)}><ul>" + "".join(f"<li>{link(around())}</li>" for _ in range(k)) + f"</ul></{tag}>", k)
+
+        def box(tag: str, *names: str, short: bool = False) -> None:
             form = rng.randint(0, 3)
             if form == 0:
-                k = rng.randint(2, 7)
-                emit(f"<{tag}{attr}><ul>" + "".join(f"<li>{link(phrase(1, 3))}</li>" for _ in range(k)) + f"</ul></{tag}>", k, OTHER)
+                links(tag, *names)
             elif form == 1:
-                emit(f"<{tag}{attr}>{sentence(2, 8 if short else 40)}</{tag}>", 1, OTHER)
+                emit(f"<{tag}{attr(*names)}>{sentence(2, 8 if short else 30)}</{tag}>", 1)
             elif form == 2:
                 k = rng.randint(1, 3)
-                emit(f"<{tag}{attr}>" + "".join(f"<p>{sentence(3, 40)}</p>" for _ in range(k)) + f"</{tag}>", k, OTHER)
+                emit(f"<{tag}{attr(*names)}>" + "".join(f"<p>{rng.choice([sentence(3, 30), around()])}</p>" for _ in range(k)) + f"</{tag}>", k)
             else:
-                emit(f"<{tag}{attr}><h3>{phrase(1, 4)}</h3><p>{sentence(3, 30)}</p></{tag}>", 2, OTHER)
-
-        def aside(where: str) -> None:
-            pick = rng.choice(["nav", "header", "aside", "ad", "notice", "form", "share", "related"])
-            if pick in ("nav", "header", "aside"):
-                boxed(pick, rng.choice(["", "menu", "nav", "sidebar", "top", "widget"]))
-            elif pick == "form":
-                emit(f"<form><label>{phrase(1, 3)}</label><button>{phrase(1, 2)}</button></form>", 2, OTHER)
+                emit(f"<{tag}{attr(*names)}><h3>{around()}</h3><p>{sentence(3, 25)}</p></{tag}>", 2)
+
+        def named(tag: str, kind: str) -> None:
+            """A box that only its name tells from the text."""
+            form = rng.randint(0, 2)
+            if form == 0:
+                emit(f'<{tag} class="{kind}">{sentence(2, 40)}</{tag}>', 1)
+            elif form == 1:
+                emit(f'<{tag} class="{kind}"><h3>{phrase(1, 4)}</h3><p>{sentence(3, 30)}</p></{tag}>', 2)
             else:
-                names = {"ad": ["ad", "ads", "advert", "sponsored", "promo", "banner", "advertisement"], "notice": ["notice", "cookie", "cookies", "alert", "consent", "popup", "newsletter", "subscribe", "signup"], "share": ["share", "social", "tags", "breadcrumb", "pagination", "meta"], "related": ["related", "recommended", "sidebar", "menu", "widget", "more"]}[pick]
-                boxed(rng.choice(["div", "div", "section", "p"]) if where != "p" else "div", rng.choice(names), pick != "notice")
-
-        for _ in range(rng.randint(0, 3)):
-            aside("top")
-        outer = rng.choice(["article", "article", "article", "main", 'div class="content"', 'div class="post"', 'div id="main"', 'div class="article-body"', 'section class="entry"', "div"])
-        body.append(f"<{outer}>")
-        if rng.random() < 0.8:
-            emit(f"<{(h := rng.choice(['h1', 'h1', 'h2']))}>{sentence(2, 12)}</{h}>", 1, ARTICLE)
-        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 9, 14])):
-            kind = rng.random()
-            if kind < 0.62:
-                emit(f"<p>{sentence(1, 120)}</p>", 1, ARTICLE)
-            elif kind < 0.68:
-                emit(f"<p>{sentence(3, 20)[:-1]} {link(phrase(1, 3))} {sentence(3, 20)}</p>", 1, ARTICLE)
-            elif kind < 0.74:
-                k = rng.randint(1, 5)
-                emit("<ul>" + "".join(f"<li>{sentence(2, 20)}</li>" for _ in range(k)) + "</ul>", k, ARTICLE)
-            elif kind < 0.78:
-                emit(f"<h2>{phrase(1, 8)}</h2>", 1, ARTICLE)
-            elif kind < 0.82:
-                emit(f"<blockquote>{sentence(3, 40)}</blockquote>", 1, ARTICLE)
-            elif kind < 0.86:
-                emit(f"<p><b>{sentence(2, 20)}<br><p>{sentence(2, 60)}</p>", 2, ARTICLE)
-            elif kind < 0.89:
-                emit(f"<table><tr><td>{phrase(1, 4)}</td><td>{phrase(1, 4)}</td></tr></table>", 2, ARTICLE)
-            elif kind < 0.92:
-                emit(f"<pre>{phrase(3, 20)}</pre>", 1, ARTICLE)
+                k = rng.randint(1, 3)
+                emit(f'<{tag} class="{kind}">' + "".join(f"<p>{sentence(3, 40)}</p>" for _ in range(k)) + f"</{tag}>", k)
+
+        ads = ("ad", "ads", "advert", "sponsored", "promo", "banner", "advertisement")
+        notices = ("notice", "cookie", "cookies", "alert", "consent", "popup", "newsletter", "subscribe", "signup")
+        extras = ("share", "social", "tags", "breadcrumb", "pagination", "meta", "related", "recommended", "sidebar", "menu", "widget", "more")
+
+        def aside() -> None:
+            pick = rng.randint(0, 5)
+            if pick == 0:
+                links("nav", "menu", "nav", "top")
+            elif pick == 1:
+                box("aside", "sidebar", "widget")
+            elif pick == 2:
+                emit(f"<form{attr('search', 'login')}><label>{around()}</label><button>{around()}</button></form>", 2)
+            elif pick == 3:
+                named("div", rng.choice(ads))
+            elif pick == 4:
+                named(rng.choice(["div", "section"]), rng.choice(notices))
             else:
-                aside("p")
-        body.append(f"</{outer.split()[0]}>")
-        if rng.random() < 0.35:
-            k = rng.randint(1, 4)
-            name = rng.choice(["comments", "comment", "discussion", "replies", "responses"])
-            tag = rng.choice(["section", "div"])
-            emit(f'<{tag} class="{name}">' + "".join(f'<div class="{rng.choice(["comment", "reply", ""])}"><p>{sentence(3, 50)}</p></div>' for _ in range(k)) + f"</{tag}>", k, OTHER)
+                named("div", rng.choice(extras))
+
+        def site_header() -> None:
+            tag = "header" if layout in ("semantic", "blog") or rng.random() < 0.4 else "div"
+            names = ("header", "top", "masthead", "banner", "site")
+            name = f' class="{rng.choice(names)}"' if tag == "div" else attr(*names)
+            inner = rng.choice(["h1", "h2", "p", "div"])
+            k = rng.randint(1, 2)
+            emit(f"<{tag}{name}><{inner}>{rng.choice([link(phrase(1, 3)), phrase(1, 3).title()])}</{inner}>" + (f"<p>{sentence(2, 8)}</p>" if k == 2 else ""), k)
+            if rng.random() < 0.5:
+                links("nav", "menu")
+            emit(f"</{tag}>")
+
+        def site_footer() -> None:
+            tag = "footer" if layout in ("semantic", "blog") or rng.random() < 0.6 else "div"
+            name = f' class="{rng.choice(["footer", "copyright", "legal", "bottom"])}"' if tag == "div" else attr("footer", "site")
+            form = rng.randint(0, 3)
+            if form == 0:
+                emit(f"<{tag}{name}>&copy; {word()} &middot; {sentence(2, 12)}</{tag}>", 1)
+            elif form == 1:
+                k = rng.randint(1, 3)
+                emit(f"<{tag}{name}>" + "".join(f"<p>{rng.choice([around(), sentence(2, 14), '&copy; ' + phrase(1, 4)])}</p>" for _ in range(k)) + f"</{tag}>", k)
+            elif form == 2:
+                emit(f"<{tag}{name}>{around()}</{tag}>", 1)
+            else:
+                links(tag, "footer")
+
+        def article() -> None:
+            head = rng.random()
+            if head < 0.75:
+                h = rng.choice(["h1", "h1", "h2"])
+                title = f"<{h}>{sentence(2, 12)}</{h}>"
+                emit(f"<header>{title}</header>" if layout in ("semantic", "blog") and rng.random() < 0.2 else title, 1, ARTICLE)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 9, 14])):
+                kind = rng.random()
+                if kind < 0.60:
+                    emit(f"<p>{sentence(1, 120)}</p>", 1, ARTICLE)
+                elif kind < 0.66:
+                    emit(f"<p>{sentence(3, 20)[:-1]} {link(phrase(1, 3))} {sentence(3, 20)}</p>", 1, ARTICLE)
+                elif kind < 0.70:
+                    emit(f"<p>{sentence(3, 30)}<br>{sentence(3, 30)}</p>", 1, ARTICLE)
+                elif kind < 0.75:
+                    k = rng.randint(1, 5)
+                    emit("<ul>" + "".join(f"<li>{sentence(2, 20)}</li>" for _ in range(k)) + "</ul>", k, ARTICLE)
+                elif kind < 0.79:
+                    emit(f"<h2>{phrase(1, 8)}</h2>", 1, ARTICLE)
+                elif kind < 0.82:
+                    emit(f"<blockquote>{sentence(3, 40)}</blockquote>", 1, ARTICLE)
+                elif kind < 0.86:
+                    emit(f"<p><b>{sentence(2, 20)}<br><p>{sentence(2, 60)}</p>", 2, ARTICLE)
+                elif kind < 0.89:
+                    emit(f"<table><tr><td>{phrase(1, 4)}</td><td>{phrase(1, 4)}</td></tr></table>", 2, ARTICLE)
+                elif kind < 0.92:
+                    emit(f"<pre>{phrase(3, 20)}</pre>", 1, ARTICLE)
+                else:
+                    aside()
+
+        def comments() -> None:
+            if rng.random() < 0.35:
+                k = rng.randint(1, 4)
+                name = rng.choice(["comments", "comment", "discussion", "replies", "responses"])
+                tag = rng.choice(["section", "div"])
+                emit(f'<{tag} class="{name}">' + "".join(f'<div class="{rng.choice(["comment", "reply", ""])}"><p>{sentence(3, 50)}</p></div>' for _ in range(k)) + f"</{tag}>", k)
+
+        if rng.random() < 0.6:
+            site_header()
+        for _ in range(rng.randint(0, 2)):
+            aside()
+        if layout == "table":
+            emit("<table><tr>")
+            if rng.random() < 0.8:
+                links("td", "menu", "nav", "left")
+            emit(f"<td{attr('content', 'main')}>")
+            article()
+            emit("</td>")
+            if rng.random() < 0.4:
+                box("td", "right", "sidebar", short=True)
+            emit("</tr></table>")
+            comments()
+        else:
+            outer = {
+                "semantic": ["article", "article", "main", "main><article"],
+                "divs": ['div class="content"', 'div id="main"', 'div class="article-body"', 'div class="text"', "div"],
+                "blog": ["article", 'div class="post"', 'section class="entry"', 'div class="entry-content"'],
+                "portal": ["article", 'div class="story"', "main", 'div class="page"><div class="text"'],
+            }[layout]
+            pick = rng.choice(outer)
+            if layout == "portal":
+                emit('<div class="wrap">')
+                links("div", "menu", "left", "nav")
+            emit(f"<{pick}>")
+            article()
+            if layout == "blog" and rng.random() < 0.5:
+                comments()
+            emit("".join(f"</{t.split()[0]}>" for t in reversed(pick.split("><"))))
+            if layout == "portal":
+                box("div", "sidebar", "right", "widget", short=True)
+                emit("</div>")
+            comments()
         for _ in range(rng.randint(0, 2)):
-            aside("bottom")
+            aside()
         if rng.random() < 0.85:
-            emit(f"<footer>&copy; {word()} &middot; {sentence(2, 12)}</footer>" if rng.random() < 0.7 else f'<div class="{rng.choice(["footer", "copyright", "legal"])}">&copy; {phrase(1, 6)}</div>', 1, OTHER)
+            site_footer()
         pages.append(("<html><head><title>x</title></head><body>" + "".join(body) + "</body></html>", labels))
     return pages
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -381,6 +382,49 @@ def test_html(spark):
     assert html.extract(pages.limit(0), model).count() == 0
 
 
+def test_viterbi_against_all_labellings():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        model = html.Chain(np.zeros((html.FEATURES, 2)), rng.normal(size=(2, 2)))
+        model.weights[:40] = rng.normal(size=(40, 2))
+        feats = [rng.integers(0, 40, rng.integers(1, 5)) for _ in range(rng.integers(1, 9))]
+        score = model.scores(feats)
+        best = max(itertools.product((0, 1), repeat=len(feats)), key=lambda y: sum(score[t, k] for t, k in enumerate(y)) + sum(model.moves[a, b] for a, b in itertools.pairwise(y)))
+        assert model.viterbi(feats) == list(best)
+
+
+@pytest.mark.parametrize("layout,limit", [("semantic", 0.03), ("table", 0.03), ("portal", 0.05)])
+def test_html_held_out_layout(layout, limit):
+    """A layout that the model was not trained on."""
+    model = html.train(html.labelled_pages(200, 21, tuple(x for x in html.LAYOUTS if x != layout)))
+    wrong = total = 0
+    for p, labels in html.labelled_pages(60, 33, (layout,)):
+        wrong += sum(a != b for a, b in zip(model.viterbi(html.features(html.blocks(p))), labels, strict=True))
+        total += len(labels)
+    assert wrong <= limit * total
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<html><body><header><h1>My Site</h1></header><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>This is the first paragraph of the story.</p></article><footer><p>All rights reserved.</p></footer></body></html>", "Title\nThis is the first paragraph of the story."),
+        ("<html><body><table><tr><td><a href=/a>Home</a><br><a href=/b>News</a></td><td><h1>Big title</h1><p>The article text goes here<br>and it is long enough to be read.</p><p>A second paragraph follows the first one.</p></td></tr></table></body></html>", "Big title\nThe article text goes here and it is long enough to be read.\nA second paragraph follows the first one."),
+        ("<p>word </p>" * 3, None),
+    ],
+)
+def test_html_plain_pages(page, want):
+    got = html.main_text(page, html.train(html.labelled_pages(200)))
+    assert want is None or got == want
+
+
+def test_html_rows(spark):
+    """Repeated rows are alike and a very long page is read whole."""
+    long = "<article><h1>Head</h1>" + "".join(f"<p>Paragraph number {k} of a long story, told in full.</p>" for k in range(5000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, 5), (1, "u", long, 5)], "page_id long, url string, html string, n_chars long")
+    got = html.extract(pages, html.train(html.labelled_pages(200))).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["text"].count("\n") == 5000
+
+
 @pytest.mark.parametrize(
     "page,want",
     [
