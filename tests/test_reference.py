@@ -32,12 +32,45 @@ def test_percentiles(spark):
     assert r["p"] == pytest.approx(2.15) and r["o"] == 2.0 and r["n"] is None and r["k"] == 0.3
 
 
-@pytest.mark.parametrize("text,want", [("今天天氣很好。", "今天天气很好"), ("１２３", "一百二十三"), ("2023年", "二零二三年"), ("100%", "百分之一百"), (None, None)])
-def test_chinese(text, want):
-    assert textnorm.chinese(text) == want
+@pytest.mark.parametrize("text,want", [("今天天氣很好。", "今天天气很好"), ("１２３", "一百二十三"), ("2023年", "二零二三年"), ("100%", "百分之一百"), ("他女儿在那边儿玩儿", "他女儿在那边玩"), ("呃 我 用 iPhone 12 啊", "我用iphone十二"), ("花了12.5元，3块5", "花了十二点五元三块五"), ("电话 13812345678 或 010-12345678 。", "电话一三八一二三四五六七八或零一零一二三四五六七八"), ("1/2 的 200 个", "二分之一的两百个"), ("B2B 和 102", "b2b和一百零二"), ("<SPOKEN_NOISE>the end", "the end"), ("", ""), (None, None)])
+def test_chinese(spark, text, want):
+    assert one(spark, textnorm.chinese_text(F.lit(text).cast("string")).alias("t"))["t"] == want
 
 
-@pytest.mark.parametrize("text,want", [("06:30", "630"), ("six thirty", "630"), ("U.S. CIA p.m.", "us cia pm")])
+def test_chinese_numbers():
+    """Read back by a plain parser of words."""
+    digit = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"两": 2}
+
+    def read(words):
+        total = section = number = 0
+        for c in words:
+            if c in digit:
+                number = digit[c]
+            elif c in "十百千":
+                section += (number or 1) * {"十": 10, "百": 100, "千": 1000}[c]
+                number = 0
+            else:
+                total = (total + section + number) * (10**8 if c == "亿" else 10**4) if c == "亿" else total + (section + number) * 10**4
+                section = number = 0
+        return total + section + number
+
+    for n in [*range(2000), 10**4, 10**5 + 2, 20000, 20222, 10**8, 2 * 10**8 + 3, 12345678, 210000]:
+        assert read(textnorm.chinese_number(str(n))) == n, n
+    assert textnorm.chinese_number("0.05") == "零点零五" and textnorm.chinese_number("007") == "零七" and textnorm.chinese_number("222") == "两百二十二"
+
+
+@pytest.mark.parametrize("code,norm,metric", [("ar", "basic", "WER"), ("id", "basic", "WER"), ("sv", "zh", "CER"), ("uk", "zh", "CER"), ("en-US", "zh", "CER"), ("ja", "ja", "CER"), ("ko", "basic", "CER"), ("yue", "zh", "CER"), (None, "zh", "CER")])
+def test_router(spark, code, norm, metric):
+    r = one(spark, textnorm.router(F.lit(code).cast("string")).alias("r"))["r"]
+    assert (r["norm"], r["metric"]) == (norm, metric)
+
+
+def test_basic_and_japanese(spark):
+    r = one(spark, textnorm.basic(F.lit("Ａｂ  c-ﾊ①!")).alias("b"), textnorm.japanese(F.lit("今日 は。.")).alias("j"))
+    assert r["b"] == "ab c ハ1" and r["j"] == "今日は"
+
+
+@pytest.mark.parametrize("text,want", [("06:30", "630"), ("six thirty", "630"), ("U.S. CIA p.m.", "us cia pm"), ("from 6:00-07:15", "from 6 to 715"), ("in 1976, thirty percent", "in 1976 30 percent"), ("the u s team", "the us team"), ("25:00", "25 00"), ("", ""), (None, None)])
 def test_english(text, want):
     assert textnorm.english(text) == want
 
