@@ -17,12 +17,12 @@ def cap_per(df: DataFrame, by: Column, limit: int, *order: Column | str) -> Data
 
 
 def group_split(df: DataFrame, dataset: str, group: str, ratio: float, seed: int) -> DataFrame:
-    """Adds ``split``; all rows of a group (a speaker) fall on one side, the first max(1, round(n * ratio)) groups by hash, at most n - 1, validate."""
+    """Adds ``split``; all rows of a group (a speaker) fall on one side, the first max(1, n * ratio rounded half to even) groups by hash, at most n - 1, validate."""
     groups = df.select(dataset, group).distinct()
     w = Window.partitionBy(dataset)
     n = F.count(F.lit(1)).over(w)
     rank = F.row_number().over(w.orderBy(seeded(seed, dataset, group), group))
-    take = F.least(F.greatest(F.lit(1), F.floor(n * ratio + 0.5).cast("int")), n - 1)
+    take = F.least(F.greatest(F.lit(1), F.bround(n * F.lit(float(ratio)), 0).cast("int")), n - 1)
     marked = groups.select(dataset, group, F.when(rank <= take, "validation").otherwise("train").alias("split"))
     return df.join(marked, [dataset, group])
 
@@ -38,8 +38,11 @@ def exclude(rows: DataFrame, samples: DataFrame, speakers: DataFrame, key: str,
     return rows.join(s, key, "left").join(p, speaker, "left").withColumn("excluded_by", F.when(F.col("_s").isNotNull(), "sample").when(F.col("_p").isNotNull(), "speaker")).withColumn("reason", F.coalesce("_s", "_p")).drop("_s", "_p")
 
 
-def select_in_order(rows: DataFrame, ids: list[int], key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of the wanted ids with their position, and the wanted ids that are missing."""
+def select_in_order(rows: DataFrame, ids: list[int], key: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of the wanted ids with their position, and the wanted ids that are missing; ``strict`` fails if there are any."""
     spark = rows.sparkSession
     want = spark.createDataFrame(list(enumerate(ids)), f"position long, {key} long")
-    return rows.join(F.broadcast(want), key), want.join(rows.select(key), key, "left_anti")
+    missing = want.join(rows.select(key), key, "left_anti")
+    if strict and (gone := [r[key] for r in missing.orderBy("position").collect()]):  # at most the ids that were asked for
+        raise ValueError(f"ids that are not there: {gone}")
+    return rows.join(F.broadcast(want), key), missing

@@ -143,6 +143,30 @@ def text_units(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
 
 
+def balanced_groups(units: Column, count: Column) -> Column:
+    """Sentences as ``count`` groups of about equal weight, in order; empty ones at the end if sentences are few.
+
+    A group ends before the sentence that would take it over the mean weight of
+    what is left, as long as groups are left.
+    """
+    weights = F.aggregate(units, F.lit(0), lambda a, u: a + text_weight(u))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("w"), weights.alias("left"))
+
+    def step(s: Column, u: Column) -> Column:
+        slots = F.greatest(F.lit(1), count - F.size(s["done"]))
+        close = (s["w"] > 0) & (s["w"] + text_weight(u) > s["left"] / slots) & (F.size(s["done"]) < count - 1)
+        return F.struct(
+            F.when(close, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"),
+            F.when(close | (s["w"] == 0), u).otherwise(F.concat(s["now"], F.lit(" "), u)).alias("now"),
+            F.when(close, text_weight(u)).otherwise(s["w"] + text_weight(u)).alias("w"),
+            F.when(close, s["left"] - s["w"]).otherwise(s["left"]).alias("left"),
+        )
+
+    end = F.aggregate(units, start, step)
+    groups = F.array_append(end["done"], end["now"])
+    return F.concat(groups, F.array_repeat(F.lit(""), F.greatest(count - F.size(groups), F.lit(0))))
+
+
 def reply_body(text: Column, marker: str = "<asr_text>") -> Column:
     """The last part that is not empty after the marker, without lines of the chat template; a text without it stays."""
     frames = F.filter(F.transform(F.split(text, marker), lambda f: F.trim(f)), lambda f: f != "")

@@ -113,24 +113,6 @@ def chrf_corpus(spark, d):
     return s.select((100 * 5 * prec * rec / (4 * prec + rec)).alias("chrf"))
 
 
-@query("WITH k AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) >= 9), m AS (SELECT lang, doc_id, w FROM documents, k WHERE contains(lower(text), w)) SELECT lang, count(*) AS hits, count(DISTINCT doc_id) AS docs, count(DISTINCT w) AS words FROM m GROUP BY lang")
-def keyword_recall(spark, d):
-    # vocabulary of the benchmark: the join key would be a substring, so the keyword list is an argument of one scan
-    words = table(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("w")).where("length(w) >= 9").distinct().agg(F.collect_set("w").alias("words"))
-    docs = table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism).crossJoin(F.broadcast(words))
-    hit = docs.select("lang", "doc_id", F.explode(F.filter("words", lambda w: F.contains(F.lower(F.col("text")), w))).alias("w"))
-    return hit.groupBy("lang").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("w").alias("words"))
-
-
-@query("WITH e AS (SELECT a.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot, sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(CASE WHEN n > 0 THEN dot / n END, 6) AS cosine FROM e")
-def cosine_pairs(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
-    norm = F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))
-    return j.select("vec_id", F.round(F.when(norm > 0, dot("x", "y") / norm), 6).alias("cosine"))
-
-
 # ---- logs --------------------------------------------------------------------
 @query(f"WITH {LOG} SELECT id, line_no, ok, elapsed_s, workers, attempts, error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ok DESC, CASE WHEN ok THEN -line_no ELSE line_no END) AS k FROM log) WHERE k = 1")
 def log_dedup(spark, d):
@@ -156,24 +138,12 @@ def _exclusive_sql(p: int) -> str:
     return f"CASE WHEN n = 1 THEN x[1] ELSE (x[{j}] * (100 - ({p} * (n + 1) - {j} * 100)) + x[{j} + 1] * ({p} * (n + 1) - {j} * 100)) / 100.0 END"
 
 
-@query(f"WITH {LOG}, v AS (SELECT id, list_sort(list(elapsed_s)) AS x FROM log WHERE workers = 1 AND ok GROUP BY id), w AS (SELECT id, x, len(x) AS n FROM v) SELECT id, {_exclusive_sql(50)} AS p50, {_exclusive_sql(95)} AS p95 FROM w")
-def serial_latency_quantiles(spark, d):
-    g = log(spark, d).where("workers = 1 and ok").groupBy("id").agg(F.collect_list("elapsed_s").alias("x"))
-    return g.select("id", quantiles.exclusive(F.col("x"), 50).alias("p50"), quantiles.exclusive(F.col("x"), 95).alias("p95"))
-
-
 @query(f"WITH {LOG} SELECT workers, quantile_cont(elapsed_s::DOUBLE, 0.5) AS p50, quantile_cont(elapsed_s::DOUBLE, 0.95) AS p95, quantile_cont(elapsed_s::DOUBLE, 0.99) AS p99, count(*) AS calls, count(*) FILTER (WHERE ok) / count(*) AS success_rate FROM log GROUP BY workers")
 def inclusive_quantiles(spark, d):
     q = lambda f, n: quantiles.inclusive(F.col("elapsed_s"), f).alias(n)
     return log(spark, d).groupBy("workers").agg(q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"), F.count(F.lit(1)).alias("calls"), (F.count_if("ok") / F.count(F.lit(1))).alias("success_rate"))
 
 
-@query(f"WITH {LOG}, v AS (SELECT id, list_sort(list(elapsed_s)) AS x FROM log GROUP BY id) SELECT id, x[1 + CAST(round_even((len(x) - 1) * 0.95, 0) AS BIGINT)] AS p95 FROM v")
-def nearest_rank_latency(spark, d):
-    g = log(spark, d).groupBy("id").agg(F.collect_list("elapsed_s").alias("x"))
-    return g.select("id", quantiles.nearest_rank(F.col("x"), 0.95).alias("p95"))
-
-
 @query(f"WITH {LOG} SELECT id, CAST(sum(greatest(0, attempts - 1)) AS BIGINT) AS retries, avg(CASE WHEN attempts > 1 THEN 1.0 ELSE 0.0 END) AS retry_rate FROM log GROUP BY id")
 def retry_stats(spark, d):
     return log(spark, d).groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)).alias("retries"), F.avg((F.col("attempts") > 1).cast("double")).alias("retry_rate"))

@@ -13,33 +13,6 @@ def segments(spark, d):
     return c.select(F.col("conv_id").alias("id"), F.col("turn").alias("segment_id"), "role", "text", (F.length("text") / 10.0).alias("dur"), (F.sum(F.length("text")).over(w) / 10.0).alias("end_s"))
 
 
-@query(f"WITH {SEG} SELECT role, count(*) AS n, avg(CASE WHEN dur < 2 THEN 1.0 ELSE 0 END) AS lt2, avg(CASE WHEN dur > 15 THEN 1.0 ELSE 0 END) AS gt15, quantile_cont(dur::DOUBLE, 0.5) AS p50, max(dur)::DOUBLE AS longest, 60.0 * count(*) / sum(dur) AS per_minute, count(*) FILTER (WHERE dur < 2 AND length(text) <= 12) AS islands, count(*) FILTER (WHERE dur > 20.5) AS hard_max FROM seg GROUP BY role")
-def segment_vad_block(spark, d):
-    s = segments(spark, d)
-    rate = lambda c: F.avg(c.cast("double"))
-    return s.groupBy("role").agg(F.count(F.lit(1)).alias("n"), rate(F.col("dur") < 2).alias("lt2"), rate(F.col("dur") > 15).alias("gt15"), F.percentile("dur", 0.5).alias("p50"), F.max("dur").alias("longest"), (60.0 * F.count(F.lit(1)) / F.sum("dur")).alias("per_minute"), F.count_if((F.col("dur") < 2) & (F.length("text") <= 12)).alias("islands"), F.count_if(F.col("dur") > 20.5).alias("hard_max"))
-
-
-@query(f"WITH {SEG}, e AS (SELECT id, segment_id AS event, end_s - dur / 2 + 7 AS at FROM seg), c AS (SELECT e.id, e.event, min(s.segment_id) AS hit FROM e JOIN seg s ON s.id = e.id AND s.end_s - s.dur <= e.at AND e.at < s.end_s GROUP BY ALL), l AS (SELECT id, max(segment_id) AS last FROM seg GROUP BY id) SELECT e.id, e.event, coalesce(hit, last) AS segment FROM e LEFT JOIN c USING (id, event) JOIN l USING (id)")
-def interval_join_longform(spark, d):
-    """First segment that holds the event's time, else the last one: one sorted pass per recording, no range join."""
-    s = segments(spark, d)
-    marks = s.select("id", (F.col("end_s") - F.col("dur")).alias("t"), F.lit(0).alias("kind"), F.col("segment_id").alias("x"), "end_s").unionByName(s.select("id", (F.col("end_s") - F.col("dur") / 2 + 7).alias("t"), F.lit(1).alias("kind"), F.col("segment_id").alias("x"), F.lit(None).cast("double").alias("end_s")))
-    w = Window.partitionBy("id").orderBy("t", "kind", "x").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("id")
-    open_ = F.last(F.when(F.col("kind") == 0, F.struct("x", "end_s")), ignorenulls=True).over(w)
-    m = marks.select("id", "t", "kind", "x", open_.alias("o"), F.max(F.when(F.col("kind") == 0, F.col("x"))).over(whole).alias("last"))
-    return m.where("kind = 1").select("id", F.col("x").alias("event"), F.when(F.col("t") < F.col("o.end_s"), F.col("o.x")).otherwise(F.col("last")).alias("segment"))
-
-
-@query(f"WITH {SEG}, g AS (SELECT id, end_s AS g, row_number() OVER (PARTITION BY id ORDER BY segment_id) AS i, count(*) OVER (PARTITION BY id) AS n, max(end_s) OVER (PARTITION BY id) AS T FROM seg), t AS (SELECT *, min(CASE WHEN g >= T - 1e-6 THEN i END) OVER (PARTITION BY id) AS tau FROM g) SELECT id, (sum(g - (i - 1) * T / n) / max(tau))::DOUBLE AS al FROM t WHERE i <= tau GROUP BY id")
-def al_laal(spark, d):
-    by, order = Window.partitionBy("id"), Window.partitionBy("id").orderBy("segment_id")
-    g = segments(spark, d).select("id", F.col("end_s").alias("g"), F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(by).alias("n"), F.max("end_s").over(by).alias("T"))
-    t = g.withColumn("tau", F.min(F.when(F.col("g") >= F.col("T") - 1e-6, F.col("i"))).over(by)).where("i <= tau")
-    return t.groupBy("id").agg((F.sum(F.col("g") - (F.col("i") - 1) * F.col("T") / F.col("n")) / F.max("tau")).alias("al"))
-
-
 def trace_events(spark, d):
     e = table(spark, d, "events")
     op = F.when(F.col("event_type") == "view", "append").when(F.col("event_type") == "click", "replace").when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "signup", "final")
@@ -72,15 +45,6 @@ def three_level_averages(spark, d):
     return r.groupBy("l_returnflag").agg(F.round(F.avg("m"), 6).alias("macro"), F.round(F.sum("ws") / F.sum("w"), 6).alias("weighted"), F.round(F.sum("s") / F.sum("n"), 6).alias("micro"))
 
 
-@query("WITH s AS (SELECT l.toxic AS truth, (d.n_chars % 101) / 100.0 AS p FROM labels l JOIN documents d USING (doc_id)), t AS (SELECT unnest(range(2, 9)) / 10.0 AS thr), c AS (SELECT thr, count(*) FILTER (WHERE p >= thr AND truth = 1) AS tp, count(*) FILTER (WHERE p >= thr AND truth = 0) AS fp, count(*) FILTER (WHERE p < thr AND truth = 1) AS fn, count(*) FILTER (WHERE p < thr AND truth = 0) AS tn FROM s, t GROUP BY thr) SELECT thr::DOUBLE AS thr, tp, fp, fn, tn, CASE WHEN tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END::DOUBLE AS f1 FROM c")
-def threshold_sweep(spark, d):
-    s = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("toxic").alias("truth"), ((F.col("n_chars") % 101) / 100.0).alias("p"))
-    # seven fixed thresholds: one pass of conditional counts, then rows
-    cell = lambda t, up, y: F.count_if(((F.col("p") >= t) if up else (F.col("p") < t)) & (F.col("truth") == y))
-    one = s.agg(F.array(*[F.struct(F.lit(t / 10).alias("thr"), cell(t / 10, True, 1).alias("tp"), cell(t / 10, True, 0).alias("fp"), cell(t / 10, False, 1).alias("fn"), cell(t / 10, False, 0).alias("tn")) for t in range(2, 9)]).alias("x"))
-    return one.select(F.inline("x")).withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
-
-
 @query(f"WITH {RUNS} SELECT arm, dataset, n, row_number() OVER (ORDER BY n < 100, n DESC, arm, dataset) AS place FROM runs")
 def leaderboard_order(spark, d):
     return runs(spark, d).select("arm", "dataset", "n", F.row_number().over(Window.orderBy(F.col("n") < 100, F.desc("n"), "arm", "dataset")).cast("long").alias("place"))
@@ -98,16 +62,6 @@ def latest_per_model(spark, d):
     return g
 
 
-@query("WITH x AS (SELECT doc_id FROM labels WHERE toxic = 1), y AS (SELECT d.*, CASE WHEN x.doc_id IS NOT NULL THEN 'sample' WHEN source IN ('src1', 'src2') THEN 'speaker' END AS excluded_by FROM documents d LEFT JOIN x USING (doc_id)) SELECT coalesce(excluded_by, 'kept') AS excluded_by, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id))[1:12] AS signature FROM y GROUP BY 1")
-def reviewed_metric(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    samples = table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit("toxic").alias("reason"))
-    speakers = spark.createDataFrame([("src1", "quality"), ("src2", "quality")], "source string, reason string")
-    y = curation.exclude(docs, samples, speakers, "doc_id", "source")
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return y.groupBy(F.coalesce("excluded_by", F.lit("kept")).alias("excluded_by")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.substring(F.sha2(F.array_join(ids, ",").cast("binary"), 256), 1, 12).alias("signature"))
-
-
 BUCKET = "CASE WHEN n_chars / 1000.0 < 0.5 THEN '<0.5' WHEN n_chars / 1000.0 < 1.0 THEN '0.5-1' WHEN n_chars / 1000.0 < 1.5 THEN '1-1.5' WHEN n_chars / 1000.0 <= 2.0 THEN '1.5-2' ELSE '>2' END"
 
 
@@ -123,7 +77,7 @@ def transcript_cap(spark, d):
     return curation.cap_per(docs, F.col("t"), 2, curation.seeded(42, "doc_id"), "doc_id").select("doc_id", "lang")
 
 
-@query("WITH g AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || lang || ':' || source), source) AS r, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT DISTINCT lang, source FROM documents)) SELECT doc_id, CASE WHEN r <= least(greatest(1, CAST(floor(n * 0.05 + 0.5) AS INT)), n - 1) THEN 'validation' ELSE 'train' END AS split FROM documents JOIN g USING (lang, source)")
+@query("WITH g AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || lang || ':' || source), source) AS r, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT DISTINCT lang, source FROM documents)) SELECT doc_id, CASE WHEN r <= least(greatest(1, CAST(round_even(n * 0.05, 0) AS INT)), n - 1) THEN 'validation' ELSE 'train' END AS split FROM documents JOIN g USING (lang, source)")
 def speaker_split(spark, d):
     return curation.group_split(table(spark, d, "documents").select("doc_id", "lang", "source"), "lang", "source", 0.05, 42).select("doc_id", "split")
 
@@ -194,17 +148,6 @@ def select_ids_in_order(spark, d):
     return curation.select_in_order(table(spark, d, "documents").select("doc_id", "lang"), [5, 3, 99999999, 7], "doc_id")[0].select(F.col("position").cast("int").alias("position"), "doc_id", "lang")
 
 
-@query("SELECT conv_id, list_sort(list(DISTINCT role)) AS roles, count(DISTINCT role) AS n FROM conversations GROUP BY conv_id")
-def glossary_dedup(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count_distinct("role").alias("n"))
-
-
-@query("SELECT doc_id, lang, source FROM documents WHERE source = 'src3' AND contains(lower(lang || ' ' || text), 'the') ORDER BY doc_id LIMIT 20 OFFSET 5")
-def search_page(spark, d):
-    docs = table(spark, d, "documents").where("source = 'src3'").where(F.contains(F.lower(F.concat_ws(" ", "lang", "text")), F.lit("the")))
-    return docs.select("doc_id", "lang", "source").orderBy("doc_id").offset(5).limit(20)
-
-
 @query("SELECT doc_id, text[1:400] AS preview, length(text) AS n FROM documents")
 def dataset_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("preview"), F.length("text").cast("long").alias("n"))

@@ -19,16 +19,22 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return read.withColumn("nth", F.monotonically_increasing_id()).where(F.trim("value") != "")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, tail: str = "forgive") -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str, tail: str = "forgive", objects_only: bool = False) -> DataFrame:
     """Records of JSON Lines.  A malformed line fails the query, except that
 
     * ``forgive`` drops it where it is the last line of its file (a torn append),
     * ``skip`` drops it anywhere, ``strict`` nowhere.
+
+    ``objects_only`` drops lines of JSON that are no object, wherever they stand.
     """
     if tail not in ("forgive", "skip", "strict"):
         raise ValueError(f"unknown rule {tail}")
     row = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    read = lines(spark, path).withColumn("r", row).withColumn("bad", F.col("r").isNull() | F.col("r._bad").isNotNull())
+    read = lines(spark, path)
+    if objects_only:
+        other = ~F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull()
+        read = read.where(~other)
+    read = read.withColumn("r", row).withColumn("bad", F.col("r").isNull() | F.col("r._bad").isNotNull())
     if tail == "skip":
         read = read.where(~F.col("bad"))
     else:

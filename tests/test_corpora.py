@@ -192,3 +192,28 @@ def test_compatible_and_guards(spark):
     a = spark.createDataFrame([("x", ["1", "2"])], "id string, a array<string>")
     with pytest.raises(Exception, match="lengths differ"):
         runs.zipped(a, a.select("id", F.slice("a", 1, 1).alias("b")), "id", "a", "b").collect()
+
+
+def test_balanced_groups(spark):
+    units = F.array(*[F.lit(x) for x in ("a b c", "d", "e f", "g h i j")])
+    assert value(spark, scoring.balanced_groups(units, F.lit(2))) == ["a b c d", "e f g h i j"]
+    assert value(spark, scoring.balanced_groups(units, F.lit(1))) == ["a b c d e f g h i j"]
+    assert value(spark, scoring.balanced_groups(F.array(F.lit("a")), F.lit(3))) == ["a", "", ""]
+    assert value(spark, scoring.balanced_groups(F.array().cast("array<string>"), F.lit(2))) == ["", ""]
+
+
+def test_event_lines_keep_objects(spark, tmp_path):
+    put(tmp_path / "e.jsonl", '{"a": 1}\n\n[1]\n"x"\n{"a": 2}\n{"a": ')
+    assert rows(readers.json_lines(spark, str(tmp_path / "e.jsonl"), "a long", objects_only=True), "a") == [(1,), (2,)]
+    put(tmp_path / "f.jsonl", '{"a": 1}\n{"a": \n{"a": 2}')
+    with pytest.raises(Exception, match="malformed"):
+        readers.json_lines(spark, str(tmp_path / "f.jsonl"), "a long", objects_only=True).collect()
+
+
+def test_missing_ids_fail(spark):
+    from murmurate.operators import curation
+
+    d = spark.range(5).withColumnRenamed("id", "doc_id")
+    assert [r["doc_id"] for r in curation.select_in_order(d, [3, 1], "doc_id", strict=True)[0].orderBy("position").collect()] == [3, 1]
+    with pytest.raises(ValueError, match="9"):
+        curation.select_in_order(d, [3, 9], "doc_id", strict=True)
