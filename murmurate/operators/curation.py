@@ -46,3 +46,26 @@ def select_in_order(rows: DataFrame, ids: list[int], key: str, strict: bool = Fa
     if strict and (gone := [r[key] for r in missing.orderBy("position").collect()]):  # at most the ids that were asked for
         raise ValueError(f"ids that are not there: {gone}")
     return rows.join(F.broadcast(want), key), missing
+
+
+def in_subset(value: Column, subset: str, aliases: dict[str, str] | None = None) -> Column:
+    """Whether a value holds any of the comma-separated names, letters and digits compared in lower case; an empty list takes all.
+
+    With ``aliases`` a name must be one of them (any case) and stands for its value; another one fails.
+    """
+    names = [x.strip() for x in subset.split(",") if x.strip()]
+    if aliases is not None:
+        known = {k.casefold(): v for k, v in aliases.items()}
+        if unknown := [x for x in names if x.casefold() not in known]:
+            raise ValueError(f"no such subset: {unknown}")
+        return F.lit(True) if not names else value.isin(*[known[x.casefold()] for x in names])
+    plain = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9]+", "")
+    out = F.lit(not names)
+    for x in names:
+        out = out | F.contains(plain, F.lit("".join(c for c in x.lower() if c.isascii() and c.isalnum())))
+    return out
+
+
+def genuine(subset: Column) -> Column:
+    """Not synthetic: the subset's name says that it is real."""
+    return F.coalesce(F.startswith(subset, F.lit("real-")), F.lit(False))

@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a folder of our own is set.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    the master is local (tests on one machine) a folder of our own is set.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -39,5 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "murmurate-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
