@@ -11,8 +11,9 @@ lost task is simply run again.  ``sequence_id`` is the partition's number and
 the row's number in it, so it is unique and the same on a retry.
 
 Defined cases: a null or empty text has only the end id and gives one piece of
-length 1; a null doc_id stays null; repeated rows are packed once each; other
-columns are ignored.
+length 1; a null doc_id stays null; repeated rows are packed once each; a very
+long text is a slice of its own and is cut whole; an empty table gives no piece;
+other columns are ignored.
 """
 
 from __future__ import annotations

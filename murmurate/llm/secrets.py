@@ -24,8 +24,9 @@ classes times bins), so no class is ever gathered in one task; bins are
 
 Spans are in code points, the end is exclusive.  Defined cases: a null text is
 an empty one and has no spans; a null doc_id stays; repeated rows are reported
-once each; equal starts are ordered by kind; an empty table gives an empty
-result; other columns are ignored.
+once each; equal starts are ordered by kind; very long texts are scanned whole,
+at a cost that grows with the square of their matches, as spans are one array;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
