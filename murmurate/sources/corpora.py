@@ -221,3 +221,38 @@ def meeting_points(rows: DataFrame) -> DataFrame:
     marked = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("c.annotators", lambda a: a["sentences"].isNotNull()), lambda a: a["sentences"]))))
     text = F.array_join(F.transform(marked, lambda s: s["text"]), "\n")
     return c.select("meeting_key", F.coalesce(F.nullif(text, F.lit("")), F.array_join("c.topics", "\n")).alias("ref_text")).where("coalesce(ref_text, '') <> ''")
+
+
+def with_keywords(rows: DataFrame, words: list[str], text: str = "ref_text") -> DataFrame:
+    """``rows`` with the hotwords that each text holds, in the order of the list; one automaton finds them all in one walk of the text.
+
+    The list is a parameter that each worker holds; it is the caller's and does not come from the rows.
+    """
+    wanted = [w for w in dict.fromkeys(words) if w]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for k, w in enumerate(wanted):
+            machine.add_word(w, k)
+        machine.make_automaton()
+        for pdf in batches:
+            found = [[wanted[k] for k in sorted({k for _, k in machine.iter(x or "")})] if wanted else [] for x in pdf[text]]
+            yield pdf.assign(keywords=found)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{fields}, keywords array<string>")
+
+
+def hotword_set(spark: SparkSession, ids_path: str, text_path: str, audio_path: str, words: list[str]) -> DataFrame:
+    """id, ref_text, audio_path and keywords of the listed utterances that have a text and an audio file; a file is named by its stem up to the last hyphen."""
+    ids = lines(spark, ids_path).select(F.split(F.trim("value"), r"\s+")[0].alias("id")).distinct()
+    audio = lines(spark, audio_path).select(F.trim("value").alias("audio_path")).withColumn("id", F.regexp_replace(base_name(F.col("audio_path")), r"(-[^-]*)?\.[^.]*$", ""))
+    return with_keywords(ids.join(keyed(spark, text_path, "id", "ref_text"), "id").join(audio, "id"), words)
+
+
+def golden(spark: SparkSession, path: str) -> DataFrame:
+    """Formula items: id, audio_path, and the spoken form as the text; items without either are dropped."""
+    g = json_lines(spark, path, "id string, audio string, audio_path string, text string, ref_text string", "strict")
+    return g.select("id", F.coalesce("audio_path", "audio").alias("audio_path"), F.coalesce("ref_text", "text").alias("ref_text")).where("audio_path is not null and coalesce(ref_text, '') <> ''")

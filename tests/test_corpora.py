@@ -217,3 +217,22 @@ def test_missing_ids_fail(spark):
     assert [r["doc_id"] for r in curation.select_in_order(d, [3, 1], "doc_id", strict=True)[0].orderBy("position").collect()] == [3, 1]
     with pytest.raises(ValueError, match="9"):
         curation.select_in_order(d, [3, 9], "doc_id", strict=True)
+
+
+def test_hotwords(spark, tmp_path):
+    put(tmp_path / "ids", "u1 u1\nu2\nu1\n")
+    put(tmp_path / "text", "u1 see the red fox\nu2 nothing\nu3 red\n")
+    put(tmp_path / "wav", "/a/u1-0007.wav\n/a/u2.flac\n")
+    got = rows(corpora.hotword_set(spark, str(tmp_path / "ids"), str(tmp_path / "text"), str(tmp_path / "wav"), ["fox", "red", "red fox", ""]), "id", "audio_path", "keywords")
+    assert got == [("u1", "/a/u1-0007.wav", ["fox", "red", "red fox"]), ("u2", "/a/u2.flac", [])]
+    put(tmp_path / "g.jsonl", '{"id": "1", "audio": "a.wav", "text": "x"}\n{"id": "2", "audio": "b.wav"}\n')
+    assert rows(corpora.golden(spark, str(tmp_path / "g.jsonl")), "id", "audio_path", "ref_text") == [("1", "a.wav", "x")]
+
+
+def test_numbers_read_back():
+    from murmurate.functions import textnorm
+
+    for n in [*range(0, 3000), 10203, 120000, 1020304, 10**8, 2 * 10**8 + 5, 305 * 10**8 + 20, 12345678]:
+        assert textnorm.arabic_number(textnorm.chinese_number(str(n))) == str(n), n
+    for words, number in (("一百二", "120"), ("一百零二", "102"), ("三千五", "3500"), ("两万三", "23000"), ("二零二四", "2024"), ("负三点五", "-3.5"), ("十", "10"), ("点五", None), ("abc", None), ("三点", None)):
+        assert textnorm.arabic_number(words) == number, words
