@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmurate.functions import align, quantiles, textnorm, whole
+from murmurate.functions import align, bleu, quantiles, textnorm, whole
 from murmurate.functions.der import bootstrap_groups, diarization_error, diff_blocks
 from murmurate.operators import curation, logs, ranking
 from murmurate.session import table
@@ -99,8 +99,8 @@ def rouge_lcs(spark, d):
 def bleu_corpus(spark, d):
     rows = whole_pairs(spark, d).select(whole.ngram_counts(F.col("ref"), F.col("hyp"), 4).alias("c"))
     s = rows.agg(*[F.sum(F.col("c")[k]).cast("double").alias(f"c{k}") for k in range(12)])
-    lp = sum((F.log(F.col(f"c{3 * n}") / F.col(f"c{3 * n + 2}")) for n in range(4)), F.lit(0.0)) / 4
-    return s.select((100 * F.exp(lp) * F.when(F.col("c2") < F.col("c1"), F.exp(1 - F.col("c1") / F.col("c2"))).otherwise(1.0)).alias("bleu"), F.col("c1").cast("long").alias("ref_len"), F.col("c2").cast("long").alias("hyp_len"))
+    counts = lambda k: [F.col(f"c{3 * n + k}") for n in range(4)]
+    return s.select(bleu.score(counts(0), counts(2), F.col("c1"), F.col("c2")).alias("bleu"), F.col("c1").cast("long").alias("ref_len"), F.col("c2").cast("long").alias("hyp_len"))
 
 
 # no oracle: its character n-grams are too many rows

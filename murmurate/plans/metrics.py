@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurate.functions import whole
+from murmurate.functions import bleu, whole
 from murmurate.operators import curation, scoring
 from murmurate.plans.catalog import LOG, log, query, table
 from murmurate.plans.more import SEG, segments
@@ -139,6 +139,27 @@ def sentence_chrf(spark, d):
     return c.select("item_id", F.round(F.coalesce(F.try_divide(500 * p * r, 4 * p + r), F.lit(0.0)), 1).alias("chrf"))
 
 
+def _marked(side: str) -> str:
+    t = f"' ' || replace({side}, chr(10), ' ') || ' '"
+    for pattern, put in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        t = f"regexp_replace({t}, '{pattern}', '{put}', 'g')"
+    return f"list_filter(string_split_regex({t}, '\\s+'), lambda x: x <> '')"
+
+
+def _orders(n: int, side: str) -> str:
+    return f"SELECT item_id, {n} AS k, array_to_string({side}[i:i + {n - 1}], ' ') AS g, count(*) AS n FROM b, unnest(range(1, greatest(len({side}) - {n - 2}, 1))) t(i) GROUP BY ALL"
+
+
+@query(f"WITH b AS (SELECT item_id, {_marked('text')} AS ref, {_marked("replace(replace(text, ' the ', ' a '), ', ', '; 3,5 ')")} AS hyp FROM benchmark), rg AS ({' UNION ALL '.join(_orders(n, 'ref') for n in range(1, 5))}), hg AS ({' UNION ALL '.join(_orders(n, 'hyp') for n in range(1, 5))}), m AS (SELECT k, sum(least(rg.n, hg.n)) AS hit FROM rg JOIN hg USING (item_id, k, g) GROUP BY k), t AS (SELECT k, sum(n) AS total FROM hg GROUP BY k), pr AS (SELECT avg(ln(hit / total)) AS lp FROM m JOIN t USING (k)), l AS (SELECT sum(len(ref)) AS r, sum(len(hyp)) AS h FROM b) SELECT round(100 * exp(lp) * CASE WHEN h < r THEN exp(1 - r / h) ELSE 1 END, 2) AS bleu, CAST(r AS BIGINT) AS ref_len, CAST(h AS BIGINT) AS hyp_len FROM pr, l")
+def bleu_words(spark, d):
+    """BLEU of raw texts, marks cut from words."""
+    b = table(spark, d, "benchmark").select("text", F.replace(F.replace("text", F.lit(" the "), F.lit(" a ")), F.lit(", "), F.lit("; 3,5 ")).alias("hyp"))
+    c = b.select(whole.ngram_counts(bleu.words(F.col("text")), bleu.words(F.col("hyp")), 4).alias("c"))
+    s = c.agg(*[F.sum(F.col("c")[k]).cast("double").alias(f"c{k}") for k in range(12)])
+    counts = lambda k: [F.col(f"c{3 * n + k}") for n in range(4)]
+    return s.select(F.round(bleu.score(counts(0), counts(2), F.col("c1"), F.col("c2")), 2).alias("bleu"), F.col("c1").cast("long").alias("ref_len"), F.col("c2").cast("long").alias("hyp_len"))
+
+
 @query("WITH k AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) >= 9), r AS (SELECT DISTINCT doc_id, lang, w FROM (SELECT doc_id, lang, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM documents) JOIN k USING (w)) SELECT lang, count(*) AS total, count(*) FILTER (WHERE (doc_id + length(w)) % 5 <> 0) AS hits, round(count(*) FILTER (WHERE (doc_id + length(w)) % 5 <> 0) / count(*), 4) AS krr FROM r GROUP BY lang")
 def keyword_recall(spark, d):
     """Keywords of each text (words of the benchmark with nine letters or more), and those that the output has too."""

@@ -214,3 +214,18 @@ def test_bootstrap_rounds(spark, tmp_path):
     stats.sort()
     got = catalog.QUERIES["bootstrap_ci"](spark, str(tmp_path)).first()
     assert (got["lo"], got["hi"]) == (pytest.approx(stats[25], abs=1e-12), pytest.approx(stats[975], abs=1e-12))
+
+
+def test_bleu(spark):
+    """Tokenisers by hand, and scores by plain arithmetic."""
+    import math
+
+    from murmurate.functions import bleu
+
+    r = one(spark, bleu.words(F.lit('He said: "1,000.5 is 3-4," &amp; left.\nOk')).alias("w"), bleu.characters(F.lit("我用iPhone，好。")).alias("c"), bleu.by_character(F.lit("今天 ok")).alias("z"), bleu.by_character(F.lit("plain")).alias("p"))
+    assert r["w"] == ["He", "said", ":", '"', "1,000.5", "is", "3", "-", "4", ",", '"', "&", "left", ".", "Ok"]
+    assert r["c"] == ["我", "用", "iPhone", "，", "好", "。"] and r["z"] and not r["p"]
+    f = lambda hits, totals, ref, hyp: one(spark, bleu.score([F.lit(float(x)) for x in hits], [F.lit(float(x)) for x in totals], F.lit(float(ref)), F.lit(float(hyp))).alias("b"))["b"]
+    assert f((4, 3, 2, 1), (5, 4, 3, 2), 5, 5) == pytest.approx(100 * (4 / 5 * 3 / 4 * 2 / 3 * 1 / 2) ** 0.25)
+    assert f((4, 0, 0, 1), (5, 4, 3, 2), 10, 5) == pytest.approx(100 * math.exp(-1) * (4 / 5 * 1 / 8 * 1 / 12 * 1 / 2) ** 0.25)
+    assert f((1, 0, 0, 0), (2, 1, 0, 0), 2, 2) == 0.0
