@@ -227,6 +227,15 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component) after more links: only the components that they join are a graph, not all links again."""
+    end = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = found.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    small = save(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "joined")
+    known = comps.join(small.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return save(known.unionByName(small.join(comps.select("node"), "node", "left_anti").select("node", "component")), "components")
+
+
 def grouped(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, node, component) of the buckets that hold more than one component, equal buckets once."""
     m = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -307,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = save(candidates(buckets, docs), "nodes")
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = save(linked_pairs(pairs, nodes), "links")
-    comps = components(links)
+    comps = save(components(links), "components")
     for turn in range(1, TURNS + 1):
         held = save(grouped(buckets, comps), "held")
         if held.isEmpty():
@@ -316,8 +325,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = save(open_links(held, nodes) if last else linked_pairs(star_pairs(held, turn), nodes), "links")
         if found.isEmpty() and not last:
             continue
-        links = links.unionByName(found)
-        comps = components(links)
+        comps = merged(comps, found)
     found = sigs.select("doc_id", "n_shingles", "set1", "set2").join(rep.drop("bands"), ["set1", "set2"], "left").join(comps, "node", "left")
     # rows that share a doc_id are one document
     joint = F.coalesce("component", "node", "doc_id")
