@@ -24,9 +24,9 @@
 With 40 bands of 5 a pair at the threshold of 0.8 shares a bucket with
 probability 1 - 1e-7.
 
-What is gathered by a bucket's key or a hub is written before it is joined, so
-that both sides of the join are plain shuffles, whose heavy partitions Spark's
-adaptive execution splits; no member list is ever one row.
+The sizes of open buckets are written before they are joined, so that both sides
+of that join are plain shuffles, whose heavy partitions Spark's adaptive
+execution splits; no member list is ever one row.
 
 Defined cases: a text with fewer than four words is one shingle of all its
 words; a null text or one without words has no shingles, is linked with nothing
@@ -214,12 +214,12 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
     mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
+        near = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         old, edges = edges, save(small, name)
-        discard(old, near)
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
@@ -231,7 +231,7 @@ def merged(comps: DataFrame, found: DataFrame) -> DataFrame:
     """(node, component) after more links: only the components that they join are a graph, not all links again."""
     end = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     ends = found.join(end("a"), "a", "left").join(end("b"), "b", "left")
-    small = save(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "joined")
+    small = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     known = comps.join(small.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return save(known.unionByName(small.join(comps.select("node"), "node", "left_anti").select("node", "component")), "components")
 
@@ -240,14 +240,13 @@ def grouped(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, node, component) of the buckets that hold more than one component, equal buckets once."""
     m = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("x"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h")).where("lo <> hi")
-    once = save(mixed.groupBy("x", "n", "h").agg(F.min("key").alias("key")).select("key", "n"), "once")
+    once = mixed.groupBy("x", "n", "h").agg(F.min("key").alias("key")).select("key", "n")
     return m.join(once, "key")
 
 
 def star_pairs(held: DataFrame, turn: int) -> DataFrame:
     """Each member of a bucket with the bucket's member that comes first in this turn's order, if their components differ."""
     first = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("pivot"), F.col("component").alias("pc"))).alias("f")).select("key", "f.pivot", "f.pc")
-    first = save(first, "pivots")
     return held.join(first, "key").where("component <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
 
 
@@ -311,7 +310,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rep = save(some.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("set1", "set2", F.col("f.doc_id").alias("node"), "f.bands"), "representatives")
     keys = band_keys(rep)
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot")
-    shared = save(shared, "pivots")
     buckets = save(keys.join(shared, "key"), "buckets")
     nodes = save(candidates(buckets, docs), "nodes")
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
