@@ -510,7 +510,8 @@ def remove(docs: DataFrame, width: int = WIDTH, words: int = PASSAGE) -> DataFra
     """doc_id, kept (bytes), n_bytes, n_removed, n_spans, kept_sha256 and n_passage_words of every document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.xxhash64(text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    spans = repeats(d.select("row", "text"), width, words).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("spans"))
+    # written, so that the join below is of two plain shuffles: a text that stands in very many rows is then split over tasks
+    spans = save(repeats(d.select("row", "text"), width, words).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("spans")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.vacate()
