@@ -209,6 +209,10 @@ def suffix_array(word: np.ndarray, owned: np.ndarray, depth: int) -> tuple[np.nd
     return order, rank[:n]
 
 
+#: Words of eight bytes that are compared at once.
+_AHEAD = np.arange(0, 48, 8)
+
+
 def common_prefixes(word: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, count: np.ndarray, cap: int) -> np.ndarray:
     """Bytes that each suffix of ``order`` shares with the one before it, at most ``cap``.
 
@@ -222,7 +226,7 @@ def common_prefixes(word: np.ndarray, order: np.ndarray, rank: np.ndarray, begin
     chosen[order] = True
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
-    word = np.append(word, np.zeros(cap + 16, np.uint64))
+    word = np.append(word, np.zeros(cap + 16 * len(_AHEAD), np.uint64))
     out = np.zeros(n, np.int32)
     lanes = np.argsort(-count, kind="stable")
     base, count = begin[lanes], count[lanes]
@@ -237,16 +241,18 @@ def common_prefixes(word: np.ndarray, order: np.ndarray, rank: np.ndarray, begin
         h[tied] = cap
         go = np.flatnonzero((j >= 0) & (h < cap))
         while len(go):
-            x = word[i[go] + h[go]] ^ word[j[go] + h[go]]
-            whole = x == 0
-            if not whole.all():
-                part = go[~whole]
-                low = x[~whole]
+            x = word[(i[go] + h[go])[:, None] + _AHEAD] ^ word[(j[go] + h[go])[:, None] + _AHEAD]
+            differ = x != 0
+            end = differ.any(axis=1)
+            if end.any():
+                part = go[end]
+                k = differ[end].argmax(axis=1)
+                low = x[end][np.arange(len(part)), k]
                 low &= ~low + np.uint64(1)
                 # the lowest set bit tells how many bytes are equal
-                h[part] += np.log2(low.astype(np.float64)).astype(np.int64) >> 3
-                go = go[whole]
-            h[go] += 8
+                h[part] += 8 * k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+                go = go[~end]
+            h[go] += 8 * len(_AHEAD)
             go = go[h[go] < cap]
         h = np.minimum(h, np.minimum(cap, n - np.maximum(i, j)))
         out[i] = h
