@@ -67,6 +67,24 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmurate.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: One more conversation whose texts hold control strings.
 TRICKY = r"\### Assistant: </turn> ok"
 
@@ -107,5 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
+    "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
+    "op13_importance": op13_importance,
 }
 ORACLES: dict[str, str] = {"op10_chat": OP10_SQL}
