@@ -1,4 +1,4 @@
-"""Alignment metrics as native array folds (no Python in the plan)."""
+"""Words and characters of a text, and the alignment of two short arrays as a native fold (no Python in the plan)."""
 
 from __future__ import annotations
 
@@ -20,28 +20,6 @@ def _steps(n: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), n))
 
 
-def edit_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance of two token arrays by the row-wise dynamic programme."""
-    steps = _steps(F.size(hyp))
-    first = F.concat(F.array(F.lit(0)), steps)
-
-    def row(prev: Column, r: Column) -> Column:
-        return F.aggregate(steps, F.array(F.element_at(prev, 1) + 1), lambda cur, j: F.array_append(cur, F.least(F.element_at(cur, -1) + 1, F.element_at(prev, j + 1) + 1, F.element_at(prev, j) + F.when(F.element_at(hyp, j) == r, 0).otherwise(1))))
-
-    return F.element_at(F.aggregate(ref, first, row), -1)
-
-
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence."""
-    steps = _steps(F.size(b))
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def row(prev: Column, x: Column) -> Column:
-        return F.aggregate(steps, F.array(F.lit(0)), lambda cur, j: F.array_append(cur, F.when(F.element_at(b, j) == x, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(cur, -1), F.element_at(prev, j + 1)))))
-
-    return F.element_at(F.aggregate(a, zero, row), -1)
-
-
 def alignment(ref: Column, hyp: Column) -> Column:
     """struct(edits, sub, del, ins) of one best alignment; on a tie substitution goes before deletion before insertion.
 
@@ -63,13 +41,3 @@ def alignment(ref: Column, hyp: Column) -> Column:
         return F.aggregate(steps, F.array(cell(start["e"] + 1, start["s"], start["d"] + 1, start["i"])), lambda cur, j: F.array_append(cur, pick(prev, cur, j, r)))
 
     return F.element_at(F.aggregate(ref, first, row), -1)
-
-
-def ngrams(units: Column, n: int) -> Column:
-    """Joined n-grams of an array of strings."""
-    return F.when(F.size(units) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(units) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(units, i, F.lit(n)), " ")))
-
-
-def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    return F.coalesce(F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x)))), F.lit(0))

@@ -3,43 +3,70 @@
 from __future__ import annotations
 
 import difflib
-import itertools
 import random
 
 import numpy as np
 import pandas as pd
 
 
+def best_total(gain: np.ndarray) -> float:
+    """The largest sum of a one-to-one map of rows to columns, by shortest augmenting paths with prices."""
+    cost = -(gain if gain.shape[0] <= gain.shape[1] else gain.T)
+    rows, cols = cost.shape
+    row_price, col_price = np.zeros(rows), np.zeros(cols)
+    row_of, col_of = np.full(cols, -1), np.full(rows, -1)
+    for start in range(rows):
+        far = cost[start] - row_price[start] - col_price
+        came, seen = np.full(cols, start), np.zeros(cols, bool)
+        while True:
+            j = int(np.where(seen, np.inf, far).argmin())
+            seen[j] = True
+            if row_of[j] < 0:
+                break
+            i = row_of[j]
+            way = far[j] + cost[i] - row_price[i] - col_price
+            better = ~seen & (way < far)
+            far[better], came[better] = way[better], i
+        passed = seen & (row_of >= 0)
+        row_price[row_of[passed]] += far[j] - far[passed]
+        col_price[passed] -= far[j] - far[passed]
+        row_price[start] += far[j]
+        while True:  # turn the path round
+            i = came[j]
+            row_of[j] = i
+            col_of[i], j = j, col_of[i]
+            if i == start:
+                break
+    return float(-cost[np.arange(rows), col_of].sum())
+
+
 def diarization_error(ref: list[tuple[float, float, str]], hyp: list[tuple[float, float, str]]) -> float | None:
-    """(false alarm + miss + confusion) / reference time under the best one-to-one speaker map."""
+    """(false alarm + miss + confusion) / reference time under the best one-to-one speaker map.
+
+    One sweep over the ends of all turns; a speaker who overlaps himself speaks
+    once, and turns that do not end after they begin are silent.
+    """
     total = sum(e - s for s, e, _ in ref)
     if total <= 0:
         return None
-    cuts = sorted({t for s, e, _ in [*ref, *hyp] for t in (s, e)})
-    names_r, names_h = sorted({k for *_, k in ref}), sorted({k for *_, k in hyp})
-    joint = {(a, b): 0.0 for a in names_r for b in names_h}
-    wrong = 0.0
-    for lo, hi in itertools.pairwise(cuts):
-        mid, d = (lo + hi) / 2, hi - lo
-        r = {k for s, e, k in ref if s <= mid < e}
-        h = {k for s, e, k in hyp if s <= mid < e}
-        wrong += max(len(r), len(h)) * d
-        for a in r:
-            for b in h:
-                joint[a, b] += d
-    # assignment over subsets of the smaller side, exact
-    if len(names_r) > len(names_h):
-        names_r, names_h, joint = names_h, names_r, {(b, a): v for (a, b), v in joint.items()}
-    best = {0: 0.0}
-    for b in names_h:
-        step = dict(best)
-        for used, v in best.items():
-            for k, a in enumerate(names_r):
-                if not used >> k & 1:
-                    n = used | 1 << k
-                    step[n] = max(step.get(n, 0.0), v + joint[a, b])
-        best = step
-    return (wrong - max(best.values())) / total
+    names = [{k: i for i, k in enumerate(sorted({k for *_, k in side}))} for side in (ref, hyp)]
+    ends = sorted((t, side, names[side][k], step) for side, turns in enumerate((ref, hyp)) for s, e, k in turns if s < e for t, step in ((s, 1), (e, -1)))
+    joint = np.zeros((len(names[0]), len(names[1])))
+    open_: tuple[dict, dict] = ({}, {})
+    wrong, before = 0.0, 0.0
+    for t, side, who, step in ends:
+        if t > before and (open_[0] or open_[1]):
+            wrong += max(len(open_[0]), len(open_[1])) * (t - before)
+            for a in open_[0]:
+                for b in open_[1]:
+                    joint[a, b] += t - before
+        before = t
+        n = open_[side].get(who, 0) + step
+        if n:
+            open_[side][who] = n
+        else:
+            del open_[side][who]
+    return (wrong - (best_total(joint) if joint.size else 0.0)) / total
 
 
 class Matcher(difflib.SequenceMatcher):

@@ -1,13 +1,18 @@
 """Alignment counts of whole texts: Arrow UDFs, as native folds take the square of a text's length.
 
-Distances and subsequences use bit vectors in Python integers (64 cells to a
-word), overlaps count n-grams once.  A null side gives null.
+Distances, alignments and subsequences use bit vectors in Python integers (64
+cells to a word), overlaps count n-grams once.  A null side gives null.
+
+The tie rule of an alignment: seen from the end of both texts, equal units are
+matched; else a substitution goes before a deletion, and that before an
+insertion.  Edits do not depend on it, their split does.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,31 +33,90 @@ def _places(a: Sequence) -> dict:
     return out
 
 
-def edits(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance by the bit vectors of Myers, in Hyyrö's form."""
+def _common(a: Sequence, b: Sequence) -> tuple[int, int]:
+    """Lengths of the common start and of the common end of what follows it."""
     k, end = 0, min(len(a), len(b))
     while k < end and a[k] == b[k]:
         k += 1
-    a, b, end = a[k:], b[k:], end - k
-    k = 0
-    while k < end and a[-1 - k] == b[-1 - k]:
-        k += 1
-    a, b = a[: len(a) - k], b[: len(b) - k]
+    n, end = 0, end - k
+    while n < end and a[-1 - n] == b[-1 - n]:
+        n += 1
+    return k, n
+
+
+def _step(eq: int, up: int, down: int, mask: int) -> tuple[int, int, int, int]:
+    """One unit of the second text: vertical differences (one more, one less) after it, and the horizontal ones on the way."""
+    flat = (((eq & up) + up) ^ up) | eq
+    right, left = down | (mask & ~(flat | up)), up & flat
+    r, n, steep = right << 1 | 1, left << 1, eq | down
+    return (n | ~(steep | r)) & mask, r & steep & mask, right, left
+
+
+def edits(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance by the bit vectors of Myers, in Hyyrö's form."""
+    k, n = _common(a, b)
+    a, b = a[k : len(a) - n], b[k : len(b) - n]
     if not len(a) or not len(b):
         return len(a) + len(b)
     places, last = _places(a), len(a) - 1
     mask = (1 << len(a)) - 1
     up, down, score = mask, 0, len(a)
     for y in b:
-        eq = places.get(y, 0)
-        flat = (((eq & up) + up) ^ up) | eq
-        right, left = down | (mask & ~(flat | up)), up & flat
+        up, down, right, left = _step(places.get(y, 0), up, down, mask)
         score += (right >> last & 1) - (left >> last & 1)
-        right, left, steep = right << 1 | 1, left << 1, eq | down
-        up, down = (left | ~(steep | right)) & mask, right & steep & mask
     return score
 
 
+def operations(ref: Sequence, hyp: Sequence) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions) of the alignment that the tie rule names.
+
+    The differences are kept at every ``block``-th unit of ``hyp`` only, about
+    the root of its length; the way back computes each block again, so the
+    memory is that of a few hundred rows, not of the table.
+    """
+    # the way back begins with matches of equal ends; a common start is not cut, as ties may lie in it
+    n, end = 0, min(len(ref), len(hyp))
+    while n < end and ref[-1 - n] == hyp[-1 - n]:
+        n += 1
+    ref, hyp = ref[: len(ref) - n], hyp[: len(hyp) - n]
+    if not len(ref) or not len(hyp):
+        return 0, len(ref), len(hyp)
+    places, mask, size = _places(ref), (1 << len(ref)) - 1, len(ref) // 8 + 1
+    block = max(1, int(len(hyp) ** 0.5))
+    kept, up, down = [], mask, 0
+    for j, y in enumerate(hyp):
+        if j % block == 0:
+            kept.append((up, down))
+        up, down, _, _ = _step(places.get(y, 0), up, down, mask)
+    i, j = len(ref), len(hyp)
+    sub = dele = ins = 0
+    flat = bytes(size)
+    for first in range((len(kept) - 1) * block, -1, -block):
+        if not i:
+            break
+        up, down = kept[first // block]
+        # rows[t]: vertical differences after first + t units, horizontal ones into it
+        rows = [(up.to_bytes(size, "little"), down.to_bytes(size, "little"), flat, flat)]
+        for y in islice(hyp, first, j):
+            up, down, right, left = _step(places.get(y, 0), up, down, mask)
+            rows.append(tuple(x.to_bytes(size, "little") for x in (up, down, right, left)))
+        while i and j > first:
+            if ref[i - 1] == hyp[j - 1]:
+                i, j = i - 1, j - 1
+                continue
+            byte, bit = (i - 1) >> 3, 1 << (i - 1 & 7)
+            before, now = rows[j - first - 1], rows[j - first]
+            ahead = bool(now[2][byte] & bit) - bool(now[3][byte] & bit)
+            above = bool(before[0][byte] & bit) - bool(before[1][byte] & bit)
+            if ahead + above == 1:
+                sub, i, j = sub + 1, i - 1, j - 1
+            elif now[0][byte] & bit:
+                dele, i = dele + 1, i - 1
+            else:
+                ins, j = ins + 1, j - 1
+    return sub, dele + i, ins + j
+
+
 def subsequence(a: Sequence, b: Sequence) -> int:
     """Length of the longest common subsequence."""
     places, mask = _places(a), (1 << len(a)) - 1
@@ -67,20 +131,29 @@ def overlaps(a: Sequence, b: Sequence, most: int) -> list[int]:
     """For each n up to ``most``: common n-grams (as multisets), n-grams of a, n-grams of b."""
     out = []
     for n in range(1, most + 1):
-        x, y = (Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (a, b))
-        out += [(x & y).total(), x.total(), y.total()]
+        x, y = (Counter(s if n == 1 else zip(*(s[k:] for k in range(n)), strict=False)) for s in (a, b))
+        common = sum(min(c, y[g]) for g, c in x.items() if g in y)
+        out += [common, max(len(a) - n + 1, 0), max(len(b) - n + 1, 0)]
     return out
 
 
 def _column(f, kind: str, a: Column, b: Column) -> Column:
-    each = lambda x, y: None if x is None or y is None else f(x, y)
-    return F.pandas_udf(lambda r, h: pd.Series([each(x, y) for x, y in zip(r, h, strict=True)], dtype="Int64" if kind == "long" else object), kind, F.PandasUDFType.SCALAR)(a, b)
+    def each(r: pd.Series, h: pd.Series) -> pd.Series:
+        found = [None if x is None or y is None else f(x, y) for x, y in zip(r, h, strict=True)]
+        return pd.Series(found, dtype="Int64" if kind == "long" else object)
+
+    return F.pandas_udf(each, kind)(a, b)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     return _column(edits, "long", a, b)
 
 
+def alignment(ref: Column, hyp: Column) -> Column:
+    """array(substitutions, deletions, insertions)."""
+    return _column(operations, "array<long>", ref, hyp)
+
+
 def lcs(a: Column, b: Column) -> Column:
     return _column(subsequence, "long", a, b)
 

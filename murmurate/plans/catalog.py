@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmurate.functions import align, bleu, quantiles, textnorm, whole
+from murmurate.functions import align, bleu, english, quantiles, textnorm, whole
+from murmurate.functions.bootstrap import poisson_interval, poisson_sql
 from murmurate.functions.der import bootstrap_groups, diarization_error, diff_blocks
 from murmurate.operators import curation, logs, ranking
 from murmurate.session import table
@@ -73,8 +74,19 @@ def edit_wer_by_lang(spark, d):
 
 @query()
 def alignment_counts(spark, d):
-    # insertions less deletions are the difference of the lengths in every alignment
-    return whole_pairs(spark, d).select("doc_id", whole.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"), (F.size("hyp") - F.size("ref")).cast("long").alias("ins_less_del"))
+    """Substitutions, deletions and insertions of words in every text; ``benchmark_alignment`` and ``alignment_rates`` hold the same kernel to SQL."""
+    a = whole_pairs(spark, d).select("doc_id", whole.alignment(F.col("ref"), F.col("hyp")).alias("a"))
+    return a.select("doc_id", (F.col("a")[0] + F.col("a")[1] + F.col("a")[2]).alias("edits"), F.col("a")[0].alias("subs"), F.col("a")[1].alias("dels"), F.col("a")[2].alias("ins"))
+
+
+@query()
+def alignment_rates_by_lang(spark, d):
+    """Error rates of each language over whole texts; extra text is what the output inserts."""
+    a = whole_pairs(spark, d).select("lang", F.size("ref").alias("n"), whole.alignment(F.col("ref"), F.col("hyp")).alias("a"))
+    total = F.greatest(F.sum("n"), F.lit(1))
+    sums = {name: F.sum(F.col("a")[k]) for k, name in enumerate(("subs", "dels", "ins"))}
+    rates = [F.round(c / total, 6).alias(f"{name}_rate") for name, c in sums.items()]
+    return a.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("ref_len"), *[c.alias(name) for name, c in sums.items()], *rates, F.round(sums["ins"] / total, 6).alias("extra_text_rate"))
 
 
 # the engine's own distance is of bytes; these texts are ASCII
@@ -131,17 +143,12 @@ def success_coverage(spark, d):
     return g.withColumn("coverage", F.col("n_ok") / F.col("n_total")).withColumn("low_coverage", F.col("coverage") < 0.95)
 
 
-
-
-def _exclusive_sql(p: int) -> str:
-    j = f"CAST(least(greatest(floor({p} * (n + 1) / 100.0), 1), n - 1) AS BIGINT)"
-    return f"CASE WHEN n = 1 THEN x[1] ELSE (x[{j}] * (100 - ({p} * (n + 1) - {j} * 100)) + x[{j} + 1] * ({p} * (n + 1) - {j} * 100)) / 100.0 END"
-
-
 @query(f"WITH {LOG} SELECT workers, quantile_cont(elapsed_s::DOUBLE, 0.5) AS p50, quantile_cont(elapsed_s::DOUBLE, 0.95) AS p95, quantile_cont(elapsed_s::DOUBLE, 0.99) AS p99, count(*) AS calls, count(*) FILTER (WHERE ok) / count(*) AS success_rate FROM log GROUP BY workers")
 def inclusive_quantiles(spark, d):
-    q = lambda f, n: quantiles.inclusive(F.col("elapsed_s"), f).alias(n)
-    return log(spark, d).groupBy("workers").agg(q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"), F.count(F.lit(1)).alias("calls"), (F.count_if("ok") / F.count(F.lit(1))).alias("success_rate"))
+    calls = log(spark, d)
+    counts = calls.groupBy("workers").agg(F.count(F.lit(1)).alias("calls"), (F.count_if("ok") / F.count(F.lit(1))).alias("success_rate"))
+    q = quantiles.exact(calls, ["workers"], "elapsed_s", {"p50": quantiles.inclusive(0.5), "p95": quantiles.inclusive(0.95), "p99": quantiles.inclusive(0.99)})
+    return counts.join(q, "workers", "left").select("workers", "p50", "p95", "p99", "calls", "success_rate")
 
 
 @query(f"WITH {LOG} SELECT id, CAST(sum(greatest(0, attempts - 1)) AS BIGINT) AS retries, avg(CASE WHEN attempts > 1 THEN 1.0 ELSE 0.0 END) AS retry_rate FROM log GROUP BY id")

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurate.functions import bleu, whole
+from murmurate.functions import bleu, keywords, quantiles, whole
 from murmurate.operators import curation, scoring
-from murmurate.plans.catalog import LOG, log, query, table
+from murmurate.plans.catalog import LOG, PAIRS, log, query, table, whole_pairs
 from murmurate.plans.more import SEG, segments
 from murmurate.plans.scores import SPANS, spans
 
 
-def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Adds the rank of a value from 1 (``k``) and the number of values (``n``) of its group, so that quantiles are sums over one or two ranks and no group is ever one array."""
-    w = Window.partitionBy(*by)
-    return df.where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
-
-
-def exclusive(p: int, value: str) -> Column:
-    """Aggregate over ``ranked`` rows: the exclusive percentile, a lone value being its own."""
-    n, k, v = F.col("n"), F.col("k"), F.col(value)
-    j = F.least(F.greatest(F.floor(p * (n + 1) / 100.0), F.lit(1)), F.greatest(n - 1, F.lit(1)))
-    up = p * (n + 1) - j * 100
-    return F.sum(F.when(n == 1, v).when(k == j, v * (100 - up) / 100.0).when(k == j + 1, v * up / 100.0))
-
-
 def _exclusive_sql(p: int, v: str = "x") -> str:
     j = f"CAST(least(greatest(floor({p} * (n + 1) / 100.0), 1), n - 1) AS BIGINT)"
     return f"CASE WHEN n = 1 THEN {v}[1] ELSE {v}[{j}] * (100 - ({p} * (n + 1) - {j} * 100)) / 100.0 + {v}[{j} + 1] * ({p} * (n + 1) - {j} * 100) / 100.0 END"
@@ -34,14 +20,14 @@ def _exclusive_sql(p: int, v: str = "x") -> str:
 # ---- latency -----------------------------------------------------------------
 @query(f"WITH {LOG}, v AS (SELECT id, list_sort(list(elapsed_s)) AS x FROM log WHERE workers = 1 AND ok GROUP BY id), w AS (SELECT id, x, len(x) AS n FROM v) SELECT id, round({_exclusive_sql(50)}, 3) AS p50, round({_exclusive_sql(90)}, 3) AS p90, round({_exclusive_sql(95)}, 3) AS p95 FROM w")
 def serial_latency_quantiles(spark, d):
-    r = ranked(log(spark, d).where("workers = 1 and ok").select("id", "elapsed_s"), ["id"], "elapsed_s")
-    return r.groupBy("id").agg(*[F.round(exclusive(p, "elapsed_s"), 3).alias(f"p{p}") for p in (50, 90, 95)])
+    names = {f"p{p}": quantiles.exclusive(p) for p in (50, 90, 95)}
+    q = quantiles.exact(log(spark, d).where("workers = 1 and ok"), ["id"], "elapsed_s", names)
+    return q.select("id", *[F.round(p, 3).alias(p) for p in names])
 
 
 @query(f"WITH {LOG}, v AS (SELECT id, list_sort(list(elapsed_s)) AS x FROM log GROUP BY id) SELECT id, x[1 + CAST(round_even((len(x) - 1) * 0.95, 0) AS BIGINT)] AS p95 FROM v")
 def nearest_rank_latency(spark, d):
-    r = ranked(log(spark, d).select("id", "elapsed_s"), ["id"], "elapsed_s")
-    return r.where(F.col("k") == 1 + F.bround(((F.col("n") - 1) * 0.95).cast("double"), 0)).select("id", F.col("elapsed_s").alias("p95"))
+    return quantiles.exact(log(spark, d), ["id"], "elapsed_s", {"p95": quantiles.nearest_rank(0.95)}).select("id", "p95")
 
 
 # ---- segments ------------------------------------------------------------------
@@ -54,7 +40,9 @@ def segment_vad_block(spark, d):
     total = s.groupBy("run").agg(F.count(F.lit(1)).alias("requests"), F.sum("dur").alias("audio"), F.round(F.avg(F.col("has").cast("double")), 4).alias("reason_coverage"))
     share = lambda c: F.round(F.count_if(c) / F.count(F.lit(1)), 4)
     d_ = F.col("dur")
-    block = ranked(s.select("run", "dur"), ["run"], "dur").groupBy("run").agg(F.count(F.lit(1)).alias("segments"), share(d_ < 2).alias("lt_2s"), share(d_ > 15).alias("gt_15s"), share(d_ > 20).alias("gt_20s"), share(d_ > 12.5).alias("gt_soft"), share(d_ > 25).alias("gt_hard"), *[F.round(exclusive(p, "dur"), 3).alias(f"p{p}") for p in (50, 90, 95)], F.max("dur").alias("longest"))
+    percentiles = quantiles.exact(s, ["run"], "dur", {f"p{p}": quantiles.exclusive(p) for p in (50, 90, 95)})
+    block = s.where("dur is not null").groupBy("run").agg(F.count(F.lit(1)).alias("segments"), share(d_ < 2).alias("lt_2s"), share(d_ > 15).alias("gt_15s"), share(d_ > 20).alias("gt_20s"), share(d_ > 12.5).alias("gt_soft"), share(d_ > 25).alias("gt_hard"), F.max("dur").alias("longest"))
+    block = block.join(percentiles.select("run", *[F.round(f"p{p}", 3).alias(f"p{p}") for p in (50, 90, 95)]), "run")
     return total.join(block, "run").select("run", "requests", "segments", F.round(60 * F.col("requests") / F.col("audio"), 4).alias("requests_per_minute"), "lt_2s", "gt_15s", "gt_20s", "gt_soft", "gt_hard", "p50", "p90", "p95", "longest", "reason_coverage")
 
 
@@ -160,15 +148,20 @@ def bleu_words(spark, d):
     return s.select(F.round(bleu.score(counts(0), counts(2), F.col("c1"), F.col("c2")), 2).alias("bleu"), F.col("c1").cast("long").alias("ref_len"), F.col("c2").cast("long").alias("hyp_len"))
 
 
-@query("WITH k AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) >= 9), r AS (SELECT DISTINCT doc_id, lang, w FROM (SELECT doc_id, lang, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM documents) JOIN k USING (w)) SELECT lang, count(*) AS total, count(*) FILTER (WHERE (doc_id + length(w)) % 5 <> 0) AS hits, round(count(*) FILTER (WHERE (doc_id + length(w)) % 5 <> 0) / count(*), 4) AS krr FROM r GROUP BY lang")
+@query(f"WITH {PAIRS}, k AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) >= 7), a AS (SELECT w, unnest(CASE WHEN length(w) % 2 = 1 THEN [w, w[1:5]] ELSE [w] END) AS alias FROM k), t AS (SELECT doc_id, lang, array_to_string(ref, ' ') AS r, array_to_string(hyp, ' ') AS h FROM p1), s AS (SELECT doc_id, lang, w, bool_or(contains(r, alias)) AS said, bool_or(contains(h, alias)) AS hit FROM t, a GROUP BY ALL) SELECT lang, count(*) AS total, count(*) FILTER (WHERE hit) AS hits, round(count(*) FILTER (WHERE hit) / count(*), 4) AS krr FROM s WHERE said GROUP BY lang")
 def keyword_recall(spark, d):
-    """Keywords of each text (words of the benchmark with nine letters or more), and those that the output has too."""
-    words = lambda c: F.explode(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "))
-    keys = table(spark, d, "benchmark").select(words("text").alias("w")).where("length(w) >= 9").distinct()
-    # words are matched whole, so this is a join by word; each text's words are made distinct before it
-    said = table(spark, d, "documents").select("doc_id", "lang", words("text").alias("w")).where("length(w) >= 9").distinct()
-    hit = F.count_if((F.col("doc_id") + F.length("w")) % 5 != 0)
-    return said.join(keys, "w").groupBy("lang").agg(F.count(F.lit(1)).alias("total"), hit.alias("hits"), F.round(hit / F.count(F.lit(1)), 4).alias("krr"))
+    """Keywords that a text contains, and those of them that its output contains too.
+
+    Keywords are words of the benchmark with seven letters or more; those of an
+    odd length have their first five letters as an alias.
+    """
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("w")).where("length(w) >= 7").distinct()
+    alias = F.when(F.length("w") % 2 == 1, F.array("w", F.substring("w", 1, 5))).otherwise(F.array("w"))
+    aliases = words.select(F.xxhash64("w").alias("keyword"), F.explode(alias).alias("alias"))
+    texts = whole_pairs(spark, d).select("lang", F.array_join("ref", " ").alias("ref"), F.array_join("hyp", " ").alias("hyp"))
+    found = keywords.shared(texts, "ref", "hyp", aliases)
+    hits = F.count_if("hit")
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), hits.alias("hits"), F.round(hits / F.count(F.lit(1)), 4).alias("krr"))
 
 
 # ---- scores ----------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 
 import pandas as pd
-from murmurate.plans.catalog import F, Window, bootstrap_groups, curation, diarization_error, diff_blocks, query, ranking, table, textnorm, trace, whole, whole_pairs
+from murmurate.plans.catalog import PAIRS, F, Window, bootstrap_groups, curation, diarization_error, diff_blocks, english, poisson_interval, poisson_sql, query, ranking, table, textnorm, trace, whole, whole_pairs
 
 SEG = "seg AS (SELECT conv_id AS id, turn AS segment_id, role, text, length(text) / 10.0 AS dur, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) / 10.0 AS end_s FROM conversations)"
 
@@ -170,6 +170,17 @@ def bootstrap_ci(spark, d):
     return bootstrap_groups(p, "lang", "doc_id", "edits", "n")
 
 
+#: Rounds of the interval by weights, and its seed.
+ROUNDS, SEED = 1000, 42
+
+
+@query(f"WITH {PAIRS}, e AS (SELECT lang, doc_id, length(array_to_string(ref, '')) AS n, levenshtein(array_to_string(ref, ''), array_to_string(hyp, '')) AS edits FROM p1), w AS (SELECT lang, turn, n, edits, {poisson_sql('doc_id', 'turn', SEED)} AS w FROM e, range({ROUNDS}) r(turn)), s AS (SELECT lang, turn, count(*) AS n, sum(w * edits) / nullif(sum(w * n), 0) AS stat FROM w GROUP BY ALL), g AS (SELECT lang, max(n) AS n, list_sort(list(coalesce(stat, 0))) AS x FROM s GROUP BY lang) SELECT lang, n, CASE WHEN n > 1 THEN x[{ROUNDS * 25 // 1000 + 1}] END AS lo, CASE WHEN n > 1 THEN x[{ROUNDS * 975 // 1000 + 1}] END AS hi FROM g")
+def bootstrap_poisson(spark, d):
+    """The interval of the character error rate by weights drawn from each row's id, so a language is never in one task."""
+    p = whole_pairs(spark, d).select("lang", "doc_id", whole.edit_distance(F.array_join("ref", ""), F.array_join("hyp", "")).alias("edits"), F.length(F.array_join("ref", "")).cast("long").alias("n"))
+    return poisson_interval(p, ["lang"], "doc_id", "edits", "n", ROUNDS, SEED)
+
+
 @query()
 def zh_norm(spark, d):
     return table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism).select("doc_id", textnorm.chinese_text(F.col("text")).alias("norm"))
@@ -177,7 +188,7 @@ def zh_norm(spark, d):
 
 @query()
 def en_norm(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").repartition(spark.sparkContext.defaultParallelism).select("doc_id", textnorm.english_text(F.col("text")).alias("norm"))
+    return table(spark, d, "documents").where("lang = 'en'").repartition(spark.sparkContext.defaultParallelism).select("doc_id", english.english_text(F.col("text")).alias("norm"))
 
 
 @query()

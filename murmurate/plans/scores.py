@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from murmurate.functions import align
+from murmurate.functions import align, keywords, quantiles, whole
 from murmurate.operators import scoring
 from murmurate.plans.catalog import PAIRS, query, table, whole_pairs
 from murmurate.plans.more import SEG, segments, trace_events
@@ -77,15 +77,9 @@ def date_literals(spark, d):
 @query(f"WITH {PAIRS}, r AS (SELECT lang, len(hyp) / len(ref) AS x FROM p1 WHERE len(ref) > 0), v AS (SELECT lang, list_sort(list(x)) AS x, len(list(x)) AS n, avg(x) AS m FROM r GROUP BY lang), q AS (SELECT *, least(greatest(floor(50 * (n + 1) / 100.0), 1), n - 1)::BIGINT AS j50, least(greatest(floor(95 * (n + 1) / 100.0), 1), n - 1)::BIGINT AS j95 FROM v) SELECT lang, n, round(m, 3) AS ratio_mean, round(CASE WHEN n = 1 THEN x[1] ELSE (x[j50] * (100 - (50 * (n + 1) - j50 * 100)) + x[j50 + 1] * (50 * (n + 1) - j50 * 100)) / 100.0 END, 3) AS ratio_p50, round(CASE WHEN n = 1 THEN x[1] ELSE (x[j95] * (100 - (95 * (n + 1) - j95 * 100)) + x[j95 + 1] * (95 * (n + 1) - j95 * 100)) / 100.0 END, 3) AS ratio_p95 FROM q")
 def translation_length_ratio(spark, d):
     r = whole_pairs(spark, d).where(F.size("ref") > 0).select("lang", (F.size("hyp") / F.size("ref")).alias("x"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("lang"))
-    ranked = r.select("lang", "x", F.row_number().over(Window.partitionBy("lang").orderBy("x")).alias("k"), n.alias("n"))
-
-    def at(p: int):  # two ranks of each group, weighted
-        j = F.least(F.greatest(F.floor(p * (F.col("n") + 1) / 100.0), F.lit(1)), F.greatest(F.col("n") - 1, F.lit(1)))
-        up = p * (F.col("n") + 1) - j * 100
-        return F.sum(F.when((F.col("n") == 1) & (F.col("k") == 1), F.col("x")).when(F.col("n") == 1, 0.0).when(F.col("k") == j, F.col("x") * (100 - up) / 100.0).when(F.col("k") == j + 1, F.col("x") * up / 100.0))
-
-    return ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 3).alias("ratio_mean"), F.round(at(50), 3).alias("ratio_p50"), F.round(at(95), 3).alias("ratio_p95"))
+    q = quantiles.exact(r, ["lang"], "x", {"ratio_p50": quantiles.exclusive(50), "ratio_p95": quantiles.exclusive(95)})
+    means = r.groupBy("lang").agg(F.round(F.avg("x"), 3).alias("ratio_mean"))
+    return means.join(q, "lang").select("lang", "n", "ratio_mean", F.round("ratio_p50", 3).alias("ratio_p50"), F.round("ratio_p95", 3).alias("ratio_p95"))
 
 
 #: Substitutions, deletions and insertions packed into one number, edits first; ties take the substitution, then the deletion.
@@ -95,15 +89,39 @@ BENCH = r"b0 AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(t
 
 @query(f"WITH {BENCH}, p AS (SELECT item_id, len(ref) AS n, {ALIGN} AS v FROM b), c AS (SELECT n, v // 1000000000000 AS e, (v // 1000000000) % 1000 AS s, (v // 1000000) % 1000 AS dl, v % 1000000 AS i FROM p) SELECT count(*) AS n, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(s) AS BIGINT) AS subs, CAST(sum(dl) AS BIGINT) AS dels, CAST(sum(i) AS BIGINT) AS ins, round(sum(s) / greatest(sum(n), 1), 4) AS sub_rate, round(sum(dl) / greatest(sum(n), 1), 4) AS del_rate, round(sum(i) / greatest(sum(n), 1), 4) AS ins_rate, round(sum(i) / greatest(sum(n), 1), 4) AS extra_text_rate FROM c")
 def alignment_rates(spark, d):
-    """Substitutions, deletions and insertions of whole benchmark items, each side a few dozen words."""
+    """Substitutions, deletions and insertions over whole benchmark items."""
+    a = bench_pairs(spark, d).select(F.size("ref").alias("n"), whole.alignment(F.col("ref"), F.col("hyp")).alias("a"))
+    s, dl, i = (F.col("a")[k] for k in range(3))
+    total = F.greatest(F.sum("n"), F.lit(1))
+    rate = lambda c: F.round(F.sum(c) / total, 4)
+    return a.agg(F.count(F.lit(1)).alias("n"), F.sum(s + dl + i).alias("edits"), F.sum(s).alias("subs"), F.sum(dl).alias("dels"), F.sum(i).alias("ins"), rate(s).alias("sub_rate"), rate(dl).alias("del_rate"), rate(i).alias("ins_rate"), rate(i).alias("extra_text_rate"))
+
+
+def bench_pairs(spark, d):
+    """item_id, ref and hyp words of benchmark items, hyp with fixed deletions, substitutions and insertions."""
     ref = table(spark, d, "benchmark").select("item_id", align.tokens(F.col("text")).alias("ref"))
     at = lambda i, k, m: (F.col("item_id") * k + i + 1) % m == 0
     word = lambda s: F.when(at(s["i"], 3, 13), F.lit("x")).when(at(s["i"], 1, 17), F.concat(s["x"], F.lit(" y"))).otherwise(s["x"])
     hyp = F.split(F.array_join(F.transform(F.filter(F.transform("ref", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~at(s["i"], 7, 11)), word), " "), " ")
-    a = ref.withColumn("hyp", hyp).select(F.size("ref").alias("n"), align.alignment(F.col("ref"), F.col("hyp")).alias("a"))
-    total = F.greatest(F.sum("n"), F.lit(1))
-    rate = lambda c: F.round(F.sum(c) / total, 4)
-    return a.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a.s") + F.col("a.d") + F.col("a.i")).cast("long").alias("edits"), F.sum("a.s").cast("long").alias("subs"), F.sum("a.d").cast("long").alias("dels"), F.sum("a.i").cast("long").alias("ins"), rate("a.s").alias("sub_rate"), rate("a.d").alias("del_rate"), rate("a.i").alias("ins_rate"), rate("a.i").alias("extra_text_rate"))
+    return ref.withColumn("hyp", hyp)
+
+
+@query(f"WITH {BENCH}, p AS (SELECT item_id, len(ref) AS n, {ALIGN} AS v FROM b) SELECT item_id, CAST(n AS BIGINT) AS ref_len, CAST(v // 1000000000000 AS BIGINT) AS edits, CAST((v // 1000000000) % 1000 AS BIGINT) AS subs, CAST((v // 1000000) % 1000 AS BIGINT) AS dels, CAST(v % 1000000 AS BIGINT) AS ins FROM p")
+def benchmark_alignment(spark, d):
+    """The alignment of each benchmark item, by the kernel that whole documents go through."""
+    a = bench_pairs(spark, d).select("item_id", F.size("ref").cast("long").alias("ref_len"), whole.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"), whole.alignment(F.col("ref"), F.col("hyp")).alias("a"))
+    return a.select("item_id", "ref_len", "edits", *[F.col("a")[k].alias(c) for k, c in enumerate(("subs", "dels", "ins"))])
+
+
+@query(f"WITH {BENCH}, k AS (SELECT item_id, array_to_string(hyp, ' ') AS h, list_filter(ref, lambda w: length(w) >= 7) AS ws FROM b) SELECT item_id, CAST(len(list_filter(ws, lambda w: CASE WHEN length(w) % 3 = 0 THEN contains(h, w) WHEN length(w) % 2 = 1 THEN contains(h, 'zz' || w) OR contains(h, w[1:6]) ELSE contains(h, w) END)) AS BIGINT) AS hit, CAST(len(ws) AS BIGINT) AS total FROM k")
+def keyword_hits(spark, d):
+    """Keywords of each item's own, given as strings and as objects with a surface or aliases, that the output contains."""
+    surface = lambda w: F.concat(F.lit('{"surface":"'), w, F.lit('"}'))
+    aliases = lambda w: F.concat(F.lit('{"surface":"'), w, F.lit('","aliases":["zz'), w, F.lit('","'), F.substring(w, 1, 6), F.lit('"]}'))
+    item = lambda w: F.when(F.length(w) % 3 == 0, surface(w)).when(F.length(w) % 2 == 1, aliases(w)).otherwise(F.concat(F.lit('"'), w, F.lit('"')))
+    json = F.concat(F.lit("["), F.array_join(F.transform(F.filter("ref", lambda w: F.length(w) >= 7), item), ","), F.lit("]"))
+    k = bench_pairs(spark, d).select("item_id", F.array_join("hyp", " ").alias("h"), json.alias("keywords"))
+    return k.select("item_id", keywords.hits(F.col("h"), keywords.parsed(F.col("keywords"))).alias("k")).select("item_id", "k.hit", "k.total")
 
 
 # ---- records -----------------------------------------------------------------
