@@ -107,11 +107,11 @@ def _places(keys: np.ndarray, levels: np.ndarray | int, bits: np.ndarray | int)
         a = a + b
 
 
-def fill(keys: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
+def fill(keys: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[int, np.ndarray]:
     """Bits and bytes of a filter with these n-grams."""
     q = level(counts)
     entries = int(q.sum())
-    bits = max(64, -(-entries * BITS_PER_ENTRY // 8) * 8)
+    bits = max(64, -(-entries * bits_per_entry // 8) * 8)
     flags = np.zeros(bits, bool)
     each = np.repeat(keys, q)
     lev = np.arange(entries) - np.repeat(np.cumsum(q) - q, q) + 1
@@ -176,14 +176,14 @@ def count(docs: DataFrame, block_bits: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, COUNTS)
 
 
-def build(counts: DataFrame) -> DataFrame:
+def build(counts: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """MODEL: the filter of each block, and for words the exact counts."""
 
     def merge(t: pa.Table) -> pa.Table:
         kind = t.column("kind")[0].as_py()
         keys = np.frombuffer(b"".join(x.as_py() for x in t.column("keys")), np.uint64)
         keys, n = _sum(keys, np.concatenate([_large(x.as_py()) for x in t.column("counts")]))
-        bits, data = fill(keys, n)
+        bits, data = fill(keys, n, bits_per_entry)
         exact = kind == 1
         return pa.table(
             {
@@ -289,13 +289,13 @@ def _slices(model: DataFrame, block_bits: int, limit: int) -> Iterator[Slice]:
         lo = hi
 
 
-def score(docs: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+def score(docs: DataFrame, limit: int = SLICE_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; more bits an entry, fewer false positives."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = d.where(~held_out(F.col("doc_id")))
     block_bits = int(np.clip(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")) * 8)), 8, 16))
-    model = save(build(count(train, block_bits)), "bloom")
+    model = save(build(count(train, block_bits), bits_per_entry), "bloom")
     with_row = d.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     passes: list[DataFrame] = []
     T.small_batches(spark)
