@@ -6,7 +6,8 @@ candidate's encoding is inferred from the characters that it uses; three tests
 ask whether it could be a uniform draw from that encoding (chi-squared over the
 alphabet, Wald-Wolfowitz runs about the middle of the alphabet, and lag-one
 serial correlation); the smallest of the three p-values, corrected for three
-tests, is the battery's p-value.  Ordinary strings fail the battery: their
+tests, is the battery's p-value.  A run that meets a base span is cut there, and what is left of
+it is tested.  Ordinary strings fail the battery: their
 p-values crowd at 0, those of random strings have a known distribution.  So the
 upper part of a class's p-values (by encoding and length) tells how many random
 strings it has, and its cut is the lowest at which at most a share ``FDR`` of
@@ -36,11 +37,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmurate.llm.scratch import save
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the greedy run of 18 or more characters
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Characters of a candidate, and of a piece of one.
+LEAST = 20
 FDR = 0.05
 #: P-values above it count the random strings of a class.
 MIDDLE = 0.5
@@ -167,8 +172,30 @@ def battery(cands: Column) -> Column:
     )
 
 
+def pieces(candidate: Column, base: Column) -> Column:
+    """What is left of a candidate beside the base spans, as spans of ``LEAST`` characters or more.
+
+    The candidate is cut at the base spans that touch it, taken by their start; an
+    untouched candidate is its own only piece.
+    """
+    touching = F.array_sort(F.filter(base, lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"])))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    walk = F.aggregate(
+        touching,
+        F.struct(candidate["start"].alias("at"), empty.alias("out")),
+        lambda acc, b: F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.when(b["start"] > acc["at"], F.array_append(acc["out"], F.struct(acc["at"].alias("start"), b["start"].alias("end")))).otherwise(acc["out"]).alias("out"),
+        ),
+    )
+    rest = F.concat(walk["out"], F.array(F.struct(walk["at"].alias("start"), candidate["end"].alias("end"))))
+    value = lambda p: F.substring(candidate["value"], p["start"] - candidate["start"] + 1, p["end"] - p["start"])
+    cut = F.transform(F.filter(rest, lambda p: p["end"] - p["start"] >= LEAST), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), value(p).alias("value")))
+    return F.when(F.size(touching) == 0, F.array(candidate)).otherwise(cut)
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base (spans of the base rules) and cands (tested strings that overlap no base span)."""
+    """doc_id, text, base (spans of the base rules) and cands (tested strings, cut where they meet base spans)."""
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     tag = lambda spans, k: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
@@ -179,7 +206,7 @@ def find(docs: DataFrame) -> DataFrame:
         tag(_matches(text, HEX, always), 2),
     )
     d = d.select("doc_id", "text", base.alias("base"), _matches(text, CANDIDATE, always).alias("cands"))
-    free = F.filter("cands", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = F.flatten(F.transform("cands", lambda c: pieces(c, F.col("base"))))
     return d.select("doc_id", "text", "base", battery(free).alias("cands"))
 
 
@@ -210,14 +237,19 @@ def cuts(found: DataFrame, fdr: float = FDR) -> dict[str, int]:
     return {r["class"]: r["cut"] for r in rows}
 
 
-def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """doc_id, text and spans (sorted array of start, kind number, end) of every document."""
+def scan(docs: DataFrame, fdr: float = FDR, with_text: bool = True) -> DataFrame:
+    """doc_id, text (if asked for) and spans (sorted array of start, kind number, end) of every document.
+
+    Spans and tested strings are written once, as the cut needs them before any
+    can be reported; so the rules and the battery run once over every text.
+    """
     found = find(docs)
+    found = save(found if with_text else found.drop("text"), "candidates")
     by_class = cuts(found, fdr)
     cut = F.create_map(*[F.lit(x) for pair in sorted(by_class.items()) for x in pair]) if by_class else F.create_map().cast("map<string,int>")
     keep = lambda c: c["power"] & (c["bin"] <= F.coalesce(F.try_element_at(cut, c["class"]), F.lit(-1)))
     random = F.transform(F.filter("cands", keep), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return found.select("doc_id", "text", F.array_sort(F.concat("base", random)).alias("spans"))
+    return found.select("doc_id", *["text"] * with_text, F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -230,7 +262,7 @@ def digests(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """The contract's columns."""
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    return scan(docs, fdr).select(
+    return scan(docs, fdr, with_text=False).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
 

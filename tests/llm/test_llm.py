@@ -92,6 +92,23 @@ def test_secrets(spark):
     assert secrets.digests(d.limit(0)).count() == 0
 
 
+def test_secrets_beside_base_spans(spark):
+    """What a base span leaves of a random string is tested and masked too; a short rest is not."""
+    rng = random.Random(13)
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    tails = ["Z" + draw(58) + "Y" for _ in range(30)]
+    texts = [f"see deadbeefdeadbeef{t} end" for t in tails[:20]] + [f"see {t}deadbeefdeadbeef{t[::-1]} end" for t in tails[20:]] + ["x deadbeefdeadbeefZq9w end"]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert [s for s in got[i] if s[1] < 3] == brute_secrets(t)
+    assert sum((20, 3, 80) in got[i] for i in range(20)) >= 19
+    assert sum([s[::2] for s in got[i] if s[1] == 3] == [(4, 64), (80, 140)] for i in range(20, 30)) >= 9
+    assert len(got[30]) == 1
+    clean = [r["text"] for r in secrets.redact(docs(spark, list(enumerate(texts[:20])))).collect()]
+    assert sum(t == "see [SECRET][SECRET] end" for t in clean) >= 19
+
+
 def test_secrets_false_findings(spark):
     """Ordinary strings are at most a small share of what is reported, whatever the class holds beside them."""
     rng = random.Random(8)
@@ -131,6 +148,60 @@ def test_quality(spark, rows):
     assert quality.judge(d.limit(0), labels).count() == 0
 
 
+def brute_quality(texts, good, bad):
+    """Scores by id and the threshold, with plain counters; a trusted text is scored as if it were not trusted."""
+    import murmurate.llm.textops as T
+
+    def grams(t):
+        buf = np.frombuffer((t or "").encode(), np.uint8)
+        h, rows, _, _ = T.words(buf, np.array([0, len(buf)]), T.SPACED, False)
+        return quality.ngrams(h, rows)[0].tolist()
+
+    by = {i: grams(t) for i, t in texts.items()}
+    raw = collections.Counter(g for x in by.values() for g in x)
+    n, b, smooth = raw.total(), quality.BUCKETS, quality.SMOOTH
+
+    def score(i):
+        own = collections.Counter(g for j in good if j != i for g in by[j])
+        p_raw = lambda g: (raw[g] + smooth) / (n + smooth * b)
+        p_own = lambda g: (own[g] + smooth * b * p_raw(g)) / (own.total() + smooth * b)
+        return sum(math.log(p_own(g) / p_raw(g)) for g in by[i]) / max(len(by[i]), 1)
+
+    scores = {i: score(i) for i in by}
+    step = (quality.HIGH - quality.LOW) / quality.BINS
+    best = []
+    for k in range(quality.BINS + 1):
+        cut = quality.LOW + step * k
+        best.append(sum(scores[i] < cut for i in bad) / len(bad) - sum(scores[i] < cut for i in good) / len(good))
+    top = [k for k, v in enumerate(best) if v >= max(best) - 1e-12]
+    return scores, quality.LOW + step * top[len(top) // 2]
+
+
+def test_quality_scores(spark):
+    """score and kept against plain counters, trusted documents without their own counts."""
+    rng = random.Random(12)
+    style = [[f"{p}{k}" for k in range(40)] for p in "gb"]
+    texts = {i: " ".join(rng.choice(style[rng.random() < (0.15 if i % 2 else 0.6)]) for _ in range(rng.randint(50, 90))) for i in range(1, 61)} | {90: "", 91: None}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 41)], "doc_id long, quality int, toxic int")
+    scores, cut = brute_quality(texts, [i for i in range(1, 41) if i % 2], [i for i in range(1, 41) if i % 2 == 0])
+    got = quality.judge(docs(spark, list(texts.items())), labels).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(scores[r["doc_id"]], abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= cut)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert {i for i in range(41, 61) if kept[i] == bool(i % 2)} >= set(range(43, 59)) or sum(kept[i] == bool(i % 2) for i in range(41, 61)) >= 17
+
+
+def test_quality_held_out_labels(spark):
+    """Trusted documents are kept at about the same rate whether they are in the label sample or not."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    got = quality.judge(d, labels.where(half)).where("not base_failed").join(labels.where("quality = 1 and coalesce(toxic, 0) = 0"), "doc_id")
+    rate = {r["h"]: r["rate"] for r in got.groupBy(half.alias("h")).agg(F.avg(F.col("kept").cast("double")).alias("rate")).collect()}
+    assert abs(rate[True] - rate[False]) < 0.05 and min(rate.values()) > 0.5
+
+
 def test_language(spark):
     text = {"en": "the house of the king is on the hill and the river runs below it ", "de": "das haus des königs steht auf dem berg und der fluss fließt darunter "}
     d = spark.createDataFrame([(i, text[k] * 3, k) for i, k in enumerate(["en", "de"] * 30)] + [(900, None, "en"), (901, "12 !!", None), (902, "das haus", None)], "doc_id long, text string, lang string")
@@ -229,9 +300,8 @@ def test_lm(spark, rows):
     assert lm.score(d.limit(0)).count() == 0
 
 
-def test_lm_probabilities(spark, rows, monkeypatch):
+def test_lm_probabilities(spark, rows):
     """Scores by exact counts, and histories whose probabilities add up to at most one; the filter is so large that it never errs."""
-    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 96)
     cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), "</s>"]
     training = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     one = collections.Counter(w for t in training for w in cut(t))
@@ -246,7 +316,7 @@ def test_lm_probabilities(spark, rows, monkeypatch):
 
     for h in ["<s>", *list(one)[:40]]:
         assert sum(p(h, w) for w in [*one, "never seen"]) <= 1 + 1e-9
-    got = sorted(((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in lm.score(docs(spark, rows)).collect()), key=str)
+    got = sorted(((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in lm.score(docs(spark, rows), bits_per_entry=96).collect()), key=str)
     want = sorted(((i or -1, len(cut(t)), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *cut(t)[:-1]], cut(t), strict=True))) for i, t in rows), key=str)
     for a, b in zip(got, want, strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
