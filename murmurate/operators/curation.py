@@ -69,3 +69,25 @@ def in_subset(value: Column, subset: str, aliases: dict[str, str] | None = None)
 def genuine(subset: Column) -> Column:
     """Not synthetic: the subset's name says that it is real."""
     return F.coalesce(F.startswith(subset, F.lit("real-")), F.lit(False))
+
+
+def resolve_ids(rows: DataFrame, key: str, contents: list[str]) -> DataFrame:
+    """One row for each id: n rows, the digests of the least and greatest content, and the verdict.
+
+    Rows of one id with equal contents are repeats, of which one counts; with
+    different contents they are a conflict, whatever their number.  Least and
+    greatest digest tell that apart, so no pair of rows is formed and sums are
+    made before the shuffle.  A null content differs from an empty one.
+    """
+    each = F.concat_ws("|", *[F.coalesce(F.sha2(F.col(c).cast("binary"), 256), F.lit("-")) for c in contents])
+    g = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(each).alias("first"), F.max(each).alias("last"))
+    verdict = F.when(F.col("first") != F.col("last"), "conflict").when(F.col("n") > 1, "repeat").otherwise("single")
+    return g.select(key, "n", F.sha2(F.col("first").cast("binary"), 256).alias("first"), F.sha2(F.col("last").cast("binary"), 256).alias("last"), verdict.alias("verdict"))
+
+
+def without_repeats(rows: DataFrame, key: str, contents: list[str]) -> DataFrame:
+    """``rows`` with one row for each id; ids with different contents fail, and the first of them are named."""
+    bad = [r[key] for r in resolve_ids(rows, key, contents).where("verdict = 'conflict'").orderBy(key).limit(5).collect()]
+    if bad:
+        raise ValueError(f"ids with different contents: {', '.join(map(str, bad))}")
+    return rows.dropDuplicates([key])

@@ -2,6 +2,9 @@
 
 
 import pandas as pd
+
+from murmurate.sources import audio, corpora
+from murmurate.streaming import sessions
 from murmurate.plans.catalog import PAIRS, F, Window, bootstrap_groups, curation, diarization_error, diff_blocks, english, poisson_interval, poisson_sql, query, ranking, table, textnorm, trace, whole, whole_pairs
 
 SEG = "seg AS (SELECT conv_id AS id, turn AS segment_id, role, text, length(text) / 10.0 AS dur, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) / 10.0 AS end_s FROM conversations)"
@@ -106,6 +109,32 @@ def duplicate_ids(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
+@query("WITH r AS (SELECT coalesce(source, '') || '_' || sha256(coalesce(text, ''))[1:2] AS id, sha256(text) AS fp FROM documents), g AS (SELECT id, count(*) AS n, min(coalesce(fp, '-')) AS a, max(coalesce(fp, '-')) AS b FROM r GROUP BY id) SELECT id, n, sha256(a) AS first, sha256(b) AS last, CASE WHEN a <> b THEN 'conflict' WHEN n > 1 THEN 'repeat' ELSE 'single' END AS verdict FROM g")
+def id_conflicts(spark, d):
+    """Ids made of a source and a short digest, whose rows agree or not."""
+    rows = table(spark, d, "documents").select(F.concat_ws("_", F.coalesce("source", F.lit("")), F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 2)).alias("id"), "text")
+    return curation.resolve_ids(rows, "id", ["text"])
+
+
+@query(f"WITH {SEG}, o AS (SELECT id, role AS who, end_s - dur AS a, end_s + 3 AS b FROM seg WHERE dur + 3 > 0), t AS (SELECT DISTINCT id, t FROM (SELECT id, a AS t FROM o UNION ALL SELECT id, b FROM o)), c AS (SELECT id, t AS a, lead(t) OVER (PARTITION BY id ORDER BY t) AS b FROM t), s AS (SELECT c.id, c.a, c.b, coalesce(string_agg(DISTINCT o.who, ',' ORDER BY o.who), '') AS who FROM c LEFT JOIN o ON o.id = c.id AND o.a <= c.a AND c.b <= o.b WHERE c.b IS NOT NULL GROUP BY ALL), m AS (SELECT *, coalesce(who <> lag(who) OVER (PARTITION BY id ORDER BY a), true) AS fresh FROM s), i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY id ORDER BY a) AS island FROM m) SELECT id, round(min(a), 3) AS start_s, round(max(b), 3) AS end_s, any_value(who) AS speakers, CASE WHEN any_value(who) = '' THEN 'silence' WHEN contains(any_value(who), ',') THEN 'overlap' ELSE 'single' END AS state FROM i GROUP BY id, island")
+def speaker_states(spark, d):
+    """Who speaks when in each conversation, every turn going on for three seconds after the next has begun."""
+    s = segments(spark, d).select("id", F.col("role").alias("tier"), (F.col("end_s") - F.col("dur")).cast("double").alias("start_s"), (F.col("end_s") + 3).cast("double").alias("end_s"))
+    return corpora.speaker_states(s).select("id", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), F.array_join("speakers", ",").alias("speakers"), "state")
+
+
+@query("WITH a AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents), s AS (SELECT doc_id, (ascii(ch) - 128) / 128.0 AS v FROM (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM a WHERE t <> '')), g AS (SELECT doc_id, count(*) AS n, max(abs(v)) AS peak, sqrt(avg(v * v)) AS rms FROM s GROUP BY doc_id) SELECT a.doc_id, round(coalesce(n, 0) / 8000.0, 6)::DOUBLE AS actual_s, round(20 * log10(greatest(coalesce(peak, 0), 1e-12)), 2) AS peak_dbfs, round(20 * log10(greatest(coalesce(rms, 0), 1e-12)), 2) AS rms_dbfs, CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS zero_ratio FROM a LEFT JOIN g USING (doc_id)")
+def audio_measures(spark, d):
+    """Measures from bytes: each text's printable characters are the samples of an 8-bit WAV file at 8000 a second."""
+    t = F.regexp_replace("text", "[^ -~]", "").cast("binary")
+    word = lambda n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
+    size = F.octet_length(t)
+    head = F.unhex(F.lit("57415645666d7420100000000100010040" + "1f0000401f000001000800" + "64617461"))
+    wav = F.concat(F.lit("RIFF").cast("binary"), word(size + 36), head, word(size), t)
+    m = table(spark, d, "documents").select("doc_id", audio.measured(wav).alias("m"))
+    return m.select("doc_id", F.round("m.actual_s", 6).alias("actual_s"), audio.dbfs(F.col("m.peak")).alias("peak_dbfs"), audio.dbfs(F.col("m.rms")).alias("rms_dbfs"), F.col("m.zero").alias("zero_ratio"))
+
+
 CODES = ("en", "ar", "de", "fr", "es", "ru", "it", "pt", "nl", "pl", "tr", "vi", "id", "ja", "ko", "th", "zh", "yue", "sv", "uk", "en-US", "")
 
 
@@ -163,6 +192,22 @@ def event_windows(spark, d):
     return trace.windowed(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
+@query("WITH e AS (SELECT user_id, ts, value, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS end, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k")
+def session_windows(spark, d):
+    """Sessions of each user: events no more than six hours apart."""
+    s = sessions.sessions(table(spark, d, "events"), "user_id", "6 hours")
+    return s.withColumn("total", F.round("total", 4))
+
+
+@query("WITH e AS (SELECT *, event_id // 100 AS batch, ts + (hash_ * INTERVAL '1 minute') AS t FROM (SELECT *, (event_id * 7919) % 240 AS hash_ FROM events)), m AS (SELECT batch, max(t) AS t FROM e GROUP BY batch), b AS (SELECT batch, max(t) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m), l AS (SELECT e.*, coalesce(before - t > INTERVAL '90 minutes', false) AS late FROM e JOIN b USING (batch)) SELECT event_type, late, count(*) AS n, round(sum(value), 4) AS total FROM l GROUP BY ALL")
+def late_rows(spark, d):
+    """What a watermark of ninety minutes would drop from batches of a hundred events, whose times are shuffled by up to four hours."""
+    shift = F.make_interval(mins=(F.col("event_id") * 7919 % 240).cast("int"))
+    e = table(spark, d, "events").withColumn("batch", F.floor(F.col("event_id") / 100)).withColumn("ts", F.col("ts") + shift)
+    late = sessions.lateness(e, "batch", "90 minutes")
+    return late.groupBy("event_type", "late").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 # ---- Python where the semantics are sequential ------------------------------
 @query()
 def bootstrap_ci(spark, d):

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from murmurate.sources import archives
 from murmurate.sources.readers import json_lines, keyed, lines
 
 # Names of scores as files show them.
@@ -175,27 +173,54 @@ def label_spans(spark: SparkSession, path: str) -> DataFrame:
     return s.select("file", "s.*")
 
 
-def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """archive, member and content of the members of tar and zip files, streamed: one member at a time is held."""
-    read = spark.read.format("binaryFile").load(path).select("path", "content")
+def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...], range_bytes: int = archives.RANGE_BYTES) -> DataFrame:
+    """archive, member and content of the members of the tar and zip files at ``path`` (a file, a folder or a pattern).
+
+    Each task reads a range of members, one at a time, so archives of any size are shared out.
+    """
+    archives.register(spark)
+    # names only; the contents are not read here
+    found = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    return spark.read.format(archives.NAME).option("suffixes", ",".join(suffixes)).option("range_bytes", str(range_bytes)).load(",".join(found))
+
+
+def speaker_states(spans: DataFrame, key: str = "id", speaker: str = "tier") -> DataFrame:
+    """``key``, start_s, end_s, speakers (sorted) and state of a recording between any two times at which somebody begins or ends.
+
+    State is silence, single or overlap.  One walk over the sorted ends of a
+    recording's spans; a speaker whose spans overlap or touch goes on speaking,
+    spans that do not end after they begin are left out, and stretches of the same
+    speakers are one.  Before the first span and after the last one there is no state.
+    """
+    kind, who = dict(spans.dtypes)[key], dict(spans.dtypes)[speaker]
+    ends = spans.where("start_s < end_s").select(key, F.col(speaker).alias("who"), F.explode(F.array(F.struct(F.col("start_s").alias("t"), F.lit(1).alias("step")), F.struct(F.col("end_s").alias("t"), F.lit(-1).alias("step")))).alias("e")).select(key, "who", "e.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, before, since, last, active = None, None, None, (), {}
         for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                raw = io.BytesIO(data)
-                if zipfile.is_zipfile(raw):
-                    with zipfile.ZipFile(raw) as z:
-                        for m in z.namelist():
-                            if m.endswith(suffixes):
-                                yield pd.DataFrame({"archive": [name], "member": [m], "content": [z.read(m)]})
-                else:
-                    raw.seek(0)
-                    with tarfile.open(fileobj=raw) as t:
-                        for m in t:
-                            if m.isfile() and m.name.endswith(suffixes):
-                                yield pd.DataFrame({"archive": [name], "member": [m.name], "content": [t.extractfile(m).read()]})
-
-    return read.mapInPandas(run, "archive string, member string, content binary")
+            out = []
+            for k, name, t, step in zip(pdf[key], pdf["who"], pdf["t"], pdf["step"], strict=True):
+                if k != now or since is None:
+                    if since is not None and before > since:
+                        out.append((now, since, before, list(last)))
+                    now, since, last, active = k, t, (), {}
+                elif t > before:
+                    speaking = tuple(sorted(active))
+                    if speaking != last:
+                        if before > since:
+                            out.append((k, since, before, list(last)))
+                        since, last = before, speaking
+                before = t
+                active[name] = active.get(name, 0) + step
+                if not active[name]:
+                    del active[name]
+            yield pd.DataFrame(out, columns=[key, "start_s", "end_s", "speakers"])
+        if since is not None and before > since:
+            yield pd.DataFrame([(now, since, before, list(last))], columns=[key, "start_s", "end_s", "speakers"])
+
+    walked = ends.repartition(key).sortWithinPartitions(key, "t", F.desc("step")).mapInPandas(run, f"`{key}` {kind}, start_s double, end_s double, speakers array<{who}>")
+    state = F.when(F.size("speakers") == 0, "silence").when(F.size("speakers") == 1, "single").otherwise("overlap")
+    return walked.withColumn("state", state)
 
 
 def looked_up(spark: SparkSession, text_path: str, archives: str, suffix: str = ".wav") -> DataFrame:
