@@ -249,13 +249,18 @@ def der(spark, d):
     return g.select("id", score("s").alias("der"))
 
 
-@query()
-def changed_blocks(spark, d):
-    p = whole_pairs(spark, d).select("doc_id", F.array_join("ref", " ").alias("r"), F.array_join("hyp", " ").alias("h"))
+def blocks(ref, hyp):
+    """struct(blocks, large): changed stretches of two texts, and those of eight characters or more."""
 
-    @F.pandas_udf("struct<blocks:long,large:long>")
     def count(r: pd.Series, h: pd.Series) -> pd.DataFrame:
         b = [diff_blocks(x, y) for x, y in zip(r, h, strict=True)]
         return pd.DataFrame({"blocks": [len(x) for x in b], "large": [sum(y[4] for y in x) for x in b]})
 
-    return p.select("doc_id", count("r", "h").alias("c")).select("doc_id", "c.*")
+    return F.pandas_udf(count, "struct<blocks:long,large:long>")(ref, hyp)
+
+
+@query()
+def changed_blocks(spark, d):
+    p = whole_pairs(spark, d).select("doc_id", F.array_join("ref", " ").alias("r"), F.array_join("hyp", " ").alias("h"))
+
+    return p.select("doc_id", blocks(F.col("r"), F.col("h")).alias("c")).select("doc_id", "c.*")

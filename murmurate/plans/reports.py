@@ -54,12 +54,16 @@ def wide_results(spark, d):
     return runs.wide_rows(g.select("arm", "dataset", F.from_json(text, runs.SUMMARY).alias("summary"))).select("arm", "dataset", "n_total", "anomaly_count", "anomaly_rate", "segment_error_rate")
 
 
-@query("WITH m(model, caps, ps, pt) AS (VALUES ('sse', ['asr', 'simult'], ['zh'], ['*']), ('std', ['asr'], NULL, NULL), ('adv', ['asr', 'translate_audio', 'hotwords'], ['*'], ['en'])), d(dataset, needs, sources, target) AS (VALUES ('talks', ['translate_audio'], ['zh'], 'en'), ('news', ['asr'], ['en'], 'en'), ('mix', ['translate_audio', 'asr'], ['zh', 'de'], 'en'), ('terms', ['asr', 'hotwords'], ['zh'], 'zh')) SELECT model, dataset FROM m, d WHERE len(list_filter(needs, lambda x: NOT (list_contains(caps, x) OR (x = 'translate_audio' AND list_contains(caps, 'simult'))))) = 0 AND (ps IS NULL OR (len(list_filter(sources, lambda s: NOT (list_contains(ps, '*') OR list_contains(ps, s)))) = 0 AND (list_contains(pt, '*') OR list_contains(pt, target))))")
+@query("WITH m(model, caps, ps, pt) AS (VALUES ('sse', ['asr', 'simult'], ['zh', 'de'], ['*']), ('std', ['asr'], NULL, NULL), ('adv', ['asr', 'translate_audio', 'hotwords'], ['*'], ['en'])), d AS (SELECT source || ' ' || (doc_id % 6) || ' ' || lang AS dataset, any_value(CASE doc_id % 3 WHEN 0 THEN ['translate_audio'] WHEN 1 THEN ['asr'] ELSE ['asr', 'hotwords'] END) AS needs, [lang] AS sources, any_value(CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'zh' END) AS target FROM documents GROUP BY source, doc_id % 6, lang) SELECT model, dataset FROM m, d WHERE len(list_filter(needs, lambda x: NOT (list_contains(caps, x) OR (x = 'translate_audio' AND list_contains(caps, 'simult'))))) = 0 AND (ps IS NULL OR (len(list_filter(sources, lambda s: NOT (list_contains(ps, '*') OR list_contains(ps, s)))) = 0 AND (list_contains(pt, '*') OR list_contains(pt, target))))")
 def capability_match(spark, d):
+    """Which models can be run on the data sets that the documents fall into (by source, language and task)."""
     pair = "struct<source:array<string>,target:array<string>>"
-    m = spark.createDataFrame([("sse", ["asr", "simult"], [(["zh"], ["*"])]), ("std", ["asr"], None), ("adv", ["asr", "translate_audio", "hotwords"], [(["*"], ["en"])])], f"model string, caps array<string>, pairs array<{pair}>")
-    s = spark.createDataFrame([("talks", ["translate_audio"], ["zh"], "en"), ("news", ["asr"], ["en"], "en"), ("mix", ["translate_audio", "asr"], ["zh", "de"], "en"), ("terms", ["asr", "hotwords"], ["zh"], "zh")], "dataset string, needs array<string>, sources array<string>, target string")
-    return runs.compatible(m, s)
+    m = spark.createDataFrame([("sse", ["asr", "simult"], [(["zh", "de"], ["*"])]), ("std", ["asr"], None), ("adv", ["asr", "translate_audio", "hotwords"], [(["*"], ["en"])])], f"model string, caps array<string>, pairs array<{pair}>")
+    kind = F.col("doc_id") % 6
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    needs = F.when(kind % 3 == 0, words("translate_audio")).when(kind % 3 == 1, words("asr")).otherwise(words("asr", "hotwords"))
+    s = table(spark, d, "documents").select("source", "lang", kind.alias("kind"), needs.alias("needs"), F.when(kind % 2 == 0, "en").otherwise("zh").alias("target")).distinct()
+    return runs.compatible(m, s.select(F.concat_ws(" ", "source", "kind", "lang").alias("dataset"), "needs", F.array("lang").alias("sources"), "target"))
 
 
 # ---- joins by rule ---------------------------------------------------------------
@@ -129,12 +133,11 @@ def shuffled_limit(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").orderBy(curation.seeded(42, "doc_id"), "doc_id").limit(100)
 
 
-@query("SELECT event_id, event_type = 'error' AS failed, value AS err, row_number() OVER (ORDER BY event_type = 'error', coalesce(value, 0) DESC, event_id) AS place FROM events WHERE user_id = 8")
+@query("SELECT user_id, event_id, event_type = 'error' AS failed, value AS err, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error', coalesce(value, 0) DESC, event_id) AS place FROM events")
 def review_order(spark, d):
-    """Judged samples first, the worst on top; failed ones last."""
-    e = table(spark, d, "events").where("user_id = 8").select("event_id", (F.col("event_type") == "error").alias("failed"), F.col("value").alias("err"))
-    # one sample list, as a reviewer pages through it
-    w = Window.partitionBy(F.lit(0)).orderBy("failed", F.coalesce("err", F.lit(0.0)).desc(), "event_id")
+    """Each user's samples: judged ones first, the worst on top; failed ones last."""
+    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"), F.col("value").alias("err"))
+    w = Window.partitionBy("user_id").orderBy("failed", F.coalesce("err", F.lit(0.0)).desc(), "event_id")
     return e.withColumn("place", F.row_number().over(w).cast("long"))
 
 
@@ -178,12 +181,13 @@ def key_sentences(spark, d):
     return s.groupBy("conv_id").agg(F.count(F.lit(1)).alias("sentences"), F.sha2(F.array_join(F.array_sort(F.collect_list("s")), "|").cast("binary"), 256).alias("sha"))
 
 
-@query("SELECT list_sort(['audio', 'speaker']) AS missing, 4 AS there")
+@query("WITH e AS (SELECT json_keys(CASE WHEN event_id % 4 = 0 THEN '{\"k\": 1, \"lang\": 2}' ELSE props END) AS have FROM events), m AS (SELECT list_sort(list_filter(['k', 'lang', 'speaker'], lambda w: NOT list_contains(have, w))) AS missing FROM e) SELECT array_to_string(missing, ',') AS missing, 3 - len(missing) AS there, count(*) AS n FROM m GROUP BY ALL")
 def schema_check(spark, d):
-    """Wanted columns that a table lacks."""
-    have = table(spark, d, "documents").columns
-    wanted = ("doc_id", "text", "lang", "audio", "speaker", "source")
-    return spark.range(1).select(F.array_sort(F.array_except(F.array(*[F.lit(c) for c in wanted]), F.array(*[F.lit(c) for c in have]))).alias("missing"), F.lit(sum(c in have for c in wanted)).alias("there"))
+    """Wanted fields that the records of a table lack, and how many records lack them."""
+    wanted = F.array(*[F.lit(c) for c in ("k", "lang", "speaker")])
+    props = F.when(F.col("event_id") % 4 == 0, '{"k": 1, "lang": 2}').otherwise(F.col("props"))
+    missing = F.array_sort(F.array_except(wanted, F.json_object_keys(props)))
+    return table(spark, d, "events").groupBy(F.array_join(missing, ",").alias("missing"), (3 - F.size(missing)).alias("there")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, 'documents' AS origin FROM documents UNION ALL SELECT page_id, 'pages' FROM pages")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmurate.functions import align, keywords, quantiles, whole
 from murmurate.operators import scoring
 from murmurate.plans.catalog import PAIRS, query, table, whole_pairs
-from murmurate.plans.more import SEG, segments, trace_events
+from murmurate.plans.more import SEG, blocks, segments, trace_events
 from murmurate.streaming import trace
 
 # ---- traces ----------------------------------------------------------------
@@ -205,17 +205,18 @@ def segment_reasons(spark, d):
 
 
 # ---- languages and texts -------------------------------------------------------
-NAMES = "n AS (SELECT * FROM (VALUES ('English'), (' 中文 '), ('Simplified Chinese'), ('zh-TW'), ('pt-BR'), ('Italian'), ('意大利文'), ('klingon'), (''), ('urdu'), ('English (US)'), ('zho')) v(name))"
+LANGUAGE_NAMES = ("English", " 中文 ", "Simplified Chinese", "zh-TW", "pt-BR", "Italian", "意大利文", "klingon", "", "urdu", "English (US)", "zho")
+#: Every document with a language as people write it: every third by its own code.
+NAMES = f"n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE (['{"', '".join(LANGUAGE_NAMES)}'])[doc_id % {len(LANGUAGE_NAMES)} + 1] END AS name FROM documents)"
 
 
-def names(spark):
-    return spark.createDataFrame([(x,) for x in ("English", " 中文 ", "Simplified Chinese", "zh-TW", "pt-BR", "Italian", "意大利文", "klingon", "", "urdu", "English (US)", "zho")], "name string")
-
-
-@query(f"WITH {NAMES}, l AS (SELECT name, lower(trim(name)) AS c FROM n) SELECT name, CASE c WHEN 'english' THEN 'en' WHEN '中文' THEN 'zh' WHEN 'simplified chinese' THEN 'zh' WHEN 'italian' THEN 'it' WHEN 'urdu' THEN 'ur' ELSE c END AS code, CASE c WHEN 'english' THEN 'en' WHEN '中文' THEN 'zh' WHEN 'italian' THEN 'it' WHEN '意大利文' THEN 'it' ELSE string_split(c, '-')[-1] END AS short, CASE WHEN c LIKE '%english%' OR c = 'en' THEN 'en' WHEN c IN ('zh', 'zho', '中文', '简体中文') OR c LIKE '%chinese%' THEN 'zh' ELSE 'basic' END AS norm, NOT (c IN ('zh', 'zho', '中文', '简体中文') OR c LIKE '%chinese%') AS by_word FROM l")
+@query(f"WITH {NAMES}, l AS (SELECT doc_id, name, lower(trim(name)) AS c FROM n) SELECT doc_id, name, CASE c WHEN 'english' THEN 'en' WHEN '中文' THEN 'zh' WHEN 'simplified chinese' THEN 'zh' WHEN 'italian' THEN 'it' WHEN 'urdu' THEN 'ur' ELSE c END AS code, CASE c WHEN 'english' THEN 'en' WHEN '中文' THEN 'zh' WHEN 'italian' THEN 'it' WHEN '意大利文' THEN 'it' ELSE string_split(c, '-')[-1] END AS short, CASE WHEN c LIKE '%english%' OR c = 'en' THEN 'en' WHEN c IN ('zh', 'zho', '中文', '简体中文') OR c LIKE '%chinese%' THEN 'zh' ELSE 'basic' END AS norm, NOT (c IN ('zh', 'zho', '中文', '简体中文') OR c LIKE '%chinese%') AS by_word FROM l")
 def language_codes(spark, d):
+    names = F.get(F.array(*[F.lit(x) for x in LANGUAGE_NAMES]), (F.col("doc_id") % len(LANGUAGE_NAMES)).cast("int"))
+    n = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(names)
+    docs = table(spark, d, "documents").select("doc_id", n.alias("name"))
     n = F.col("name")
-    return names(spark).select("name", scoring.language_code(n).alias("code"), scoring.short_code(n).alias("short"), scoring.target_norm(n).alias("t")).select("name", "code", "short", "t.norm", "t.by_word")
+    return docs.select("doc_id", "name", scoring.language_code(n).alias("code"), scoring.short_code(n).alias("short"), scoring.target_norm(n).alias("t")).select("doc_id", "name", "code", "short", "t.norm", "t.by_word")
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) + len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?')) + len(regexp_extract_all(text, '[㐀-䶿一-鿿]')) AS units, greatest(1, len(regexp_extract_all(text, '[A-Za-z0-9]+|[㐀-鿿]'))) AS weight, sha256(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')))[1:16] AS cap_key FROM documents")
@@ -286,7 +287,16 @@ def large_error_suggestion(spark, d):
     return table(spark, d, "orders").select("o_orderkey", large.alias("large_error"))
 
 
-@query(r"SELECT event_id, 'Authorization: *** *** api_key=*** http://u:***@h/ sk-***' || event_type AS text FROM events")
+@query(r"""WITH r AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '((?:bearer|basic)\s+)([A-Za-z0-9+/._\-]{4,}={0,2})', '\1***', 'gi'), '((?:x-)?api[_-]?key|api[_-]?secret|access[_-]?token|authorization|token|secret|password|passwd|pwd|app[_-]?id|app[_-]?key)([\s:="'']+)([A-Za-z0-9+/._\-]{6,})', '\1\2***', 'gi'), '(://[^/@\s:]+:)([^@\s/]+)(@)', '\1***\3', 'g'), '\bsk-[A-Za-z0-9]{12,}', 'sk-***', 'g') AS clean FROM documents) SELECT doc_id, clean <> text AS redacted, sha256(clean) AS sha FROM r""")
 def secret_redaction(spark, d):
-    raw = F.lit("Authorization: Bearer abc.DEF-123 api_key=1234567890 http://u:pw@h/ sk-abcdefghijkl0 ")
-    return table(spark, d, "events").select("event_id", F.concat(F.rtrim(scoring.redacted(raw)), F.col("event_type")).alias("text"))
+    """Whole texts without the secrets that the rules name."""
+    t = table(spark, d, "documents").select("doc_id", "text", scoring.redacted(F.col("text")).alias("clean"))
+    return t.select("doc_id", (F.col("clean") != F.col("text")).alias("redacted"), F.sha2(F.col("clean").cast("binary"), 256).alias("sha"))
+
+
+@query()
+def suggested_errors(spark, d):
+    """Whole texts whose output errs in half of the words, or changes eight characters in a row or six places: what a reviewer should look at."""
+    p = whole_pairs(spark, d).select("doc_id", F.size("ref").alias("n"), whole.edit_distance(F.col("ref"), F.col("hyp")).alias("edits"), F.array_join("ref", " ").alias("r"), F.array_join("hyp", " ").alias("h"))
+    c = p.select("doc_id", F.coalesce(F.try_divide("edits", "n"), F.lit(0.0)).alias("rate"), blocks(F.col("r"), F.col("h")).alias("b"))
+    return c.select("doc_id", F.round("rate", 6).alias("rate"), "b.blocks", "b.large", ((F.col("rate") >= 0.5) | (F.col("b.large") > 0) | (F.col("b.blocks") >= 6)).alias("suggested"))

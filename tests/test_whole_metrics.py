@@ -225,3 +225,18 @@ def test_diarization_of_a_long_meeting():
     began = time.time()
     assert 0 < diarization_error(ref, hyp) < 0.3 and time.time() - began < 5
     assert diarization_error(ref, [(s, e, "x" + k) for s, e, k in ref]) == pytest.approx(0, abs=1e-9)
+
+
+def test_suggested_errors(spark, tmp_path):
+    from murmurate.functions.der import diff_blocks
+    from murmurate.plans import catalog, scores  # noqa: F401
+
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 60))), "en", "s") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for r in catalog.whole_pairs(spark, str(tmp_path)).collect():
+        b = diff_blocks(" ".join(r["ref"]), " ".join(r["hyp"]))
+        want[r["doc_id"]] = whole.edits(r["ref"], r["hyp"]) / len(r["ref"]) >= 0.5 or len(b) >= 6 or any(x[4] for x in b)
+    got = {r["doc_id"]: r["suggested"] for r in catalog.QUERIES["suggested_errors"](spark, str(tmp_path)).collect()}
+    assert got == want and len(set(got.values())) == 2
