@@ -123,15 +123,19 @@ def speaker_states(spark, d):
     return corpora.speaker_states(s).select("id", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), F.array_join("speakers", ",").alias("speakers"), "state")
 
 
-@query("WITH a AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents), s AS (SELECT doc_id, (ascii(ch) - 128) / 128.0 AS v FROM (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM a WHERE t <> '')), g AS (SELECT doc_id, count(*) AS n, max(abs(v)) AS peak, sqrt(avg(v * v)) AS rms FROM s GROUP BY doc_id) SELECT a.doc_id, round(coalesce(n, 0) / 8000.0, 6)::DOUBLE AS actual_s, round(20 * log10(greatest(coalesce(peak, 0), 1e-12)), 2) AS peak_dbfs, round(20 * log10(greatest(coalesce(rms, 0), 1e-12)), 2) AS rms_dbfs, CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS zero_ratio FROM a LEFT JOIN g USING (doc_id)")
-def audio_measures(spark, d):
-    """Measures from bytes: each text's printable characters are the samples of an 8-bit WAV file at 8000 a second."""
-    t = F.regexp_replace("text", "[^ -~]", "").cast("binary")
+def wav(text):
+    """The bytes of a WAV file whose samples are the printable characters of a text; a null has none."""
+    t = F.regexp_replace(text, "[^ -~]", "").cast("binary")
     word = lambda n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
     size = F.octet_length(t)
     head = F.unhex(F.lit("57415645666d7420100000000100010040" + "1f0000401f000001000800" + "64617461"))
-    wav = F.concat(F.lit("RIFF").cast("binary"), word(size + 36), head, word(size), t)
-    m = table(spark, d, "documents").select("doc_id", audio.measured(wav).alias("m"))
+    return F.concat(F.lit("RIFF").cast("binary"), word(size + 36), head, word(size), t)
+
+
+@query("WITH a AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents), s AS (SELECT doc_id, (ascii(ch) - 128) / 128.0 AS v FROM (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM a WHERE t <> '')), g AS (SELECT doc_id, count(*) AS n, max(abs(v)) AS peak, sqrt(avg(v * v)) AS rms FROM s GROUP BY doc_id) SELECT a.doc_id, round(coalesce(n, 0) / 8000.0, 6)::DOUBLE AS actual_s, round(20 * log10(greatest(coalesce(peak, 0), 1e-12)), 2) AS peak_dbfs, round(20 * log10(greatest(coalesce(rms, 0), 1e-12)), 2) AS rms_dbfs, CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS zero_ratio FROM a LEFT JOIN g USING (doc_id)")
+def audio_measures(spark, d):
+    """Measures from bytes: each text's printable characters are the samples of an 8-bit WAV file at 8000 a second."""
+    m = table(spark, d, "documents").select("doc_id", audio.measured(wav(F.col("text"))).alias("m"))
     return m.select("doc_id", F.round("m.actual_s", 6).alias("actual_s"), audio.dbfs(F.col("m.peak")).alias("peak_dbfs"), audio.dbfs(F.col("m.rms")).alias("rms_dbfs"), F.col("m.zero").alias("zero_ratio"))
 
 

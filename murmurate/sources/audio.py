@@ -118,3 +118,38 @@ def screened(rows: DataFrame, content: str, expected: str, lang: str, text: str)
     broken = F.struct(F.lit("reject").alias("decision"), F.array(F.lit("decode_error")).alias("flags"))
     both = F.when(F.col("_m.decode_error").isNotNull(), broken).otherwise(verdict)
     return d.withColumn("_v", both).select(*[c for c in rows.columns if c != content], "_m.*", "_v.decision", "_v.flags")
+
+
+# Upper limits and names of the duration buckets of a screening report; what is longer is in the last.
+BUCKETS = ((0.5, "0-0.5s"), (1.0, "0.5-1s"), (1.5, "1-1.5s"))
+LAST_BUCKET = "1.5-2s"
+
+
+def screening_report(rows: DataFrame, content: str, expected: str, lang: str, text: str, limit: float = 2.0) -> DataFrame:
+    """kind, decision, name, n and hours of a screening of all rows of at most ``limit`` expected seconds.
+
+    Kinds are scanned (all rows), selected, decision, and by name language (of a
+    decision; a null is unknown), bucket (of a decision) and flag.  A row takes
+    its measured seconds, or the expected ones if it can't be read.  Each row is
+    measured once and gives a handful of lines, which are summed before the shuffle.
+    """
+    said = F.coalesce(F.col(expected).cast("double"), F.lit(0.0))
+    marked = rows.select(F.col(content).alias("_content"), said.alias("_said"), (said <= limit).alias("_short"), F.coalesce(F.col(lang), F.lit("unknown")).alias("_lang"), F.col(text).alias("_text"))
+    s = screened(marked.withColumn("_content", F.when(F.col("_short"), F.col("_content"))), "_content", "_said", "_lang", "_text")
+    seconds = F.coalesce("actual_s", "_said")
+    bucket = F.lit(LAST_BUCKET)
+    for most, name in reversed(BUCKETS):
+        bucket = F.when(seconds < most, name).otherwise(bucket)
+    none = F.lit(None).cast("string")
+
+    def line(kind: str, decision: Column, name: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), decision.alias("decision"), name.alias("name"), F.when(F.lit(kind) == "scanned", F.col("_said")).otherwise(seconds).alias("seconds"))
+
+    verdict = F.col("decision")
+    short = F.concat(
+        F.array(line("selected", none, none), line("decision", verdict, none), line("language", verdict, F.col("_lang")), line("bucket", verdict, bucket)),
+        F.transform("flags", lambda f: line("flag", none, f)),
+    )
+    scanned = F.array(line("scanned", none, none))
+    lines = s.select(F.inline(F.when(F.col("_short"), F.concat(scanned, short)).otherwise(scanned)))
+    return lines.groupBy("kind", "decision", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds") / 3600, 4).alias("hours"))
