@@ -91,3 +91,32 @@ def without_repeats(rows: DataFrame, key: str, contents: list[str]) -> DataFrame
     if bad:
         raise ValueError(f"ids with different contents: {', '.join(map(str, bad))}")
     return rows.dropDuplicates([key])
+
+
+def reviewed(samples: DataFrame, excluded: DataFrame, *by: str) -> DataFrame:
+    """The error rate of each run that holds excluded samples, without them: counts, sums, the ids left out in order and their signature.
+
+    ``samples``: ``by``, id, ref_len, sub, del, ins; ``excluded``: id and rule (JSON
+    text).  A sample without a length is not scored; a run without excluded samples
+    has no row, and one whose kept samples have no length has no rate.  Runs are
+    summed before they are shuffled.  The ids of a run's excluded samples come
+    together in one row; they are a list that people wrote, not a share of the corpus.
+    """
+    rules = excluded.select(F.col("id").cast("string").alias("_id"), F.col("rule").alias("_rule"), F.lit(True).alias("_out"))
+    j = samples.withColumn("_id", F.col("id").cast("string")).join(rules, "_id", "left")
+    gone = F.coalesce(F.col("_out"), F.lit(False))
+    kept = ~gone & F.col("ref_len").isNotNull()
+    edits = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("sub", "del", "ins")), F.lit(0))
+    g = j.groupBy(*by).agg(
+        F.count_if(~gone).alias("n_total"),
+        F.count_if(kept).alias("n_scored"),
+        F.count_if(gone).alias("n_excluded"),
+        F.coalesce(F.sum(F.when(kept, F.col("ref_len"))), F.lit(0)).cast("long").alias("total_ref_len"),
+        F.coalesce(F.sum(F.when(kept, edits)), F.lit(0)).cast("long").alias("total_edits"),
+        F.array_sort(F.collect_list(F.when(gone, F.struct("_id", "_rule")))).alias("x"),
+    )
+    quoted = lambda s: F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
+    lines = F.transform(F.array_distinct("x"), lambda s: F.concat(quoted(s["_id"]), F.lit(":"), F.coalesce(s["_rule"], F.lit("null"))))
+    signature = F.substring(F.sha2(F.concat(F.lit("{"), F.array_join(lines, ","), F.lit("}")).cast("binary"), 256), 1, 12)
+    rate = F.round(F.try_divide("total_edits", "total_ref_len"), 4)
+    return g.where("n_excluded > 0").select(*by, rate.alias("err_rate"), "n_total", "n_scored", "n_excluded", F.transform("x", lambda s: s["_id"]).alias("excluded_ids"), "total_ref_len", "total_edits", signature.alias("exclusion_signature"))

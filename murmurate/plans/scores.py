@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from murmurate.functions import align, keywords, quantiles, whole
-from murmurate.operators import scoring
+from murmurate.operators import curation, scoring
 from murmurate.plans.catalog import PAIRS, query, table, whole_pairs
 from murmurate.plans.more import SEG, blocks, segments, trace_events
 from murmurate.streaming import trace
@@ -113,6 +113,15 @@ def benchmark_alignment(spark, d):
     return a.select("item_id", "ref_len", "edits", *[F.col("a")[k].alias(c) for k, c in enumerate(("subs", "dels", "ins"))])
 
 
+@query(f"""WITH {BENCH}, p AS (SELECT item_id, len(ref) AS n, {ALIGN} AS v FROM b), s AS (SELECT item_id % 4 AS run, CAST(item_id AS VARCHAR) AS id, n, v // 1000000000000 AS edits, item_id % 5 = 0 AND item_id % 4 <> 3 AS gone, '{{"reason":"noise ' || item_id || '"}}' AS rule FROM p) SELECT run, round(sum(edits) FILTER (WHERE NOT gone) / sum(n) FILTER (WHERE NOT gone), 4) AS err_rate, count(*) FILTER (WHERE NOT gone) AS n_total, count(*) FILTER (WHERE NOT gone) AS n_scored, count(*) FILTER (WHERE gone) AS n_excluded, string_agg(id, ',' ORDER BY id) FILTER (WHERE gone) AS excluded_ids, CAST(coalesce(sum(n) FILTER (WHERE NOT gone), 0) AS BIGINT) AS total_ref_len, CAST(coalesce(sum(edits) FILTER (WHERE NOT gone), 0) AS BIGINT) AS total_edits, sha256('{{' || string_agg('"' || id || '":' || rule, ',' ORDER BY id) FILTER (WHERE gone) || '}}')[1:12] AS exclusion_signature FROM s GROUP BY run HAVING count(*) FILTER (WHERE gone) > 0""")
+def reviewed_error_rate(spark, d):
+    """The word error rate of four runs over benchmark items, without the items that were excluded from three of them."""
+    a = bench_pairs(spark, d).select("item_id", F.size("ref").cast("long").alias("ref_len"), whole.alignment(F.col("ref"), F.col("hyp")).alias("a"))
+    samples = a.select((F.col("item_id") % 4).alias("run"), F.col("item_id").alias("id"), "ref_len", *[F.col("a")[k].alias(c) for k, c in enumerate(("sub", "del", "ins"))])
+    gone = table(spark, d, "benchmark").where("item_id % 5 = 0 and item_id % 4 <> 3").select(F.col("item_id").alias("id"), F.concat(F.lit('{"reason":"noise '), F.col("item_id").cast("string"), F.lit('"}')).alias("rule"))
+    return curation.reviewed(samples, gone, "run").withColumn("excluded_ids", F.array_join("excluded_ids", ","))
+
+
 @query(f"WITH {BENCH}, k AS (SELECT item_id, array_to_string(hyp, ' ') AS h, list_filter(ref, lambda w: length(w) >= 7) AS ws FROM b) SELECT item_id, CAST(len(list_filter(ws, lambda w: CASE WHEN length(w) % 3 = 0 THEN contains(h, w) WHEN length(w) % 2 = 1 THEN contains(h, 'zz' || w) OR contains(h, w[1:6]) ELSE contains(h, w) END)) AS BIGINT) AS hit, CAST(len(ws) AS BIGINT) AS total FROM k")
 def keyword_hits(spark, d):
     """Keywords of each item's own, given as strings and as objects with a surface or aliases, that the output contains."""

@@ -1,6 +1,8 @@
 """Report statistics, the screening report and report pages, against plain Python."""
 
 import collections
+import hashlib
+import json
 import math
 import statistics
 import struct
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmurate.functions import textnorm
-from murmurate.operators import reports
+from murmurate.operators import curation, reports
 from murmurate.sources import audio, report_pages
 
 FIELDS = "key long, lang string, code string, cer double, zh_cer double, gold double, asr double, comment string"
@@ -168,3 +170,14 @@ def test_page_is_written_in_order(spark, tmp_path):
 @pytest.mark.parametrize("text,want", [("5㎏ ﬁne ½ ㍿", "5kg fine 1 2 株式会社"), ("Café ÉTÉ", "café été"), ("Hallo [Musik] <unk> (lacht) Welt!", "hallo welt"), ("a　b c", "a b c"), ("x² + y", "x2 y"), ("", ""), (None, None)])
 def test_basic(spark, text, want):
     assert spark.range(1).select(textnorm.basic(F.lit(text).cast("string")).alias("t")).first()["t"] == want
+
+
+def test_reviewed_error_rate(spark):
+    rows = [("a", "1", 10, 1, 0, 1), ("a", "2", 5, 5, None, 0), ("a", "10", 7, 1, 1, 1), ("a", "3", None, 1, 1, 1), ("b", "1", 4, 0, 0, 0), ("c", "7", 4, 1, 0, 0), ("c", "2", None, 9, 9, 9)]
+    samples = spark.createDataFrame(rows, "run string, id string, ref_len long, sub long, del long, ins long")
+    rules = {"2": {"note": "ü", "reason": "noise"}, "10": {"reason": 'a "b"'}, "99": {}}
+    excluded = spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"))) for k, v in rules.items()], "id string, rule string")
+    got = {r["run"]: r.asDict() for r in curation.reviewed(samples, excluded, "run").collect()}
+    sign = lambda *ids: hashlib.sha256(json.dumps({i: rules[i] for i in ids}, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
+    assert got["a"] == {"run": "a", "err_rate": 0.2, "n_total": 2, "n_scored": 1, "n_excluded": 2, "excluded_ids": ["10", "2"], "total_ref_len": 10, "total_edits": 2, "exclusion_signature": sign("10", "2")}
+    assert "b" not in got and (got["c"]["err_rate"], got["c"]["exclusion_signature"]) == (0.25, sign("2"))
