@@ -101,14 +101,20 @@ def stream_warnings(r: dict[str, Column]) -> Column:
     a text made of tokens is a note and leaves it ok.
     """
     hyp = F.coalesce(r["hyp"], F.lit(""))
-    solid = F.length(F.regexp_replace(hyp, r"(?U)\s", ""))
-    share = lambda letters: F.coalesce(F.try_divide(F.regexp_count(hyp, F.lit(letters)), solid), F.lit(0.0))
-    some = solid > 0
+    letters = F.when(r["chinese"], F.regexp_count(hyp, F.lit("[一-鿿]"))).otherwise(F.regexp_count(hyp, F.lit("[A-Za-z]")))
+    counts = F.struct(F.length(F.regexp_replace(hyp, r"(?U)\s+", "")).alias("solid"), letters.alias("letters"))
+    # bound as an element, so that a text is read once and not by each rule
+    return F.get(F.transform(F.array(counts), lambda c: _warned(r, c)), F.lit(0))
+
+
+def _warned(r: dict[str, Column], counts: Column) -> Column:
+    some = counts["solid"] > 0
+    foreign = some & (F.try_divide(counts["letters"], counts["solid"]) < 0.5)
     bad = F.array_compact(
         F.array(
             F.when(~some, "empty"),
-            F.when(some & r["chinese"] & (share("[一-鿿]") < 0.5), "not_chinese"),
-            F.when(some & ~r["chinese"] & (share("[A-Za-z]") < 0.5), "not_latin"),
+            F.when(foreign & r["chinese"], "not_chinese"),
+            F.when(foreign & ~r["chinese"], "not_latin"),
             F.when(r["al_s"].isNull(), "no_lag").when(r["al_s"] < 0, "negative_lag").when((r["src_s"] != 0) & (r["al_s"] > r["src_s"] * 2 + 6), "large_lag"),
             F.when(r["wants_speech"] & ~r["has_speech"], "no_speech"),
             F.when(some & (r["speech_err"] > 0.6), "poor_speech"),
