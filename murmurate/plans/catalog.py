@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from murmurate.functions import align, bleu, english, quantiles, textnorm, whole
 from murmurate.functions.bootstrap import poisson_interval, poisson_sql
-from murmurate.functions.der import bootstrap_groups, diarization_error, diff_blocks
+from murmurate.functions.der import bootstrap_groups, diarization_error
 from murmurate.operators import curation, logs, ranking
-from murmurate.session import table
+from murmurate.session import spread, table
 from murmurate.streaming import trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,11 +40,11 @@ def whole_pairs(spark, d) -> DataFrame:
 
 def _pairs(spark, d, ref) -> DataFrame:
     """ref and hyp tokens, hyp with fixed deletions and substitutions."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", ref.alias("ref"))
+    # texts are spread, not words: those are larger, and one task may read a whole file
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", ref.alias("ref"))
     at = lambda i, k, m: (F.col("doc_id") * k + i + 1) % m == 0
     hyp = F.transform(F.filter(F.transform("ref", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~at(s["i"], 7, 11)), lambda s: F.when(at(s["i"], 3, 13), F.lit("x")).otherwise(s["x"]))
-    # one file may be one partition: spread rows before the folds
-    return docs.repartition(spark.sparkContext.defaultParallelism).withColumn("hyp", hyp)
+    return docs.withColumn("hyp", hyp)
 
 
 PAIRS = r"""

@@ -3,9 +3,11 @@
 
 import pandas as pd
 
+from murmurate.functions.blocks import matching
+from murmurate.functions.der import changed
 from murmurate.sources import audio, corpora
 from murmurate.streaming import sessions
-from murmurate.plans.catalog import PAIRS, F, Window, bootstrap_groups, curation, diarization_error, diff_blocks, english, poisson_interval, poisson_sql, query, ranking, table, textnorm, trace, whole, whole_pairs
+from murmurate.plans.catalog import PAIRS, F, Window, bootstrap_groups, curation, diarization_error, english, poisson_interval, poisson_sql, query, ranking, spread, table, textnorm, trace, whole, whole_pairs
 
 SEG = "seg AS (SELECT conv_id AS id, turn AS segment_id, role, text, length(text) / 10.0 AS dur, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) / 10.0 AS end_s FROM conversations)"
 
@@ -232,12 +234,12 @@ def bootstrap_poisson(spark, d):
 
 @query()
 def zh_norm(spark, d):
-    return table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism).select("doc_id", textnorm.chinese_text(F.col("text")).alias("norm"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", textnorm.chinese_text(F.col("text")).alias("norm"))
 
 
 @query()
 def en_norm(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").repartition(spark.sparkContext.defaultParallelism).select("doc_id", english.english_text(F.col("text")).alias("norm"))
+    return spread(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")).select("doc_id", english.english_text(F.col("text")).alias("norm"))
 
 
 @query()
@@ -257,8 +259,11 @@ def blocks(ref, hyp):
     """struct(blocks, large): changed stretches of two texts, and those of eight characters or more."""
 
     def count(r: pd.Series, h: pd.Series) -> pd.DataFrame:
-        b = [diff_blocks(x, y) for x, y in zip(r, h, strict=True)]
-        return pd.DataFrame({"blocks": [len(x) for x in b], "large": [sum(y[4] for y in x) for x in b]})
+        whole = r.notna() & h.notna()
+        pairs = r[whole].tolist(), h[whole].tolist()
+        b = [changed(x, y, z) for x, y, z in zip(*pairs, matching(*pairs), strict=True)]
+        found = pd.DataFrame({"blocks": [len(x) for x in b], "large": [sum(y[4] for y in x) for x in b]}, index=r.index[whole], dtype="Int64")
+        return found.reindex(r.index)
 
     return F.pandas_udf(count, "struct<blocks:long,large:long>")(ref, hyp)
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSession:
@@ -26,6 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files that one task gets when rows are spread.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table as read, dealt evenly into tasks whose number grows with the table's files.
+
+    A file may be one task, and the number of cores says nothing about a table's
+    size; three tasks a core at least, as the time that a text takes is not in
+    proportion to its length.
+    """
+    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+    size = files.agg(F.sum("size")).first()[0] or 0
+    return df.repartition(max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
