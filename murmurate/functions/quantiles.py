@@ -67,9 +67,10 @@ def _between(wanted: dict[str, Quantile], n: Column, at: Callable[[Column], Colu
 
 def exact(df: DataFrame, by: list[str], value: str, wanted: dict[str, Quantile], limit: int = SORTED) -> DataFrame:
     """``by``, n and the quantiles of the values of each group; nulls and NaN do not count, and a group without values has no row."""
-    df = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # every round reads the values again: they are written once, whatever it takes to compute them
     ensure_checkpoint_dir(df.sparkSession)
+    df = df.select(*by, F.col(value).cast("double").alias("_v")).checkpoint().where("_v is not null and not isnan(_v)")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     large = sizes.where(F.col("n") > limit).checkpoint()
     if large.isEmpty():
         return _sorted(df, by, wanted)
