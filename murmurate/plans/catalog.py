@@ -118,7 +118,7 @@ def bleu_corpus(spark, d):
 # no oracle: its character n-grams are too many rows
 @query()
 def chrf_corpus(spark, d):
-    rows = whole_pairs(spark, d).select(whole.ngram_counts(F.array_join("ref", ""), F.array_join("hyp", ""), 6).alias("c"))
+    rows = whole_pairs(spark, d).select(whole.character_counts(F.array_join("ref", ""), F.array_join("hyp", ""), 6).alias("c"))
     s = rows.agg(*[F.sum(F.col("c")[k]).cast("double").alias(f"c{k}") for k in range(18)])
     prec = sum((F.col(f"c{3 * n}") / F.col(f"c{3 * n + 2}") for n in range(6)), F.lit(0.0)) / 6
     rec = sum((F.col(f"c{3 * n}") / F.col(f"c{3 * n + 1}") for n in range(6)), F.lit(0.0)) / 6
