@@ -9,17 +9,16 @@ one that best tells the labelled documents apart by these scores (balanced
 accuracy over a histogram), and every document is compared with it: no sampling,
 no randomness.
 
-The trusted documents and those that fix the threshold are a bounded sample:
-the ``SAMPLE`` labelled rows of each quality with the smallest hash of their
-id, so that a broadcast of their ids has a fixed size.  Corpus counts cover
-every document.  Model and histogram have fixed sizes.
+All labelled documents take part: labels are joined to the documents, and of
+these only counts by bucket and a histogram of scores are gathered, which have
+fixed sizes.
 
 Base rules (word counts, symbols, repeated lines, repeated three-word windows)
 are counted in the same pass as the score.
 
 Defined cases: a null text is an empty one and fails the base rules; a document
-without n-grams scores 0; a null doc_id is never labelled; without labels of
-both kinds the threshold is -inf, so the base rules alone decide; repeated rows
+without n-grams scores 0; a null doc_id is never labelled; without labelled
+documents of both kinds the threshold is -inf, so the base rules alone decide; repeated rows
 are judged alike (each row takes out its own counts once); very long texts are measured whole, in slices of their own; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -38,7 +37,6 @@ from murmurate.llm import textops as T
 
 BITS = 16
 BUCKETS = 1 << BITS
-SAMPLE = 20_000
 SMOOTH = 1.0
 #: Score histogram for the threshold: from LOW to HIGH in BINS steps.
 LOW, HIGH, BINS = -8.0, 4.0, 1200
@@ -66,29 +64,26 @@ def ngrams(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one, two]), np.concatenate([rows, rows[same]])
 
 
-def _in(column: pa.Array, ids: np.ndarray) -> np.ndarray:
-    """Which of a column's ids are listed; a null one never is."""
-    return np.isin(column.fill_null(0).to_numpy(zero_copy_only=False), ids) & column.is_valid().to_numpy(zero_copy_only=False)
+def _trusted(column: pa.Array) -> np.ndarray:
+    """Which rows are trusted; those without a label are not."""
+    return column.fill_null(False).to_numpy(zero_copy_only=False)
 
 
-def sample_ids(labels: DataFrame, size: int = SAMPLE) -> tuple[list[int], list[int]]:
-    """Ids of at most ``size`` trusted and as many distrusted documents."""
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with ``trusted``: true, false for distrusted ones, null for those without a label or with a doubtful one."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    key = [F.xxhash64("doc_id"), F.col("doc_id")]
-    good = lab.where("q = 1 and coalesce(t, 0) = 0").orderBy(*key).limit(size)
-    bad = lab.where("q = 0").orderBy(*key).limit(size)
-    return [r[0] for r in good.select("doc_id").collect()], [r[0] for r in bad.select("doc_id").collect()]
+    trusted = F.when(F.expr("q = 1 and coalesce(t, 0) = 0"), True).when(F.col("q") == 0, False)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(lab.select("doc_id", trusted.alias("trusted")).where("trusted is not null"), "doc_id", "left")
 
 
-def count_ngrams(docs: DataFrame, trusted: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def count_ngrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts of each bucket in the raw corpus and in the trusted documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(trusted), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, own = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        ids = shared.value
         for batch in batches:
-            good = _in(batch.column(0), ids)
+            good = _trusted(batch.column(2))
             for i, j, buf, off in T.slices(batch.column(1)):
                 h, rows, _, _ = T.words(buf, off, T.SPACED, False)
                 g, at = ngrams(h, rows)
@@ -98,7 +93,7 @@ def count_ngrams(docs: DataFrame, trusted: list[int]) -> tuple[np.ndarray, np.nd
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(own[some])], ["bucket", "raw", "own"])
 
-    rows = _texts(docs).mapInArrow(run, "bucket long, raw long, own long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).toPandas()
+    rows = docs.mapInArrow(run, "bucket long, raw long, own long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).toPandas()
     raw, own = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"]], own[rows["bucket"]] = rows["raw"], rows["own"]
     return raw, own
@@ -110,7 +105,6 @@ class Model(NamedTuple):
     own: np.ndarray  # counts of each bucket in the trusted documents
     p_raw: np.ndarray
     prior: float  # weight of p_raw in the trusted multinomial
-    trusted: np.ndarray  # sorted ids
 
     def ratio(self) -> np.ndarray:
         """log(p_trusted / p_raw) of each bucket."""
@@ -124,14 +118,14 @@ class Model(NamedTuple):
         return np.log((self.own[bucket] - n + self.prior * self.p_raw[bucket]) / (rest + self.prior) / self.p_raw[bucket])[inverse]
 
 
-def fit(docs: DataFrame, trusted: list[int], smooth: float = SMOOTH) -> Model:
-    raw, own = count_ngrams(docs, trusted)
+def fit(docs: DataFrame, smooth: float = SMOOTH) -> Model:
+    raw, own = count_ngrams(docs)
     # the trusted multinomial backs off to the raw one, so that a bucket neither has seen is neutral
-    return Model(own, (raw + smooth) / (raw.sum() + smooth * BUCKETS), smooth * BUCKETS, np.array(sorted(trusted), np.int64))
+    return Model(own, (raw + smooth) / (raw.sum() + smooth * BUCKETS), smooth * BUCKETS)
 
 
 def measure(docs: DataFrame, model: Model) -> DataFrame:
-    """MEASURES of every document."""
+    """MEASURES of every document of ``marked``."""
     shared = docs.sparkSession.sparkContext.broadcast((model, model.ratio()))
 
     def one(buf: np.ndarray, off: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
@@ -170,43 +164,37 @@ def measure(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in MEASURES.split(", ")]
         for batch in batches:
-            own = _in(batch.column(0), shared.value[0].trusted)
+            own = _trusted(batch.column(2))
             for i, j, buf, off in T.slices(batch.column(1)):
                 cols = one(buf, off, own[i:j])
                 arrays = [batch.column(0).slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in cols[:-1]), pa.array(cols[-1])]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return _texts(docs).mapInArrow(run, MEASURES)
+    return docs.mapInArrow(run, MEASURES)
 
 
-def threshold(docs: DataFrame, model: Model, good: list[int], bad: list[int]) -> float:
-    """The score below which labelled documents are mostly distrusted; -inf without labels of both kinds."""
-    if not good or not bad:
-        return float("-inf")
-    spark = docs.sparkSession
-    lab = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in bad], "doc_id long, q int")
-    scored = measure(docs.join(F.broadcast(lab.select("doc_id")), "doc_id", "left_semi"), model).join(F.broadcast(lab), "doc_id")
+def threshold(docs: DataFrame, model: Model) -> float:
+    """The score below which labelled documents are mostly distrusted; -inf without labelled documents of both kinds."""
+    scored = [measure(docs.where(kind), model).select("score", F.lit(q).alias("q")) for q, kind in enumerate(("not trusted", "trusted"))]
     step = (HIGH - LOW) / BINS
     bin_ = F.least(F.greatest(F.floor((F.col("score") - LOW) / step), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    rows = scored.groupBy(bin_.alias("bin"), "q").count().collect()
+    rows = scored[0].unionByName(scored[1]).groupBy(bin_.alias("bin"), "q").count().collect()
     n = np.zeros((2, BINS))
     for r in rows:
         n[r["q"], r["bin"]] += r["count"]
-    share = n / np.maximum(n.sum(axis=1, keepdims=True), 1)
+    if not n.sum(axis=1).all():
+        return float("-inf")
+    share = n / n.sum(axis=1, keepdims=True)
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(share, axis=1)], axis=1)
     gain = below[0] - below[1]  # distrusted documents dropped less trusted ones dropped
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return LOW + step * float(best[len(best) // 2])  # the middle of the widest choice
 
 
-def judge(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """MEASURES, base_failed and kept of every document."""
-    good, bad = sample_ids(labels, size)
-    model = fit(docs, good)
-    cut = threshold(docs, model, good, bad)
+    docs = marked(docs, labels)
+    model = fit(docs)
+    cut = threshold(docs, model)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measure(docs, model).select("*", failed.alias("base_failed"), (~failed & (F.col("score") >= cut)).alias("kept"))
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

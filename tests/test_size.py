@@ -81,3 +81,14 @@ def test_tasks_grow_with_the_files(spark, tmp_path, monkeypatch):
     rows = spread(spark.read.parquet(f"{tmp_path}/t.parquet").select("text"))
     sizes = rows.groupBy(F.spark_partition_id()).count().toPandas()["count"]
     assert len(sizes) > 50 and sizes.max() < 20_000 / 40 and sizes.sum() == 20_000
+
+
+def test_all_labels_count(spark):
+    """A label sample of 20,000 left out most trusted documents of a larger table."""
+    from murmurate.llm import quality
+
+    n = 45_000
+    docs = spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 97).alias("text"))
+    labels = spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    raw, own = quality.count_ngrams(quality.marked(docs, labels))
+    assert raw.sum() == n and own.sum() == n * 2 // 3
