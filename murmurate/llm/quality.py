@@ -74,7 +74,8 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     trusted = F.when(F.expr("q = 1 and coalesce(t, 0) = 0"), True).when(F.col("q") == 0, False)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(lab.select("doc_id", trusted.alias("trusted")).where("trusted is not null"), "doc_id", "left")
+    # an id and a flag of each label are broadcast; a shuffle would move every text three times
+    return texts.join(F.broadcast(lab.select("doc_id", trusted.alias("trusted")).where("trusted is not null")), "doc_id", "left")
 
 
 def count_ngrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
