@@ -16,9 +16,10 @@ start belongs to one anchor.  So:
    twice are repeats throughout.  What is left (an anchor seen again in another
    context: the edges of repeated passages) goes on, one context of each kind.
 3. Such contexts are dealt to shards by anchor.  Each shard builds a suffix
-   array by Larsson-Sadakane refinement (sorting only what is still tied and
-   still asked for), takes Kasai's common prefixes, and marks the owned starts
-   whose neighbours share ``WIDTH`` bytes, or ``PASSAGE`` words.
+   array by Larsson-Sadakane refinement (of blocks aligned at the anchors, as
+   equal strings have them in the same place), takes Kasai's common prefixes,
+   and marks the owned starts whose neighbours share ``WIDTH`` bytes, or
+   ``PASSAGE`` words.
 4. An anchor with very many contexts is split over several shards; these also
    put out their starts as sorted lists of string hashes, which are cut at fixed
    keys by binary search, and the lists of one key range are merged.
@@ -93,6 +94,12 @@ class Prefix:
         return T.mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
 
 
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, the first one lowest; zeros follow the last."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf), np.dtype("<u8"), padded, 0, (1,)).astype(np.uint64)
+
+
 def _word_starts(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Places where a word starts, within its row."""
     new = mask.copy()
@@ -128,11 +135,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, words: int = P
         return np.minimum(np.where(inside, far[np.minimum(k, len(far) - 1)], off[r + 1]), np.minimum(at + half, off[r + 1]))
 
     end = np.minimum(reach(p, row), off[row + 1] - 1)
-    seed = np.zeros(n, np.uint64)
-    for k in range(8):
-        seed[: n - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * k)
-    low = (T.mix(seed) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    del seed
+    low = (T.mix(_words(buf)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     level = (np.log2(end - p + 1) + 1e-9).astype(np.int8)
     at = np.empty(len(p), np.int64)
     span = 1
@@ -152,69 +155,130 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, words: int = P
     return h.of(a, reach(a, r)).view(np.int64), ctx.view(np.int64), r.astype(np.int64), lo - off[r], (hi - lo) | (a - lo) << 16
 
 
-def suffix_array(word: np.ndarray, owned: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``owned`` suffixes sorted by their first ``depth`` bytes, and the ranks of all; those that agree in them share a rank.
+def _cut(word: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first ``left`` bytes of the words at places, the first one highest; none if that is not positive."""
+    out = np.zeros(len(place), np.uint64)
+    some = left > 0
+    gone = np.uint64(8) * (8 - np.clip(left[some], 1, 8)).astype(np.uint64)
+    out[some] = (word[place[some]] << gone >> gone).byteswap()
+    return out
+
 
-    ``word`` has eight bytes from each place on.  Refinement as of Larsson and
-    Sadakane (2007): suffixes sorted to a depth are sorted deeper by the ranks of
-    suffixes further on, in groups that are still tied.  As many ranks as fit
-    into 64 bits make a key, and only suffixes whose rank the rest needs go on.
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and for each key the place in it where its equals begin."""
+    by = np.argsort(key)
+    ordered = key[by]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.zeros(0, np.int64)
+    rank = np.empty(len(key), np.int64)
+    rank[by] = np.repeat(begin, np.diff(np.append(begin, len(key))))
+    return by, rank
+
+
+def _sort_tied(order: np.ndarray, rank: np.ndarray, key) -> None:
+    """Sorts ``order`` deeper, in place, where ``rank`` (the place where a suffix's equals begin) is shared; ``key`` gives the next key of some suffixes."""
+    own = rank[order]
+    head = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+    tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+    if not len(tied):
+        return
+    s, own = order[tied], own[tied]
+    both = own << np.int64(len(tied).bit_length()) | _groups(key(s))[1]
+    by = np.argsort(both)
+    both = both[by]
+    order[tied] = s[by]
+    begin = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    rank[order[tied]] = np.repeat(tied[begin], np.diff(np.append(begin, len(tied))))
+
+
+def _block_ranks(key: np.ndarray, row: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks, from 1 on, of the ``wanted`` runs of ``depth`` blocks; a run ends with its row.
+
+    Refinement as of Larsson and Sadakane (2007): runs sorted to a depth are sorted
+    deeper by the ranks of runs further on, in groups that are still tied.  As many
+    ranks as fit into 64 bits make a key, and only runs whose rank the rest needs go on.
     """
-    n = len(word)
-    each = 63 // max(n.bit_length(), 1)
+    n = len(key)
+    bits = n.bit_length()
+    each = max(62 // bits, 2)
     # depths from the last to the first: places that are read at each
-    plan: list[tuple[int, list[int]]] = []
-    goal = depth
-    while goal > 8:
-        before = max(8, -(-goal // max(each, 2)))
-        hops = sorted({min(k * before, goal - before) for k in range(1, max(each, 2))} - {0})
-        plan.append((goal, hops))
-        goal = before
-    need = [owned]
-    for _, hops in plan:
-        more = need[-1].copy()
+    plan: list[list[int]] = []
+    while depth > 1:
+        before = -(-depth // each)
+        plan.append(sorted({min(k * before, depth - before) for k in range(1, each)} - {0}))
+        depth = before
+    last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
+    end = np.repeat(last, np.diff(np.append(-1, last)))
+    need = [np.flatnonzero(wanted)]
+    for hops in plan:
+        more = np.zeros(n, bool)
+        more[need[-1]] = True
         for hop in hops:
-            more[hop:] |= need[-1][:-hop]
-        need.append(more)
-    order = np.flatnonzero(need.pop())
-    key = word[order].byteswap()
-    by = np.argsort(key)
-    order, key = order[by], key[by]
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    rank = np.zeros(n + 1, np.int64)
-    begin = np.flatnonzero(head)
-    rank[order] = np.repeat(begin, np.diff(np.append(begin, len(order))))
-    for _, hops in reversed(plan):
-        order = order[need.pop()[order]]
-        own = rank[order]
-        head = np.concatenate([[True], own[1:] != own[:-1]])
-        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
-        s = order[tied]
-        if each > len(hops):
-            key = own[tied]
-            for hop in hops:
-                key = (key << np.int64(n.bit_length())) | rank[np.minimum(s + hop, n)]
-            by = np.argsort(key)
-            key = key[by]
-            differ = key[1:] != key[:-1]
-        else:  # a shard of more than 2 ** 31 bytes
-            by = np.lexsort([rank[np.minimum(s + hop, n)] for hop in reversed(hops)] + [own[tied]])
-            cols = [own[tied][by], *(rank[np.minimum(s + hop, n)][by] for hop in hops)]
-            differ = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        order[tied] = s[by]
-        if len(tied):
-            head[tied] = np.concatenate([[True], differ])
-        begin = np.flatnonzero(head)
-        rank[order] = np.repeat(begin, np.diff(np.append(begin, len(order))))
-    return order, rank[:n]
+            at = need[-1] + hop
+            more[at[at <= end[need[-1]]]] = True
+        need.append(np.flatnonzero(more))
+    places = need.pop()
+    rank = np.zeros(n, np.int64)
+    rank[places] = _groups(key[places])[1] + 1
+    for hops in reversed(plan):
+        places = need.pop()
+        joined = rank[places]
+        for hop in hops:
+            at = places + hop
+            inside = at <= end[places]
+            joined = joined << np.int64(bits) | np.where(inside, rank[np.where(inside, at, 0)], 0)
+        rank[places] = _groups(joined)[1] + 1
+    return rank
+
+
+def suffix_array(word: np.ndarray, begin: np.ndarray, size: np.ndarray, own: np.ndarray, at: np.ndarray, fp: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The owned suffixes sorted, the ranks of all places (those that agree in ``depth`` bytes share one), and where an anchor's suffixes at one distance begin.
+
+    ``word`` has eight bytes from each place on; a context starts at each
+    ``begin`` and owns its first ``own`` places.  Equal strings have their anchor
+    in the same place, so suffixes are sorted by anchor and distance to it, and
+    then by their bytes.  Blocks of eight bytes that are aligned at the anchors
+    thus serve all suffixes: they alone are ranked, an eighth of the places.
+    """
+    phase = at % 8
+    count = np.maximum(-(-(size - phase) // 8), 0)
+    base = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(size)), count)
+    rel = phase[row] + 8 * (np.arange(len(row)) - base[row])
+    # owned suffixes: place, context, and the first block at or after the place
+    who = np.repeat(np.arange(len(size)), own)
+    lead = np.arange(len(who)) - np.repeat(np.cumsum(own) - own, own)
+    place = begin[who] + lead
+    first = (lead - phase[who] + 7) // 8
+    inside = first < count[who]
+    block = np.where(inside, base[who] + first, 0)
+    steps = max(depth - 7, 0) // 8
+    ranks = np.zeros(len(row), np.int64)
+    if steps and len(row):
+        wanted = np.zeros(len(row), bool)
+        wanted[block[inside]] = True
+        ranks = _block_ranks(_cut(word, begin[row] + rel, size[row] - rel), row, wanted, steps)
+    ahead = np.where(inside, ranks[block], 0) if len(row) else np.zeros(len(who), np.int64)
+
+    def bytes_from(offset: int):
+        return lambda s: _cut(word, place[s] + np.minimum(offset, (size[who] - lead)[s]), np.minimum((size[who] - lead)[s], depth) - offset)
+
+    anchor = np.unique(fp, return_inverse=True)[1]
+    order, rank = _groups(anchor[who] << np.int64(17) | (at[who] - lead))
+    own_group = rank[order]
+    fresh = np.concatenate([[True], own_group[1:] != own_group[:-1]])[: len(order)]
+    for key in (bytes_from(0), lambda s: ahead[s], bytes_from(max(depth - 16, 0)), bytes_from(max(depth - 8, 0))):
+        _sort_tied(order, rank, key)
+    out = np.zeros(len(word), np.int64)
+    out[place] = rank
+    return place[order], out, fresh
 
 
 #: Words of eight bytes that are compared at once.
 _AHEAD = np.arange(0, 48, 8)
 
 
-def common_prefixes(word: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, count: np.ndarray, cap: int) -> np.ndarray:
-    """Bytes that each suffix of ``order`` shares with the one before it, at most ``cap``.
+def common_prefixes(word: np.ndarray, order: np.ndarray, rank: np.ndarray, fresh: np.ndarray, begin: np.ndarray, count: np.ndarray, cap: int) -> np.ndarray:
+    """Bytes that each suffix of ``order`` shares with the one before it, at most ``cap``; 0 where an anchor and distance begin (``fresh``).
 
     ``order`` holds ``count`` suffixes from each ``begin``.  Kasai's rule (a suffix
     shares at least one byte less than the suffix one place before) runs in all
@@ -225,7 +289,7 @@ def common_prefixes(word: np.ndarray, order: np.ndarray, rank: np.ndarray, begin
     chosen = np.zeros(n + 1, bool)
     chosen[order] = True
     before = np.full(n, -1)
-    before[order[1:]] = order[:-1]
+    before[order[1:]] = np.where(fresh[1:], -1, order[:-1])
     word = np.append(word, np.zeros(cap + 16 * len(_AHEAD), np.uint64))
     out = np.zeros(n, np.int32)
     lanes = np.argsort(-count, kind="stable")
@@ -334,14 +398,13 @@ def _shard(width: int, words: int, ranges: int):
         rows, lo, n, parts = (t.column(x).to_numpy() for x in ("row", "lo", "n", "parts"))
         begin = np.cumsum(size + 1) - (size + 1)
         buf = _ranked(texts, begin + size)
-        word = np.zeros(len(buf), np.uint64)
-        for k in range(8):
-            word[: len(buf) - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * k)
+        word = _words(buf)
         who = np.repeat(np.arange(len(texts)), size + 1)
         rel = np.arange(len(buf)) - begin[who]
         is_own = rel < own[who]
-        order, rank = suffix_array(word, is_own, width)
-        shared = common_prefixes(word, order, rank, begin, own, width)
+        at, fp = t.column("at").to_numpy(), t.column("fp").to_numpy()
+        order, rank, fresh = suffix_array(word, begin, size, own, at, fp, width)
+        shared = common_prefixes(word, order, rank, fresh, begin, own, width)
         # bytes: a neighbour shares them all; contexts seen twice are marked already
         like = shared >= width
         hit = np.zeros(len(buf), bool)
