@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of the aliases of one automaton; it takes some fifty times as much memory, and a larger vocabulary takes several walks.
 AUTOMATON_BYTES = 4 << 20
+#: Texts whose keywords are put out at once: each may say the whole vocabulary.
+CHUNK_ROWS = 100
 
 
 def parsed(json: Column) -> Column:
@@ -78,7 +80,7 @@ def shared(texts: DataFrame, ref: str, hyp: str, aliases: DataFrame, limit: int
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             machine = automaton(sent.value)
-            for batch in batches:
+            for batch in (b.slice(i, CHUNK_ROWS) for b in batches for i in range(0, b.num_rows, CHUNK_ROWS)):
                 row, keyword, hit = [], [], []
                 for i, (x, y) in enumerate(zip(batch.column(len(own)).to_pylist(), batch.column(len(own) + 1).to_pylist(), strict=True)):
                     if said := sorted(_walk(machine, x)):

@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Bytes of a table's files that one task gets when rows are spread.
 SPREAD_BYTES = 4 << 20
+#: Rows of whole texts that a Python worker gets at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of this session at ``BATCH_ROWS`` rows or less: a worker holds a batch several times over, as Arrow, as objects and as results."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -36,8 +45,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A file may be one task, and the number of cores says nothing about a table's
     size; three tasks a core at least, as the time that a text takes is not in
-    proportion to its length.
+    proportion to its length.  Files of many copies are small, so a task may still
+    have very many rows; Python workers get them in small batches.
     """
+    small_batches(df.sparkSession)
     files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
     size = files.agg(F.sum("size")).first()[0] or 0
     return df.repartition(max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)))

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from murmurate.functions import quantiles, textnorm, whole
@@ -92,3 +93,22 @@ def test_all_labels_count(spark):
     labels = spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
     raw, own = quality.count_ngrams(quality.marked(docs, labels))
     assert raw.sum() == n and own.sum() == n * 2 // 3
+
+
+def test_batches_do_not_grow_with_the_table(spark, tmp_path):
+    """Files of many copies are small: a task had all rows of its share, 10,000 at once, in a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        spark.range(0, 36_000, 1, 1).select("id", F.lit("a text " * 20).alias("text")).write.parquet(f"{tmp_path}/t.parquet")
+        rows = spread(spark.read.parquet(f"{tmp_path}/t.parquet").select("text"))
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+        got = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 36_000 and max(got) <= 1000
+    finally:
+        spark.conf.set(name, old)
